@@ -46,3 +46,13 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a table of ids that may be broadcast (16 MB of longs).
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has few rows; else as it is, for a shuffled join."""
+    few = df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if few else df
