@@ -1,7 +1,7 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL twins."""
 
-from quarrylight.llm import langid, neardup, packing, toxicity
+from quarrylight.llm import langid, neardup, packing, substrings, toxicity
 
-_MODULES = (toxicity, langid, neardup, packing)
+_MODULES = (toxicity, langid, neardup, substrings, packing)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
