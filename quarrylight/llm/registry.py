@@ -1,7 +1,7 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL twins."""
 
-from quarrylight.llm import ann, langid, neardup, packing, substrings, topk, toxicity
+from quarrylight.llm import ann, html_text, langid, licenses, neardup, packing, pieces, substrings, topk, toxicity
 
-_MODULES = (topk, toxicity, langid, neardup, substrings, ann, packing)
+_MODULES = (licenses, topk, html_text, toxicity, langid, neardup, substrings, pieces, ann, packing)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
