@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,16 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast if it has few rows; else as it is, for a shuffled join."""
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows, with all their columns, for whose texts ``decide`` (list of texts or nulls -> list of bool) says yes."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import held_out, table
+from quarrylight.llm.common import held_out, keep_rows, table
 
 PROFILE = 400
 DOCS_PER_LANG = 400
 #: Share of the largest distance over which confidence falls by the factor e.
 TEMPERATURE = 0.03
+#: Confidence below which a filter takes the language as unknown.
+LEAST_SCORE = 0.3
 
 _LETTERS: list[np.ndarray] = []
 
@@ -124,6 +126,12 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with all their columns, whose language can be told."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    return keep_rows(docs, lambda texts: [lang != "und" and score >= least for lang, score in map(shared.value.predict, texts)])
+
+
 def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

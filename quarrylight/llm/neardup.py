@@ -190,6 +190,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
+    """One document of each group, with all its columns; rows with a null id stay."""
+    found = near_duplicates(docs, words, similarity)
+    gone = bounded(stash(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
+    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = stash(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
+    if not again.limit(1).count():
+        return left
+    once = left.join(bounded(again), F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(bounded(again), F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
+
+
 def op6_multi_index_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, similarity=80)
 

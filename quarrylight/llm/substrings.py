@@ -274,15 +274,47 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes) for every row of documents."""
+def _with_spans(documents: DataFrame, length: int, gram: int) -> DataFrame:
+    """The documents and, in a column __spans, what repeats in each."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs.where("doc_id is not null and text is not null"), length, gram)
-    spans = stash(starts.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
-    rows = docs.join(bounded(spans, BROADCAST_DOCS), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
+    spans = stash(starts.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n")).alias("__spans")), "spans")
+    return documents.join(bounded(spans, BROADCAST_DOCS), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes) for every row of documents."""
+    rows = _with_spans(documents.select("doc_id", "text"), length, gram).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "__spans")
     return rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def shorten(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents, with all their columns, with repeats taken out of text (parts of characters go too) and n_chars set anew."""
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = []
+                for text, spans in zip(part.column(names.index("text")).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                    if spans:
+                        data, kept, end = text.encode("utf-8", "surrogatepass"), [], 0
+                        for a, b in merged([s["start"] for s in spans], [s["n"] for s in spans], length):
+                            kept.append(data[end:a])
+                            end = b
+                        text = b"".join([*kept, data[end:]]).decode("utf-8", "ignore")
+                    texts.append(text)
+                columns = [part.column(i) for i in range(len(names))]
+                columns[names.index("text")] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return _with_spans(documents, length, gram).mapInArrow(run, documents.schema)
+
+
 def op7_bucket_pointer_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
