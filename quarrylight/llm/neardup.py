@@ -1,6 +1,6 @@
 """Near-duplicate documents by a multi-index Hamming join over minhash signatures.
 
-Method.  A document is the set of its shingles; its signature is one minhash per permutation (symbols of BITS bits).  Two
+Method.  A document is the set of its shingles; its signature is one minhash per permutation (a symbol of LANE bits).  Two
 signatures within ``ERRORS`` differing symbols have, by the pigeonhole principle, at least one of
 ``CHUNKS`` chunks with at most one differing symbol.  So each chunk is indexed once for every symbol left out: signatures
 within the threshold share a key, all such pairs are found, and none beyond the sketch itself is lost.  At a
@@ -8,9 +8,9 @@ similarity of 0.8 a pair stays within the threshold but for one case in 3000, at
 Links are confirmed on full shingle sets.
 
 Scale.  Documents with equal sets are one class from the start.  In a key's bucket all members are compared with its smallest
-(the hub), not with each other; whoever the hub explains is done.  Only a member outside the hub's component
-meets the other members of another component, and only within the signature threshold, which is part of the
-join's condition.  That finds every link between components, so components are those of all links.
+(the hub), not with each other; first with the smallest of its hubs, then with those of other components; whoever they explain is done.  Only a
+member outside the hub's component meets the other members of another component, and only within the signature threshold and
+in the first key that the two share, which is part of the join's condition.  That finds every link between components, so components are those of all links.
 
 Defined cases: a document without words has an empty set and is its own component; rows with a null id take no part and come
 back with a null component, kept; rows that repeat an id are one node; further columns are ignored.
@@ -34,7 +34,7 @@ CHUNKS, WIDE = 12, 5
 SYMBOLS = CHUNKS * WIDE
 #: With 12 chunks, 23 errors leave some chunk with one error at most.
 ERRORS = 2 * CHUNKS - 1
-#: Bits of a symbol that the comparison of signatures looks at: five lanes of 12 bits, the top one free, in a long.
+#: Bits of a symbol.  A chunk is five lanes of 12 bits, the top one free, in a long.
 LANE = 11
 _LOW = sum(((1 << LANE) - 1) << 12 * i for i in range(WIDE))
 _TOP = sum(1 << (12 * i + LANE) for i in range(WIDE))
@@ -61,11 +61,11 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Minhashes of 32 bits."""
+    """Minhashes of LANE bits."""
     low = np.full(SYMBOLS, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 8192):
         np.minimum(low, (hashes[at : at + 8192, None] * _A + _B).min(0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return (low >> np.uint64(64 - LANE)).astype(np.uint16)
 
 
 def _sketch(words: int):
@@ -85,8 +85,7 @@ def _sketch(words: int):
 
 
 def _lanes(signatures: np.ndarray) -> np.ndarray:
-    cut = (signatures & np.uint32((1 << LANE) - 1)).astype(np.int64).reshape(-1, CHUNKS, WIDE)
-    return (cut << (12 * np.arange(WIDE))).sum(2)
+    return (signatures.astype(np.int64).reshape(-1, CHUNKS, WIDE) << (12 * np.arange(WIDE))).sum(2)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +93,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, CHUNKS, WIDE).astype(np.uint64)
+            s = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDE).astype(np.uint64)
             out = np.empty((len(s), CHUNKS, WIDE), np.uint64)
             for gone in range(WIDE):
                 h = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDE) + np.uint64(gone + 1), s.shape[:2]) * _M2
@@ -103,21 +102,31 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         h = (h ^ s[:, :, i]) * _M1
                         h ^= h >> np.uint64(31)
                 out[:, :, gone] = h
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)), pa.array(out.reshape(-1).view(np.int64))], ["doc", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)), pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int16), len(s))), pa.array(out.reshape(-1).view(np.int64))], ["doc", "slot", "key"])
 
 
 def _with_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            lanes = _lanes(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, SYMBOLS))
+            lanes = _lanes(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SYMBOLS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(CHUNKS))], ["doc", "n", *(f"s{i}" for i in range(CHUNKS))])
 
 
+def errors(a: str, b: str) -> list[Column]:
+    """Differing symbols of each chunk of two signatures (columns s0.. behind the prefixes)."""
+    return [F.bit_count(((F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) + F.lit(_LOW)).bitwiseAND(F.lit(_TOP))) for i in range(CHUNKS)]
+
+
 def near(a: str, b: str, similarity: int) -> Column:
-    """Whether two signatures (columns s0.. behind the prefixes) may belong together: few errors, and sizes in proportion."""
-    wrong = [F.bit_count(((F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) + F.lit(_LOW)).bitwiseAND(F.lit(_TOP))) for i in range(CHUNKS)]
+    """Whether two signatures may belong together: few errors, and sizes in proportion."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & (reduce(Column.__add__, wrong) <= ERRORS)
+    return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & (reduce(Column.__add__, errors(a, b)) <= ERRORS)
+
+
+def first_meeting(slot: Column, a: str, b: str) -> Column:
+    """Whether the key in this slot is the first that two signatures share, so that a pair is made once."""
+    chunk, gone = F.floor(slot / WIDE), slot % WIDE
+    return reduce(Column.__and__, [(chunk < i) | ((chunk == i) & ((wrong == 1) | (gone == 0))) | ((chunk > i) & (wrong > 1)) for i, wrong in enumerate(errors(a, b))])
 
 
 def _verify(similarity: int):
@@ -161,27 +170,36 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     usable = sketch.where("doc_id is not null and set_key is not null")
     classes = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
 
-    keys = classes.select("doc", "signature").mapInArrow(_keys, "doc long, key long")
+    keys = classes.select("doc", "signature").mapInArrow(_keys, "doc long, slot short, key long")
     shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
     buckets = stash(keys.join(shared, "key").where("doc <> hub"), "buckets")
     names = ["n", *(f"s{i}" for i in range(CHUNKS))]
     lanes = classes.select("doc", "n", "signature").mapInArrow(_with_lanes, "doc long, n long, " + ", ".join(f"s{i} long" for i in range(CHUNKS)))
     side = lambda p, on: lanes.select(F.col("doc").alias(on), *(F.col(c).alias(p + c) for c in names))
 
-    pairs = buckets.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = pairs.join(side("x", "b"), "b").join(side("y", "a"), "a").where(near("x", "y", similarity)).select("a", "b")
-    links = stash(confirmed(pairs, docs, words, similarity), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = pairs.join(side("x", "b"), "b").join(side("y", "a"), "a").where(near("x", "y", similarity)).select("a", "b")
+        return stash(confirmed(close, docs, words, similarity), "links")
+
+    # Each document meets its smallest hub; after that only hubs of other components.
+    first = buckets.groupBy(F.col("doc").alias("b")).agg(F.min("hub").alias("a"))
+    links = linked(first)
     found = components(links)
+    named = lambda df, on, to: df.join(found.select(F.col("node").alias(on), F.col("component").alias(to)), on, "left").withColumn(to, F.coalesce(to, on))
+    hubs = named(named(buckets.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "a", "u"), "b", "v").where("u <> v").select("a", "b")
+    extra = linked(hubs.join(first, ["a", "b"], "left_anti"))
+    if extra.limit(1).count():
+        links = stash(links.union(extra), "links")
+        found = components(links)
 
     # Members that the hub's component does not explain meet the rest of their buckets.
-    named = lambda df, on, to: df.join(found.select(F.col("node").alias(on), F.col("component").alias(to)), on, "left").withColumn(to, F.coalesce(to, on))
-    strangers = named(named(buckets, "doc", "own"), "hub", "hubs").where("own <> hubs").select("key", F.col("doc").alias("a"), F.col("own").alias("u"))
+    strangers = named(named(buckets, "doc", "own"), "hub", "hubs").where("own <> hubs").select("key", "slot", F.col("doc").alias("a"), F.col("own").alias("u"))
     crowded = strangers.select("key").distinct().join(buckets.groupBy("key").count().where("count > 1"), "key")
     members = named(buckets.join(crowded.select("key"), "key", "left_semi"), "doc", "own").select("key", F.col("doc").alias("b"), F.col("own").alias("v"))
     left = stash(strangers.join(side("x", "a"), "a"), "strangers")
     right = stash(members.join(side("y", "b"), "b"), "members")
-    more = left.join(right, (left["key"] == right["key"]) & (left["u"] != right["v"]) & near("x", "y", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    extra = stash(confirmed(more, docs, words, similarity), "links")
+    met = (left["key"] == right["key"]) & (left["u"] != right["v"]) & near("x", "y", similarity) & first_meeting(left["slot"], "x", "y")
+    extra = stash(confirmed(left.join(right, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, words, similarity), "links")
     if extra.limit(1).count():
         found = components(links.union(extra))
 
