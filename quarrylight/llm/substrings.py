@@ -8,7 +8,7 @@ Method.  Every string of ``length`` bytes has an anchor: of the q-grams that sta
 initial bucket of their anchor's q-gram, and only one row per anchor is shuffled (about one byte in 15), not
 one per suffix.  The row stands for the run of strings that share the anchor.  In a bucket,
 rows whose whole run is equal (same hash of its bytes) belong to their smallest document at once.  What is left, the
-first row of each different run in a bucket with several, is refined: the bytes are fetched and the suffixes of the
+first row of each different run in a bucket with several that agree on a side of the anchor, is refined: the bytes are fetched and the suffixes of the
 runs sorted by bucket pointers, doubling the depth from one byte on by sorting on the bucket identifiers of later offsets, until
 buckets agree on ``length`` bytes; a bucket's smallest document keeps its string.
 
@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import bounded, partitions, stash, table
@@ -64,7 +64,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of strings that share an anchor: first start, number of starts, hash of the anchor, hash of the run's bytes.
+    """Runs of strings that share an anchor: first start, number of starts, 48-bit hash of the anchor, 64-bit hash of the run.
+
+    The run's hash holds hashes of the bytes left and right of the anchor, 12 bits each, and of the whole run.  A string reaches
+    far to the left or far to the right of its anchor, so runs that agree on neither side share no string.
 
     A run ends at the blocks in which the text is worked through; that splits it alike wherever
     it is, as far as the findings go, for each string is found by its own anchor.
@@ -87,8 +90,14 @@ def anchors(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, n
         starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
         ends = np.concatenate((starts[1:], [len(at)]))
         runs = (sums[ends - 1 + length] - sums[starts]) * _DOWN[starts]
-        place = (at[starts] - starts) * 64 + (ends - starts)
-        yield starts + begin, ends - starts, key[at[starts]], _mix(runs ^ (place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        anchor = at[starts]
+        place = (anchor - starts) * 64 + (ends - starts)
+        whole = _mix(runs ^ (place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        side, after = (length - gram) // 2, anchor + gram
+        a, b = np.maximum(anchor - side, 0), np.minimum(after + side, n)
+        left = np.where(anchor >= side, _mix((sums[anchor] - sums[a]) * _DOWN[a]), np.uint64(0))
+        right = np.where(after + side <= n, _mix((sums[b] - sums[after]) * _DOWN[after]), np.uint64(0))
+        yield starts + begin, ends - starts, key[anchor] >> np.uint64(16), (left >> np.uint64(52) << np.uint64(52)) | (right >> np.uint64(52) << np.uint64(40)) | (whole >> np.uint64(24))
 
 
 def refine(runs: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
@@ -121,7 +130,7 @@ def refine(runs: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarra
 
 
 def _anchored(length: int, gram: int):
-    names = ["bucket", "run", "doc", "start", "n", "settled"]
+    names = ["bucket", "run", "doc", "place"]
 
     def rows(ids: list, texts: list, done: list) -> pa.RecordBatch | None:
         parts = []
@@ -143,8 +152,10 @@ def _anchored(length: int, gram: int):
         head = np.concatenate(([True], ~same))
         lowest = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         settled[order] |= lowest < doc[order]  # an earlier document in this very batch has the run
-        key = np.where(settled, _mix(doc.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)), key)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(settled)], names)
+        # Settled rows only pass through; buckets of their own, outside the 48 bits, deal them out evenly.
+        key = np.where(settled, _mix(doc.astype(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)) | np.uint64(1 << 63), key)
+        run = np.where(settled, np.uint64(0), run)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key).view(np.int64)), pa.array(np.ascontiguousarray(run).view(np.int64)), pa.array(doc), pa.array((start.astype(np.int64) << 32) | n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +197,7 @@ def _spans(start: int, gone: np.ndarray) -> list[tuple[int, int]]:
 def _refined(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        # Runs of different buckets never share a string, but equal q-grams could meet: each bucket is refined alone if large, else with others.
+        # Equal strings have equal anchors, so a group of whole buckets can be refined together.
         for gone, doc, start in zip(refine(rows["data"].tolist(), rows["doc"].to_numpy(), length), rows["doc"], rows["start"], strict=True):
             out += [(doc, a, n) for a, n in _spans(start, gone)]
         return pd.DataFrame(out, columns=["doc", "start", "n"])
@@ -216,16 +227,23 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     first = docs.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(digest).alias("d"), F.max(digest).alias("e")).where("low < high and d = e")
     marks = bounded(stash(first.select("h", "l", "low"), "copies"))
     marked = docs.withColumn("h", F.xxhash64("text")).withColumn("l", F.length("text")).join(marks, ["h", "l"], "left")
-    rows = marked.select("doc_id", "text", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("copy")).mapInArrow(_anchored(length, gram), "bucket long, run long, doc long, start int, n int, settled boolean")
-    from pyspark.sql import Window
-
+    rows = marked.select("doc_id", "text", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("copy")).mapInArrow(_anchored(length, gram), "bucket long, run long, doc long, place long")
     bucket, run = Window.partitionBy("bucket"), Window.partitionBy("bucket", "run")
-    seen = rows.withColumns({"low": F.min("doc").over(run), "a": F.min("run").over(bucket), "b": F.max("run").over(bucket), "x": F.min("doc").over(bucket), "y": F.max("doc").over(bucket)})
-    taken = F.col("settled") | (F.col("low") < F.col("doc"))
-    found = stash(seen.where(taken | ((F.col("a") < F.col("b")) & (F.col("x") < F.col("y")))).select("bucket", "doc", "start", "n", taken.alias("taken")), "runs")
+    seen = rows.withColumns({"low": F.min("doc").over(run), "a": F.min("run").over(bucket), "b": F.max("run").over(bucket)})
+    taken = (F.col("bucket") < 0) | (F.col("low") < F.col("doc"))
+    several = seen.where(taken | (F.col("a") < F.col("b"))).withColumn("taken", taken)
+    sides = {"left": F.shiftright("run", 52), "right": F.pmod(F.shiftright("run", 40), F.lit(4096))}
+    several = several.withColumns(sides)
+    for side in sides:
+        alike = Window.partitionBy("bucket", side)
+        several = several.withColumn(f"{side}_alike", (F.min("run").over(alike) < F.max("run").over(alike)) & (F.min("doc").over(alike) < F.max("doc").over(alike)))
+    kept = several.where(F.col("taken") | F.col("left_alike") | F.col("right_alike"))
+    found = stash(kept.select("bucket", "doc", F.shiftright("place", 32).cast("int").alias("start"), (F.col("place") % (1 << 32)).cast("int").alias("n"), "taken"), "runs")
 
     open_ = found.where("not taken").groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("runs")).withColumnRenamed("doc", "doc_id")
-    data = stash(docs.join(bounded(open_, BROADCAST_DOCS), "doc_id").select("doc_id", "text", "runs").mapInArrow(_fetched(length), "bucket long, doc long, start int, data binary").distinct(), "bytes")
+    few = found.where("not taken").limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    open_ = F.broadcast(open_) if few else open_
+    data = stash(docs.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(_fetched(length), "bucket long, doc long, start int, data binary").distinct(), "bytes")
     sizes = data.groupBy("bucket").count()
     wide = sizes.where(F.col("count") > WIDE_BUCKET).select("bucket")
     narrow = data.join(wide, "bucket", "left_anti")
@@ -237,8 +255,8 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return found.where("taken").select("doc", "start", "n").union(fine).union(rest)
 
 
-#: Documents whose open runs may be broadcast together (about 100 bytes each).
-BROADCAST_DOCS = 200_000
+#: Open runs that may be broadcast together (24 bytes each), and documents whose spans may.
+BROADCAST_RUNS, BROADCAST_DOCS = 2_000_000, 200_000
 
 
 def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:
