@@ -61,10 +61,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Minhashes of LANE bits."""
+    """Minhashes of LANE bits; a minimum's own top bits are nearly always 0, so they are mixed first."""
     low = np.full(SYMBOLS, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 8192):
         np.minimum(low, (hashes[at : at + 8192, None] * _A + _B).min(0), out=low)
+    low = (low ^ (low >> np.uint64(31))) * _M2
+    low = (low ^ (low >> np.uint64(29))) * _M1
     return (low >> np.uint64(64 - LANE)).astype(np.uint16)
 
 
