@@ -1,4 +1,7 @@
 """All queries of the library outside the training-data operators."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quarrylight.plans import evidence
+
+_MODULES = (evidence,)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
