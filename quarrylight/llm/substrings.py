@@ -255,8 +255,8 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return found.where("taken").select("doc", "start", "n").union(fine).union(rest)
 
 
-#: Open runs that may be broadcast together (24 bytes each), and documents whose spans may.
-BROADCAST_RUNS, BROADCAST_DOCS = 2_000_000, 200_000
+#: Open runs that may be broadcast together, and documents and entries of spans that may (under 50 MB each).
+BROADCAST_RUNS, BROADCAST_DOCS, BROADCAST_ENTRIES = 500_000, 200_000, 800_000
 
 
 def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:
@@ -296,8 +296,16 @@ def _with_spans(documents: DataFrame, length: int, gram: int) -> DataFrame:
     """The documents and, in a column __spans, what repeats in each."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs.where("doc_id is not null and text is not null"), length, gram)
-    spans = stash(starts.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n")).alias("__spans")), "spans")
-    return documents.join(bounded(spans, BROADCAST_DOCS), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    listed = starts.groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("all"))
+    # Starts whose strings touch become one entry, so a document that repeats at length has a short list.
+    touch = lambda last, x: x["start"] <= last["start"] + last["n"] + (length - 1)
+    longer = lambda last, x: F.struct(last["start"].alias("start"), F.greatest(last["n"], x["start"] + x["n"] - last["start"]).alias("n"))
+    nothing = F.expr("cast(array() as array<struct<start:int,n:int>>)")
+    step = lambda done, x: F.when((F.size(done) > 0) & touch(F.try_element_at(done, F.lit(-1)), x), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer(F.try_element_at(done, F.lit(-1)), x)))).otherwise(F.concat(done, F.array(x)))
+    spans = stash(listed.select("__doc", F.aggregate("all", nothing, step).alias("__spans")), "spans")
+    docs_, entries = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
+    few = docs_ <= BROADCAST_DOCS and entries <= BROADCAST_ENTRIES
+    return documents.join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
