@@ -197,8 +197,8 @@ def source_label(title: Column, publisher: Column, published: Column) -> Column:
 
 def numbers_in(c: Column) -> Column:
     """Distinct numbers of a text: group commas and a trailing .0 dropped."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<![\w.])(\d+(?:[.,]\d+)*)"), F.lit(1))
-    plain = F.transform(found, lambda n: F.regexp_replace(F.regexp_replace(n, r",(?=\d{3}\b)", ""), r"(\.\d*?)0+$", "$1"))
+    found = F.regexp_extract_all(c, F.lit(r"(?:^|[^\w.])([0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
+    plain = F.transform(found, lambda n: F.regexp_replace(F.regexp_replace(n, r",([0-9]{3})\b", "$1"), r"(\.\d*?)0+$", "$1"))
     return F.array_distinct(F.transform(plain, lambda n: F.regexp_replace(n, r"\.$", "")))
 
 

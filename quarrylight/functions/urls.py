@@ -15,6 +15,11 @@ _PARTS = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)(?:\?([
 DOI = r"(?i)\b(10\.[0-9]{4,9}/[^\s\"'<>{}\[\]|\\^`]+)"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(F.trim(url), _PARTS, n)
 
@@ -37,47 +42,51 @@ def canonical_url(url: Column) -> Column:
 
     The query stays whole only where it names the page (root or script paths); elsewhere only identifying parameters stay.
     """
-    raw = F.trim(url)
-    port = _part(url, 3)
-    path = F.when(_part(url, 4) == "", "/").otherwise(_part(url, 4))
-    keep_all = (path == "/") | F.lower(path).rlike(r"\.(php|asp|aspx|jsp|cfm)$")
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     drop = lambda p: name(p).rlike("^(utm_|pk_)") | name(p).isin(TRACKING)
-    asked = F.filter(F.split(_part(url, 5), "&"), lambda p: (p != "") & ~drop(p) & (keep_all | name(p).isin(IDENTITY)))
-    pairs = F.array_sort(F.transform(asked, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))))
-    base = F.concat(F.lit("https://"), host_of(url), F.when((port != "") & ~port.isin("80", "443"), F.concat(F.lit(":"), port)).otherwise(""))
-    bare = F.regexp_replace(path, "/+$", "")
-    query = F.array_join(pairs, "&")
-    full = F.when(query == "", F.concat(base, bare)).otherwise(F.concat(base, F.when(bare == "", "/").otherwise(bare), F.lit("?"), query))
-    return F.when(is_http_url(url), full).otherwise(raw)
 
+    def build(u: Column) -> Column:
+        path, port, host, query = u["path"], u["port"], u["host"], u["query"]
+        keep_all = (path == "/") | F.lower(path).rlike(r"\.(php|asp|aspx|jsp|cfm)$")
+        asked = F.filter(F.split(query, "&"), lambda p: (p != "") & ~drop(p) & (keep_all | name(p).isin(IDENTITY)))
+        pairs = F.array_join(F.array_sort(F.transform(asked, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
+        base = F.concat(F.lit("https://"), host, F.when((port != "") & ~port.isin("80", "443"), F.concat(F.lit(":"), port)).otherwise(""))
+        bare = F.regexp_replace(path, "/+$", "")
+        return _let(pairs, lambda q: F.when(q == "", F.concat(base, bare)).otherwise(F.concat(base, F.when(bare == "", "/").otherwise(bare), F.lit("?"), q)))
+
+    host = F.regexp_replace(F.lower(_part(url, 2)), "^www[0-9]?\\.", "")
+    path = _let(_part(url, 4), lambda p: F.when(p == "", "/").otherwise(p))
+    parts = F.struct(host.alias("host"), _part(url, 3).alias("port"), path.alias("path"), _part(url, 5).alias("query"))
+    return F.when(is_http_url(url), _let(parts, build)).otherwise(F.trim(url))
 
-def _trim_tail(d: Column) -> Column:
+
+def _trim_tail(doi: Column) -> Column:
     """Trailing punctuation, and closing brackets without an opening one, go; a few rounds settle any real DOI."""
+
+    def unbracket(d: Column, opening: str, closing: str) -> Column:
+        lacks = F.length(F.replace(d, F.lit(opening), F.lit(""))) > F.length(F.replace(d, F.lit(closing), F.lit("")))
+        return F.when(d.endswith(closing) & lacks, F.substring(d, F.lit(1), F.length(d) - 1)).otherwise(d)
+
     for _ in range(3):
-        d = F.regexp_replace(d, "[.,;:'\">}]+$", "")
-        for opening, closing in (("(", ")"), ("[", "]")):
-            lacks = F.length(F.replace(d, F.lit(opening), F.lit(""))) > F.length(F.replace(d, F.lit(closing), F.lit("")))
-            d = F.when(d.endswith(closing) & lacks, F.substring(d, F.lit(1), F.length(d) - 1)).otherwise(d)
-    return d
+        doi = F.regexp_replace(doi, "[.,;:'\">}]+$", "")
+        doi = _let(doi, lambda d: unbracket(d, "(", ")"))
+        doi = _let(doi, lambda d: unbracket(d, "[", "]"))
+    return doi
 
 
 def normalize_doi(doi: Column) -> Column:
-    d = F.trim(doi)
-    d = F.coalesce(F.try_url_decode(F.replace(d, F.lit("+"), F.lit("%2B"))), d)
+    d = _let(F.trim(doi), lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
     d = F.regexp_replace(d, r"^(?i)https?://(dx\.)?doi\.org/", "")
     d = F.regexp_replace(d, r"^(?i)doi:\s*", "")
     return _trim_tail(F.lower(F.trim(d)))
 
 
 def clean_doi(doi: Column) -> Column:
-    d = F.regexp_replace(normalize_doi(doi), "/(full|abstract|pdf|epdf|html)$", "")
-    return F.when(d.rlike(r"^10\.[0-9]{4,9}/\S+$"), d)
+    return _let(F.regexp_replace(normalize_doi(doi), "/(full|abstract|pdf|epdf|html)$", ""), lambda d: F.when(d.rlike(r"^10\.[0-9]{4,9}/\S+$"), d))
 
 
 def find_doi(text: Column) -> Column:
-    found = F.regexp_extract(text, DOI, 1)
-    return F.when(found != "", clean_doi(found))
+    return _let(F.regexp_extract(text, DOI, 1), lambda found: F.when(found != "", clean_doi(found)))
 
 
 def doi_from_url(url: Column) -> Column:
