@@ -9,8 +9,8 @@ Links are confirmed on full shingle sets.
 
 Scale.  Documents with equal sets are one class from the start.  In a key's bucket all members are compared with its smallest
 (the hub), not with each other; first with the smallest of its hubs, then with those of other components; whoever they explain is done.  Only a
-member outside the hub's component meets the other members of another component, and only within the signature threshold and
-in the first key that the two share, which is part of the join's condition.  That finds every link between components, so components are those of all links.
+member outside the hub's component meets the other members of another component, and only within the signature threshold, in the first key that the two share, and
+if sketches of parities, which bound the sets' difference from below, allow the similarity: all that is part of the join's condition.  That finds every link between components, so components are those of all links.
 
 Defined cases: a document without words has an empty set and is its own component; rows with a null id take no part and come
 back with a null component, kept; rows that repeat an id are one node; further columns are ignored.
@@ -36,6 +36,8 @@ SYMBOLS = CHUNKS * WIDE
 ERRORS = 2 * CHUNKS - 1
 #: Bits of a symbol.  A chunk is five lanes of 12 bits, the top one free, in a long.
 LANE = 11
+#: Bits of the sketch of parities.
+ODD = 1024
 _LOW = sum(((1 << LANE) - 1) << 12 * i for i in range(WIDE))
 _TOP = sum(1 << (12 * i + LANE) for i in range(WIDE))
 
@@ -70,18 +72,28 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(64 - LANE)).astype(np.uint16)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """ODD bits, each the parity of how many shingles fall on it.
+
+    Two sketches differ in at most as many bits as the sets have elements of their own, so sets whose sketches differ too
+    much are certainly not similar.
+    """
+    return np.packbits((np.bincount((hashes % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8))
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, keys, signatures = [], [], []
+                sizes, keys, signatures, odd = [], [], [], []
                 for text in part.column(1).to_pylist():
                     hashes = shingle_set(text, words)
                     sizes.append(len(hashes))
                     keys.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
                     signatures.append(signature(hashes).tobytes() if len(hashes) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+                    odd.append(odd_sketch(hashes).tobytes() if len(hashes) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(odd, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature", "odd"])
 
     return run
 
@@ -111,7 +123,12 @@ def _with_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             lanes = _lanes(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SYMBOLS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(CHUNKS))], ["doc", "n", *(f"s{i}" for i in range(CHUNKS))])
+            odd = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in (lanes, odd) for i in range(x.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc", *_SIDE])
+
+
+_SIDE = ["n", *(f"s{i}" for i in range(CHUNKS)), *(f"o{i}" for i in range(ODD // 64))]
 
 
 def errors(a: str, b: str) -> list[Column]:
@@ -120,9 +137,13 @@ def errors(a: str, b: str) -> list[Column]:
 
 
 def near(a: str, b: str, similarity: int) -> Column:
-    """Whether two signatures may belong together: few errors, and sizes in proportion."""
+    """Whether two signatures may belong together: sizes in proportion, few errors, and sketches that allow the similarity.
+
+    Sets of similarity s have at most (1 - s) / (1 + s) of their sizes' sum as elements of their own.
+    """
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & (reduce(Column.__add__, errors(a, b)) <= ERRORS)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{a}o{i}").bitwiseXOR(F.col(f"{b}o{i}"))) for i in range(ODD // 64)])
+    return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & (reduce(Column.__add__, errors(a, b)) <= ERRORS) & ((100 + similarity) * apart <= (100 - similarity) * (n + m))
 
 
 def first_meeting(slot: Column, a: str, b: str) -> Column:
@@ -168,16 +189,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) ->
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents; similarity in percent."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stash(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, signature binary"), "sketch")
+    sketch = stash(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, signature binary, odd binary"), "sketch")
     usable = sketch.where("doc_id is not null and set_key is not null")
-    classes = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("odd").alias("odd")), "classes")
 
     keys = classes.select("doc", "signature").mapInArrow(_keys, "doc long, slot short, key long")
     shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
     buckets = stash(keys.join(shared, "key").where("doc <> hub"), "buckets")
-    names = ["n", *(f"s{i}" for i in range(CHUNKS))]
-    lanes = classes.select("doc", "n", "signature").mapInArrow(_with_lanes, "doc long, n long, " + ", ".join(f"s{i} long" for i in range(CHUNKS)))
-    side = lambda p, on: lanes.select(F.col("doc").alias(on), *(F.col(c).alias(p + c) for c in names))
+    lanes = classes.select("doc", "n", "signature", "odd").mapInArrow(_with_lanes, "doc long, " + ", ".join(f"{c} long" for c in _SIDE))
+    side = lambda p, on: lanes.select(F.col("doc").alias(on), *(F.col(c).alias(p + c) for c in _SIDE))
 
     def linked(pairs: DataFrame) -> DataFrame:
         close = pairs.join(side("x", "b"), "b").join(side("y", "a"), "a").where(near("x", "y", similarity)).select("a", "b")
