@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import bounded, partitions, stash, table
 
 LENGTH, GRAM = 50, 20
-#: Rows of one bucket from which its strings are told apart by hash, so that no group is refined in one task.
-WIDE_BUCKET = 2_000
+#: Rows of one bucket (70 bytes each) from which its strings are told apart by hash, so that no task refines an unbounded group.
+WIDE_BUCKET = 50_000
 #: Bytes hashed at once, and the longest run of a text that is.
 BLOCK = 1 << 16
 
