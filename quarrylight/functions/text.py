@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stop words of the retrieval tokenizer.
 RETRIEVAL_STOPWORDS = (
@@ -49,7 +50,7 @@ def normalize_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -155,7 +156,7 @@ def title_key(c: Column) -> Column:
     return F.when(F.size(F.split(t, " ")) >= 4, t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 

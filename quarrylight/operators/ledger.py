@@ -87,25 +87,26 @@ def changed_requests(before: DataFrame, after: DataFrame, keys: list[str], parts
 
 
 def apply_answers(plans: DataFrame, answers: DataFrame) -> DataFrame:
-    """Plans with a round's answers taken in: years, regions, side and strength.
+    """Plans with a round's answers taken in: years, regions, side, strength and which claim is meant.
 
-    answers: claim_id, pos, affects, answer; blank answers and "keep as is" change nothing; the last answer of a kind counts.
+    plans: claim_id, claim, year_from, year_to, regions, side, strength; answers: claim_id, pos, affects, answer.  Blank answers and
+    "keep as is" change nothing; the last answer of a kind counts.
     """
     said = answers.where((F.trim("answer") != "") & ~F.lower(F.trim("answer")).startswith("keep as is"))
     kinds = ["years", "regions", "side", "strength", "which_claim"]
-    wide = said.groupBy("claim_id").pivot("affects", kinds).agg(F.max_by("answer", "pos"))
-    years = F.transform(F.regexp_extract_all("years", F.lit(r"((?:1[5-9]|20|21)[0-9]{2})"), F.lit(1)), lambda y: y.cast("int"))
-    rows = plans.join(wide, "claim_id", "left").withColumn("__y", F.when(F.col("years").isNotNull(), years))
-    some = F.coalesce(F.size("__y"), F.lit(0))
-    regions = F.filter(F.transform(F.split("regions_answer", r"\s*[,;]\s*|\s+and\s+"), F.trim), lambda r: r != "")
-    rows = rows.withColumnRenamed("regions", "regions_answer") if "regions" not in plans.columns else rows
+    wide = said.groupBy("claim_id").pivot("affects", kinds).agg(F.max_by("answer", "pos")).select("claim_id", *(F.col(k).alias(f"a_{k}") for k in kinds))
+    years = F.transform(F.regexp_extract_all("a_years", F.lit(r"((?:1[5-9]|20|21)[0-9]{2})"), F.lit(1)), lambda y: y.cast("int"))
+    rows = plans.join(wide, "claim_id", "left").withColumn("y", F.when(F.col("a_years").isNotNull(), years))
+    some = F.coalesce(F.size("y"), F.lit(0))
+    regions = F.filter(F.transform(F.split("a_regions", r"\s*[,;]\s*|\s+and\s+"), lambda t: F.trim(t)), lambda r: r != "")
+    side = F.when(F.col("a_side").rlike("(?i)against|attack|oppos"), "attack").when(F.col("a_side").rlike("(?i)both|either"), "either").when(F.col("a_side").isNotNull(), "support")
     out = rows.withColumns({
-        "year_from": F.when(some >= 1, F.array_min("__y")).otherwise(F.col("year_from")),
-        "year_to": F.when(some >= 2, F.array_max("__y")).otherwise(F.col("year_to")),
-        "plan_regions": F.when(F.col("regions_answer").isNotNull(), regions).otherwise(F.col("plan_regions")),
-        "plan_side": F.coalesce(F.when(F.lower("side").rlike("against|attack|oppos"), "attack").when(F.lower("side").rlike("both|either"), "either").when(F.col("side").isNotNull(), "support"), "plan_side"),
-        "plan_strength": F.coalesce(F.lower("strength"), "plan_strength"),
-        "claim": F.coalesce("which_claim", "claim"),
+        "year_from": F.when(some >= 1, F.array_min("y")).otherwise(F.col("year_from")),
+        "year_to": F.when(some >= 2, F.array_max("y")).otherwise(F.col("year_to")),
+        "regions": F.when(F.col("a_regions").isNotNull(), regions).otherwise(F.col("regions")),
+        "side": F.coalesce(side, "side"),
+        "strength": F.coalesce(F.lower("a_strength"), "strength"),
+        "claim": F.coalesce("a_which_claim", "claim"),
     })
     return out.select(*plans.columns)
 

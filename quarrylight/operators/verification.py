@@ -120,7 +120,7 @@ def guard_numbers(summaries: DataFrame, sources: DataFrame) -> DataFrame:
     summaries: claim_id, doc_id, summary; sources: doc_id, text.
     """
     allowed = sources.select("doc_id", numbers_in(F.col("text")).alias("allowed"))
-    parts = F.filter(F.transform(F.regexp_extract_all("summary", F.lit(r"[^.!?]+(?:[.!?]+[^\s.!?][^.!?]*)*[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.regexp_extract_all("summary", F.lit(r"[^.!?]+(?:[.!?]+[^\s.!?][^.!?]*)*[.!?]*"), F.lit(0)), lambda t: F.trim(t)), lambda s: s != "")
     held = summaries.join(allowed, "doc_id", "left").withColumn("all", parts)
     kept = F.filter("all", lambda s: F.size(F.array_except(numbers_in(s), F.coalesce("allowed", F.expr("cast(array() as array<string>)")))) == 0)
     return held.select("claim_id", "doc_id", F.array_join(kept, " ").alias("summary"), (F.size("all") - F.size(kept)).alias("dropped"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions import urls as U
-from quarrylight.operators import dedupe, ledger, ranking, segment, tiers, verification
+from quarrylight.functions import queries as P
+from quarrylight.operators import dedupe, filters, ledger, ranking, segment, tiers, verification
 from quarrylight.plans.common import claims, table
 from quarrylight.plans.evidence import _S
 
@@ -156,6 +157,23 @@ def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("claim_id", "doc_id", F.round(score, 6).alias("overlap"))
 
 
+def english_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the function-word test and the language column agree."""
+    d = table(spark, sf_dir, "documents").select("lang", filters.english(F.col("text")).alias("english"))
+    return d.groupBy("lang", "english").agg(F.count("*").alias("n"))
+
+
+def fallback_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = P.fallback_plan(claims(spark, sf_dir))
+    return p.select("claim_id", F.md5("normalized_claim").alias("claim"), F.array_join("key_terms", " ").alias("key_terms"), "counter_query")
+
+
+def technical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.expr("cast(array() as array<string>)")
+    d = table(spark, sf_dir, "documents").select("source", P.technical(none, F.array("text")).alias("technical"))
+    return d.groupBy("source").agg(F.count_if("technical").alias("technical"), F.count("*").alias("n"))
+
+
 _CANON = r"""
 u AS (SELECT page_id, trim(url) AS url, regexp_matches(trim(url), '^(?i)https?://[^\s/?#]+\S*$') AS ok,
   regexp_replace(lower(regexp_extract(trim(url), '^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[0-9]?\.', '') AS host,
@@ -172,7 +190,7 @@ n AS (SELECT doc_id, max(sent_idx) + 1 AS n FROM s GROUP BY doc_id),
 ch AS (SELECT doc_id, n, unnest(range(greatest(1, ceil((n - 1) / 3.0)::INT))) AS chunk_idx FROM n),
 l AS (SELECT doc_id, chunk_idx, n, chunk_idx * 3 AS a, least(chunk_idx * 3 + 4, n) - 1 AS z, (doc_id + chunk_idx) % 6 AS kind FROM ch)"""
 
-QUERIES = {f.__name__: f for f in (page_identity, page_groups, host_counts, busy_domains, redacted_texts, normalized_texts, text_numbers, page_problems, verified_labels, rejected_labels, label_requests, best_tiers, reserved_selection, interleaved_lists, usage_ledger, history_latest, budget_prefix, changed_sources, overlap_scores)}
+QUERIES = {f.__name__: f for f in (page_identity, page_groups, host_counts, busy_domains, redacted_texts, normalized_texts, text_numbers, page_problems, verified_labels, rejected_labels, label_requests, best_tiers, reserved_selection, interleaved_lists, usage_ledger, history_latest, budget_prefix, changed_sources, overlap_scores, english_documents, fallback_plans, technical_claims)}
 _HOST = r"regexp_replace(lower(regexp_extract(trim(url), '^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[0-9]?\.', '')"
 _RAW = T.INJECTION.replace("'", "''")
 SQL = {
@@ -228,4 +246,9 @@ SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved_at, pos, event_type FR
 SELECT job, batch, running::BIGINT AS running FROM r WHERE running <= 19000""",
     "changed_sources": """WITH p AS (SELECT user_id, event_type, day(ts) % 2 AS half, count(*) AS n FROM events GROUP BY ALL)
 SELECT a.user_id, a.event_type FROM p a LEFT JOIN p b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.half = 0 WHERE a.half = 1 AND (b.n IS NULL OR a.n <> b.n)""",
+    "fallback_plans": f"""WITH c AS (SELECT item_id AS claim_id, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 400) AS c FROM benchmark),
+w AS (SELECT claim_id, c, list_filter(string_split_regex(trim(regexp_replace(lower(c), '[^a-z0-9\\s-]', ' ', 'g')), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({P.PLANNER_STOPWORDS}, w)) AS w FROM c),
+k AS (SELECT claim_id, c, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 8) AS k FROM w)
+SELECT claim_id, md5(c) AS claim, array_to_string(k, ' ') AS key_terms, 'evidence against: ' || CASE WHEN len(k) > 0 THEN array_to_string(list_slice(k, 1, 6), ' ') ELSE c END AS counter_query FROM k""",
+    "technical_claims": f"""SELECT source, count(*) FILTER (WHERE regexp_matches(lower(text), '{P.TECHNICAL_TERM}')) AS technical, count(*) AS n FROM documents GROUP BY source""",
 }
