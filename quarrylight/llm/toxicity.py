@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ NEAR = -0.5
 SOFT = 0.001
 THRESHOLD = 0.7
 LONGEST = 40
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 300_000
 
 #: Offsets of the later three symbols of a subsequence, with its weight.
 _SHAPES = [((b, c, d), DECAY ** (d + 1)) for b in range(1, SPAN) for c in range(b + 1, SPAN) for d in range(c + 1, SPAN)]
@@ -149,15 +150,17 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
+#: Decisions of words met before, of the model that this worker used last; older models' are dropped.
+_KNOWN: dict[str, float] = {}
+_KNOWN_OF: list[str] = [""]
+
+
 class Model:
     """Weights of subsequences, bias, and the logistic curve of decisions."""
 
     def __init__(self, table_: np.ndarray | None = None, bias: float = -1.0, slope: float = 0.0, offset: float = -1e9):
         self.table, self.bias, self.slope, self.offset = table_, bias, slope, offset
-        self.cache: dict[str, float] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+        self.name = uuid.uuid4().hex
 
     def decisions(self, words: list[str]) -> np.ndarray:
         parts, owner = [], []
@@ -182,13 +185,16 @@ class Model:
         if self.table is None:
             return [self.bias] * len(texts)
         sets = [set(words_of(t)) if t else set() for t in texts]
-        new = list({w for s in sets for w in s if w not in self.cache})
+        if _KNOWN_OF[0] != self.name:
+            _KNOWN.clear()
+            _KNOWN_OF[0] = self.name
+        new = list({w for s in sets for w in s if w not in _KNOWN})
         if new:
-            if len(self.cache) + len(new) > CACHE_TOKENS:
-                self.cache.clear()
+            if len(_KNOWN) + len(new) > CACHE_TOKENS:
+                _KNOWN.clear()
                 new = list({w for s in sets for w in s})
-            self.cache.update(zip(new, self.decisions(new).tolist(), strict=True))
-        return [max(map(self.cache.__getitem__, s), default=self.bias) for s in sets]
+            _KNOWN.update(zip(new, self.decisions(new).tolist(), strict=True))
+        return [max(map(_KNOWN.__getitem__, s), default=self.bias) for s in sets]
 
     def probability(self, decisions: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(decisions, 1.0) + self.offset, -40, 40)))
