@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import held_out, keep_rows, table
+from quarrylight.llm.common import held_out, keep_rows, stash, table
 
 TEXTS = 1200
 POSITIVE, NEGATIVE = 600, 8000
@@ -254,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts * (3 - 2 * F.col("toxic"))).drop("n")
     known = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 4 * texts rows at most
     known = known.select("toxic", "text").repartition(8, F.xxhash64("text")).persist()
-    seen = known.mapInArrow(_contexts, "word string, context string, toxic long").distinct().groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    contexts = known.mapInArrow(_contexts, "word string, context string, toxic long").distinct()
+    seen = stash(contexts.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "contexts")
     total = seen.agg(F.sum("bad"), F.sum("good")).first()
     if not total[0] or not total[1]:
         known.unpersist()
