@@ -136,7 +136,7 @@ def cosine_search(rows: DataFrame, k: int, every: int = 50, parts: int = PARTS,
     held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     parts = router.w[3].size
     size = np.array([held.get(p, 0) for p in range(parts)])
-    blocks = np.maximum(1, -(-size // vectors.CELL_ROWS))
+    blocks = np.maximum(1, -(-size // (vectors.CELL_ROWS // 2)))  # parts vary in size: smaller cells even that out
     first, decks = np.concatenate(([0], np.cumsum(blocks))), -(-asked // vectors.CELL_QUERIES)
 
     def visit(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:

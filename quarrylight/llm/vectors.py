@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Candidates, and queries, that a cell holds on average.
-CELL_ROWS, CELL_QUERIES = 20_000, 2_000
+CELL_ROWS, CELL_QUERIES = 4_000, 2_000
 
 
 def usable(rows: DataFrame, nonzero: bool) -> DataFrame:
