@@ -219,7 +219,7 @@ def test_toxicity_held_out_and_odd_rows(spark):
     odd = rows(toxicity.score(spark.createDataFrame(ODD, DOCS), model))
     assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
     none = toxicity.fit(frame, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r["score"] for r in rows(toxicity.score(frame, none))} == {pytest.approx(0.0, abs=1e-12)}
+    assert max(r["score"] for r in rows(toxicity.score(frame, none))) < 1e-12
     assert toxicity.keep_clean(frame, model).columns == frame.columns
 
 
