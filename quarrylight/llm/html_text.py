@@ -1,14 +1,16 @@
 """Main text of web pages, with a host suffix array that tells boilerplate from text.
 
 Method.  A page is read as a stream of block tokens: the texts of its block elements in order.  The streams of a host's
-pages form one sequence whose suffixes start at blocks; two suffixes count as equal on the shortest prefix of whole blocks that has
-``RUN_WORDS`` words, so the suffix array is built by grouping suffixes on that prefix, spread over the
-cluster by (host, prefix) instead of sorted in one place.  A prefix found on many distinct pages of its host is a long
-repeated substring; the blocks it covers are boilerplate, whatever their markup, and only unique runs are kept.
+pages form one sequence whose suffixes start at every word.  The suffix array is built by grouping suffixes on their prefix of
+``RUN_WORDS`` words, spread over the cluster by (host, prefix) instead of sorted in one place.  A word lies in a repeated
+substring of at least that length exactly if one of the prefixes that cover it repeats, so longer common prefixes need no
+refining.  Pages are counted by their content (the block stream, not id, url or markup): a page stored several times counts once.
 
-Markup decides first where it is explicit: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments go, and what stands in an article (or main) element is kept whole, since passages that several articles share are
-text, not boilerplate.  The suffix array decides on all blocks for which markup says neither.
+The array decides on every block that does not stand in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments, which go at once.  A block all of whose words lie in repeated prefixes goes; of another block
+the sentences that lie whole in repeated prefixes within it go, and unique runs stay.  What counts as repeated depends on the evidence of the markup:
+outside an article (or main) element few pages are enough; in an article, whose passages other articles may share,
+it takes half of the host's pages and at least ``ARTICLE_PAGES``.
 
 Defined cases: null html gives an empty text; a null url is a host of its own name ''; repeated rows count as one page and
 are each answered; further columns are ignored.
@@ -20,16 +22,21 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bounded, stash, table
+from quarrylight.llm.common import stash, table
 
 RUN_WORDS = 8
 #: A prefix is boilerplate on at least so many pages, and on this share of the host's.
 LEAST_PAGES, SHARE = 3, 0.2
+#: The same for a prefix inside an article.
+ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.5
+#: Repeated prefixes that every worker may hold (16 bytes each); more are joined.
+HELD = 1_000_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
@@ -119,7 +126,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
 
 
 def runs(found: list[tuple[int, str]], words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
-    """For each suffix its key and the blocks [first, end) of its shortest prefix of enough words."""
+    """Of the suffixes that start at blocks, the key and the blocks [first, end) of the shortest prefix of enough words."""
     sizes = [t.count(" ") + 1 for _, t in found]
     out, end, held = [], 0, 0
     for first in range(len(found)):
@@ -133,55 +140,129 @@ def runs(found: list[tuple[int, str]], words: int = RUN_WORDS) -> list[tuple[int
     return out
 
 
+_FACTORS = [np.uint64(xxhash.xxh3_64_intdigest(str(i)) | 1) for i in range(RUN_WORDS + 1)]
+
+
+def grams(found: list[tuple[int, str]], host: str | None) -> tuple[list[str], np.ndarray, int]:
+    """The stream's words, for each suffix the key of (host, its first RUN_WORDS words), and the key of the host itself."""
+    tokens = [w for _, text in found for w in text.split(" ")]
+    seed = xxhash.xxh3_64_intdigest(host or "")
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    n = max(len(tokens) - RUN_WORDS + 1, 0)
+    keys = np.full(n, seed, np.uint64)
+    for j in range(RUN_WORDS):
+        keys += hashes[j : j + n] * _FACTORS[j]
+    keys = (keys ^ (keys >> np.uint64(31))) * _FACTORS[RUN_WORDS]
+    return tokens, (keys ^ (keys >> np.uint64(29))).view(np.int64), seed - (1 << 63)
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row its different keys and its host's key, which counts the host's pages."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            hosts, keys, pages, neutral = [], [], [], []
-            for host, page, text in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+        for at in range(0, batch.num_rows, 128):
+            keys, rows, pages = [], [], []
+            for host, row, text in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
                 found = blocks(text)
-                own = {key: any(found[i][0] == NEUTRAL for i in range(a, b)) for key, a, b in runs(found)}
-                hosts += [host] * len(own)
-                pages += [page] * len(own)
-                keys += own.keys()
-                neutral += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(neutral, pa.bool_())], ["host", "key", "page", "neutral"])
-
-
-def main_text(found: list[tuple[int, str]], repeated: set[int]) -> tuple[str, int]:
-    """Text of the kept blocks, and how many neutral blocks the suffix array removed."""
-    covered: set[int] = set()
-    if repeated:
-        for key, a, b in runs(found):
-            if key in repeated:
-                covered.update(range(a, b))
-    if any(kind == ARTICLE for kind, _ in found):
-        return "\n".join(t for kind, t in found if kind == ARTICLE), 0
-    kept = [t for i, (kind, t) in enumerate(found) if kind == NEUTRAL and i not in covered]
-    return "\n".join(kept), sum(kind == NEUTRAL for kind, _ in found) - len(kept)
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            done = [main_text(blocks(page), set(keys or ())) for page, keys in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated_blocks"])
+                _, own, whole = grams(found, host)
+                own = np.append(np.unique(own), whole)
+                page = xxhash.xxh3_64_intdigest("\n".join(t for _, t in found)) - (1 << 63)
+                keys.append(own)
+                rows.append(np.full(len(own), row, np.int64))
+                pages.append(np.full(len(own), page, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, rows, pages)], ["key", "row", "page"])
+
+
+def unique(words: list[str], repeated: list[bool]) -> list[str]:
+    """The words without the whole sentences that are repeated; the repeated start of a unique sentence is text."""
+    out: list[str] = []
+    begin = 0
+    for i, word in enumerate(words, 1):
+        if i == len(words) or word.rstrip("\"')]”’»")[-1:] in (".", "!", "?", "…"):
+            if not all(repeated[begin:i]):
+                out += words[begin:i]
+            begin = i
+    return out
+
+
+def main_text(found: list[tuple[int, str]], tokens: list[str], neutral: np.ndarray, article: np.ndarray) -> tuple[str, int]:
+    """The text that is kept, and how many blocks the suffix array removed.
+
+    neutral, article: for each suffix whether its prefix is repeated by the measure of that kind of block.
+    """
+    if not neutral.any() and not article.any():
+        return "\n".join(t for kind, t in found if kind != CHROME), 0
+    ends = np.cumsum([t.count(" ") + 1 for _, t in found])
+    block = np.repeat(np.arange(len(found)), np.diff(ends, prepend=0))
+
+    def covered(hits: np.ndarray) -> np.ndarray:
+        steps = np.zeros(len(tokens) + 1, np.int64)
+        steps[: len(hits)] += hits
+        steps[RUN_WORDS : RUN_WORDS + len(hits)] -= hits
+        return np.cumsum(steps[:-1]) > 0
+
+    within = block[: len(neutral)] == block[RUN_WORDS - 1 :]
+    spans = {kind: (covered(hits), covered(hits & within)) for kind, hits in ((NEUTRAL, neutral), (ARTICLE, article))}
+    kept, removed, begin = [], 0, 0
+    for (kind, text), end in zip(found, ends.tolist(), strict=True):
+        if kind != CHROME:
+            anywhere, inside = (x[begin:end] for x in spans[kind])
+            if anywhere.all():
+                removed += 1
+            elif inside.any():
+                kept.append(" ".join(unique(tokens[begin:end], inside.tolist())))
+            else:
+                kept.append(text)
+        begin = end
+    return "\n".join(kept), removed
+
+
+def _texts(held, least_pages: int, share: float):
+    """held: the repeated keys, sorted, with their pages (a broadcast); None if each row brings its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part, done = batch.slice(at, 1024), []
+                lists = part.column(4).to_pylist() if held is None else [None] * part.num_rows
+                for host, page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), lists, strict=True):
+                    found = blocks(page)
+                    tokens, keys, whole = grams(found, host)
+                    if held is None:
+                        pairs = sorted((x["key"], x["n"]) for x in own or ())
+                        known, counts = (np.array([x[i] for x in pairs], np.int64) for i in (0, 1))
+                    else:
+                        known, counts = held.value
+                    asked = np.append(keys, whole)
+                    n = np.zeros(len(asked), np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                        n = np.where(known[place] == asked, counts[place], 0)
+                    n, pages = n[:-1], n[-1]
+                    done.append(main_text(found, tokens, (n >= least_pages) & (n >= share * pages), (n >= max(least_pages, ARTICLE_PAGES)) & (n >= max(share, ARTICLE_SHARE) * pages)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated_blocks"])
+
+    return run
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, held: int = HELD) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated_blocks for every page."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    rows = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
-    suffixes = stash(rows.select("host", "page", "html").mapInArrow(_suffixes, "host string, key long, page long, neutral boolean"), "suffixes")
-    many = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    asked = suffixes.where("neutral").select("host", "key").distinct()  # only these prefixes decide anything
-    exact = suffixes.join(asked, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.count_distinct("page").alias("n"))
-    frequent = exact.join(many, "host").where((F.col("n") >= least_pages) & (F.col("n") >= share * F.col("pages"))).select("host", "key")
-    hits = suffixes.where("neutral").join(frequent, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("keys"))
-    hits = bounded(stash(hits, "hits"), 100_000)
-    joined = rows.select("page_id", "url", "html", F.col("page").alias("own")).join(hits, F.col("own") == F.col("page"), "left")
-    return joined.select("page_id", "url", "html", "keys").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_repeated_blocks long")
+    rows = rows.withColumn("own", F.xxhash64("host", "html"))
+    suffixes = rows.select("host", "own", "html").mapInArrow(_suffixes, "key long, row long, page long")
+    # One exchange by key serves the distinct pages and their number alike.
+    counts = suffixes.select("key", "page").repartition("key").groupBy("key").agg(F.count_distinct("page").alias("n"))
+    frequent = stash(counts.where(F.col("n") >= least_pages), "frequent")
+    out = "page_id long, url string, text string, n_chars long, n_repeated_blocks long"
+    asked = rows.select("page_id", "url", "host", "html")
+    if frequent.limit(held + 1).count() <= held:
+        found = frequent.orderBy("key").toArrow()
+        pair = tuple(found.column(x).to_numpy() for x in ("key", "n"))
+        return asked.mapInArrow(_texts(pages.sparkSession.sparkContext.broadcast(pair), least_pages, share), out)
+    hits = suffixes.select("key", "row").join(frequent, "key").groupBy("row").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
+    joined = rows.join(hits, F.col("own") == F.col("row"), "left").select("page_id", "url", "host", "html", "keys")
+    return joined.mapInArrow(_texts(None, least_pages, share), out)
 
 
 def op3_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,23 @@ def test_html_article_and_neutral_pages(spark):
     assert rows(html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+@pytest.mark.parametrize("held", [html_text.HELD, 0])
+def test_html_array_decides_on_all_blocks(spark, held):
+    own = lambda i: f"Page {i} tells of harbour {i} and of ship {i} at length"
+    same = "Read all our other stories on this site every single day."
+    teaser = lambda i: f"<body><article><p>Teaser number {i}</p></article><div>{own(i)}</div><div>{same}</div></body>"
+    inside = lambda i: f"<body><article><p>{own(i)}</p><p>{same}</p><p>{same} {own(i + 50)}</p></article></body>"
+    pages = [(i, f"https://a.example/{i}", teaser(i)) for i in range(5)]
+    pages += [(100 + i, f"https://b.example/{i}", inside(i)) for i in range(12)]
+    pages += [(200 + i, f"https://c.example/?copy={i}", f"<body><!-- {i} --><div>{own(7)}</div></body>") for i in range(4)]
+    pages += [(300 + i, f"https://d.example/{i}", inside(i)) for i in range(4)]  # too few pages to overrule an article
+    out = {r["page_id"]: r["text"] for r in rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), held=held))}
+    assert all(out[i] == f"Teaser number {i}\n{own(i)}" for i in range(5))
+    assert all(out[100 + i] == f"{own(i)}\n{own(i + 50)}" for i in range(12))
+    assert all(out[200 + i] == own(7) for i in range(4))
+    assert all(out[300 + i] == f"{own(i)}\n{same}\n{same} {own(i + 50)}" for i in range(4))
+
+
 def test_suffixes_against_plain_search():
     rng = random.Random(9)
     found = [(1, " ".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))) for _ in range(40)]
