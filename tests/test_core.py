@@ -95,6 +95,16 @@ def test_sentences_keep_offsets(spark):
     assert max(map(len, first)) <= 600 and [r["text"] for r in s if r["doc_id"] == 2] == ["no stop"]
 
 
+def test_sentences_of_a_very_long_text(spark):
+    """Nothing is cut: the last of many sentences is there, with its offsets."""
+    t = "Some words stand here. " * 12_000 + "The very last one."
+    d = segment.build_docs(docs_of(spark, t))
+    s = segment.sentences(d)
+    last = s.orderBy(F.desc("sent_idx")).first()
+    assert (last["text"], last["sent_idx"], last["end"]) == ("The very last one.", 12_000, len(t))
+    assert segment.chunks(s).agg(F.max("sent_end")).first()[0] == 12_000
+
+
 def test_offsets_hold_on_driver_data(spark, data):
     d = segment.build_docs(spark.read.parquet(f"{data}/documents.parquet"))
     s = segment.sentences(d).join(d.withColumnRenamed("text", "doc"), "doc_id")
