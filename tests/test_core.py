@@ -260,6 +260,13 @@ def test_english(spark):
     assert not get("Der Einfluss des Mindestlohns auf die Beschäftigung von jungen Menschen ist nicht klar")
 
 
+def test_english_reads_the_whole_text(spark):
+    get = lambda s: one(spark, filters.english(F.col("s")), s=s)
+    en, de = "The effect of wages on the employment of young people in cities. ", "Der Einfluss der Löhne auf die Arbeit von jungen Menschen ist nicht klar. "
+    mixed = lambda ends, rest: ends * 40 + rest * 200 + ends * 60 + rest * 200 + ends * 40
+    assert not get(mixed(en, de)) and get(mixed(de, en))
+
+
 def test_best_texts(spark):
     long_, rows = "x " * 300, []
     rows += [(1, "pdf", "short", None), (1, "page", long_, "paywall"), (1, "snippet", "s" * 50, None), (2, "page", long_, None), (2, "supplied", long_ + "y", None), (3, "snippet", "tiny", None)]
