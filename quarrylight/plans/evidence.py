@@ -26,8 +26,8 @@ def flagship_verbatim_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that read like a claim: 12 to 4000 characters and three words or more."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(T.normalize_ws(F.col("text")), 1, 4000).alias("claim"))
+    """Texts that read like a claim: 12 to 4000 characters and three words or more.  A longer turn is no claim, nor is its beginning."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_ws(F.col("text")).alias("claim"))
     return turns.where(F.length("claim").between(12, 4000) & (T.count_words(F.col("claim")) >= 3))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import dates, queries, text, urls
 from quarrylight.operators import biblio, dedupe, filters, ledger, ranking, retrieval, segment, tiers, verification
+from quarrylight.plans import evidence
 from quarrylight.sources import labels, markdown, scholarly
 
 
@@ -260,6 +261,14 @@ def test_english(spark):
     assert not get("Der Einfluss des Mindestlohns auf die Beschäftigung von jungen Menschen ist nicht klar")
 
 
+def test_intake_returns_whole_turns_only(spark, tmp_path):
+    whole = ("word " * 800).strip()
+    rows = [("a", 1, whole), ("a", 2, whole + " word"), ("a", 3, "too short"), ("a", 4, "x " * 1999 + "yz"), ("a", 5, "x " * 2000 + "y")]
+    spark.createDataFrame(rows, "conv_id string, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["claim"] for r in evidence.claims_intake(spark, str(tmp_path)).collect()}
+    assert got == {1: whole, 4: rows[3][2]}
+
+
 def test_english_reads_the_whole_text(spark):
     get = lambda s: one(spark, filters.english(F.col("s")), s=s)
     en, de = "The effect of wages on the employment of young people in cities. ", "Der Einfluss der Löhne auf die Arbeit von jungen Menschen ist nicht klar. "
