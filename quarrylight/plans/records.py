@@ -144,17 +144,22 @@ def changed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each claim's vocabulary the documents that share its rarest word cover."""
-    c = claims(spark, sf_dir).select("claim_id", F.array_distinct(T.content_tokens(F.col("text"))).alias("w"), "text")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = d.select("doc_id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("word"))
-    asked = c.select("claim_id", F.explode("w").alias("word"))
-    counts = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").count()
-    rare = asked.join(counts, "word").groupBy("claim_id").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    pairs = rare.join(words, "word").select("claim_id", "doc_id")
-    rows = pairs.join(c.select("claim_id", F.slice("w", 1, 8).alias("terms"), F.col("text").alias("para")), "claim_id").join(d, "doc_id")
-    score = ranking.keyword_overlap(F.col("text"), F.col("terms"), F.col("para"))
-    return rows.select("claim_id", "doc_id", F.round(score, 6).alias("overlap"))
+    """How much of each claim's vocabulary every document that shares a word with it covers.
+
+    The score is that of ranking.keyword_overlap with all of the claim's words as key terms; words meet by equality and are counted per pair.
+    """
+    c = claims(spark, sf_dir).select("claim_id", F.array_distinct(T.content_tokens(F.col("text"))).alias("w"))
+    terms = c.select("claim_id", "w", F.filter(F.transform("w", T.content_tokens), lambda t: F.size(t) > 0).alias("terms"))
+    sizes = terms.select("claim_id", F.size("w").alias("n_words"), F.size("terms").alias("n_terms"))
+    para = terms.select("claim_id", F.explode("w").alias("word"), F.lit(1).alias("para"), F.lit(0).alias("term"))
+    key = terms.select("claim_id", F.explode(F.flatten("terms")).alias("word"), F.lit(0).alias("para"), F.lit(1).alias("term"))
+    asked = para.union(key).groupBy("claim_id", "word").agg(F.sum("para").alias("para"), F.sum("term").alias("term"))
+    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("word"))
+    hits = held.join(asked, "word").groupBy("claim_id", "doc_id").agg(F.sum("para").alias("para"), F.sum("term").alias("hits")).join(sizes, "claim_id")
+    term_score = F.when(F.col("n_terms") > 0, F.least(F.lit(1.0), F.col("hits") / F.least(F.col("n_terms"), F.lit(5)))).otherwise(0.0)
+    para_score = F.least(F.lit(1.0), F.col("para") / F.col("n_words") * 2)
+    score = F.when(F.col("n_terms") == 0, para_score).otherwise(0.6 * term_score + 0.4 * para_score)
+    return hits.select("claim_id", "doc_id", F.round(score, 6).alias("overlap"))
 
 
 def english_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import dates, queries, text, urls
 from quarrylight.operators import biblio, dedupe, filters, ledger, ranking, retrieval, segment, tiers, verification
-from quarrylight.plans import evidence
+from quarrylight.plans import evidence, records
 from quarrylight.sources import labels, markdown, scholarly
 
 
@@ -269,6 +269,21 @@ def test_intake_returns_whole_turns_only(spark, tmp_path):
     assert got == {1: whole, 4: rows[3][2]}
 
 
+def test_overlap_scores_every_pair_that_shares_a_word(spark, tmp_path):
+    """Against the expression on all pairs: documents without the rarest word, long claims, words whose fold is a stop word."""
+    claims = [(1, "minimum wages reduce employment among teenagers in zanzibar"), (2, "alpha beta gamma delta epsilon zeta theta iota kappa lambda omega"), (3, "the of"), (4, "thats glasses")]
+    docs = [(1, "zanzibar"), (2, "Minimum wages reduce employment among teenagers"), (3, "omega lambda and kappa"), (4, "nothing shared"), (5, None), (6, "glasses in a class, a glasse"), (7, "kappa kappa")]
+    c, d = spark.createDataFrame(claims, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    c.write.parquet(f"{tmp_path}/benchmark.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = c.select("item_id", F.col("text").alias("para"), F.array_distinct(text.content_tokens(F.col("text"))).alias("terms")).crossJoin(d.where("text is not null"))
+    brute = pairs.select("item_id", "doc_id", F.round(ranking.keyword_overlap(F.col("text"), F.col("terms"), F.col("para")), 6).alias("overlap")).where("overlap > 0")
+    want = {(r["item_id"], r["doc_id"]): r["overlap"] for r in brute.collect()}
+    got = [tuple(r) for r in records.overlap_scores(spark, str(tmp_path)).collect()]
+    assert {(1, 2), (2, 3), (2, 7), (4, 6)} <= want.keys() and len(got) == len(want)
+    assert {(a, b): v for a, b, v in got} == pytest.approx(want)
+
+
 def test_english_reads_the_whole_text(spark):
     get = lambda s: one(spark, filters.english(F.col("s")), s=s)
     en, de = "The effect of wages on the employment of young people in cities. ", "Der Einfluss der Löhne auf die Arbeit von jungen Menschen ist nicht klar. "
