@@ -137,6 +137,19 @@ def test_license_scan_finds_all_and_only(spark):
     assert found == {10: ["mit-line", "mit-line"], 11: ["apache-2.0-notice"], 12: ["cc-by-nc-4.0-line"]}
 
 
+def test_license_scan_tells_siblings_apart(spark):
+    """Every template is found as itself, alone; siblings that no template has are not reported as their relatives."""
+    every = sorted(licenses.TEMPLATES)
+    docs = [(i, "Some prose stands before it. " + licenses.TEMPLATES[n] + " And prose after it.", None, None, None, None) for i, n in enumerate(every)]
+    unlisted = ["Released under the Frobnitz License.", "Licensed under CC BY-XX 9.0.", "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU Lesser General Public License, version 7."]
+    docs += [(1000 + i, t, None, None, None, None) for i, t in enumerate([*unlisted, "Released under the BSD License.", "Licensed under CC BY-ND 4.0."])]
+    found = {}
+    for r in rows(licenses.scan(spark.createDataFrame(docs, DOCS))):
+        found.setdefault(r["doc_id"], []).append(r["license"])
+    assert {every[i]: found.get(i) for i in range(len(every))} == {n: [n] for n in every}
+    assert {k: v for k, v in found.items() if k >= 1000} == {1004: ["bsd-released-line"], 1005: ["cc-by-nd-4.0-line"]}
+
+
 def test_license_filter_loses_nothing():
     """Windows against alignment from every position."""
     rng = random.Random(4)
