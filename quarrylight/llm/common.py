@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,14 +63,51 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+#: Bytes of text, and rows, that a worker handles at once.
+SLICE_BYTES, SLICE_ROWS = 3_000_000, 2_048
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded size, at least one row each; column ``text`` holds the texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and (held + size > SLICE_BYTES or i - begin >= SLICE_ROWS):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows, with all their columns, for whose texts ``decide`` (list of texts or nulls -> list of bool) says yes."""
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in slices(batch, at):
                 yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_CACHES: dict[str, Callable[[], object]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], object]) -> None:
+    """Before an operator fills its cache in a worker, let the caches that other operators left there go, back to the system."""
+    if name in _CACHES:
+        return
+    others = list(_CACHES.values())
+    _CACHES.clear()
+    _CACHES[name] = clear
+    for other in others:
+        other()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: the memory is reused, but not given back
+            pass

@@ -92,24 +92,47 @@ def brute_viterbi(model, scores, word):
     return out[::-1]
 
 
-def test_pieces_viterbi_and_round_trip(spark):
-    path = tokenizers.path("piece_bpe_32k.model")
-    model = pieces.Pieces(path)
-    scores = {}
-    for n, (_, ids, values) in model.tables.items():
-        scores |= {model.text[i].decode(): (v, i) for i, v in zip(ids.tolist(), values.tolist(), strict=True)}
-        assert all(len(model.text[i].decode()) == n for i in ids.tolist())
+def test_pieces_best_sum():
+    """A vocabulary with log probabilities: the best sum, as a plain Viterbi finds it."""
+    model = pieces.Pieces(tokenizers.path("piece_bpe_32k.model"))
+    model.merges, model.blanks = None, {}
+    model.score = -np.log(300.0 + np.arange(len(model.text)) * 7919 % 31991)
+    ids = model.piece[model.piece >= 0].tolist()
+    model.floor = float(model.score[ids].min()) - pieces.UNKNOWN
+    scores = {model.text[i].decode(): (model.score[i], i) for i in ids}
     rng = random.Random(2)
-    words = ["▁" + "".join(rng.choice("abcdeéßñ漢😀1.,'") for _ in range(rng.randint(1, 18))) for _ in range(300)] + ["▁the", "▁▁▁", "▁straße"]
-    model.learn(set(words))
-    for w in words:
-        assert np.frombuffer(model.cache[w], "<u4").tolist() == brute_viterbi(model, scores, w)
+    words = ["▁" + "".join(rng.choice("abcdeéßñ漢😀1.,'") for _ in range(rng.randint(1, 18))) for _ in range(300)] + ["▁the", "▁straße"]
+    for n in {len(w) for w in words}:
+        group = [w for w in words if len(w) == n]
+        for w, got in zip(group, model.viterbi(group), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == brute_viterbi(model, scores, w)
+
+
+def test_pieces_are_the_librarys(data):
+    """A merge-trained vocabulary: the library's own ids, on whole documents and on odd text of every kind."""
+    import pyarrow.parquet as pq
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    model, library = pieces.Pieces(path), SentencePieceProcessor(model_file=path)
+    texts = [t or "" for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist()]
+    rng = random.Random(1)
+    letters = "aabbcde  ▁éßÀ你好の😀\n\t'.,0123的是一不了在人有the in"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 5, 9, 30, 200]))) for _ in range(3000)]
+    texts += [unit * k for unit in (" ", "a", "ab", "你", "▁") for k in (0, 1, 2, 15, 16, 17, 33, 700)] + [" " * k + "x你"[k % 2] + " " * k for k in range(40)]
+    got = model.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library.encode(texts)
+
+
+def test_pieces_round_trip(spark):
+    path = tokenizers.path("piece_bpe_32k.model")
     texts = ["Hello  world.\nNew\tline", "漢字 😀", " leading and trailing ", "a" * 5000]
     docs = spark.createDataFrame([(100 + i, t, None, None, None, None) for i, t in enumerate(texts)] + ODD, DOCS)
     back = {r["doc_id"]: r["text"] for r in rows(pieces.decode(pieces.encode(docs, path), path))}
     assert [back[100 + i] for i in range(len(texts))] == texts
     assert all(r["same_text"] for r in rows(pieces.digest(docs, path)))
     assert {r["n_ids"] for r in rows(pieces.digest(docs, path)) if r["doc_id"] in (1, 2)} == {0}
+    assert rows(pieces.digest(docs.limit(0), path)) == [] and rows(pieces.encode(docs.limit(0), path)) == []
 
 
 def test_patience_alignment():
