@@ -291,6 +291,17 @@ def test_english_reads_the_whole_text(spark):
     assert not get(mixed(en, de)) and get(mixed(de, en))
 
 
+def test_english_against_other_languages(spark):
+    get = lambda s: one(spark, filters.english(F.col("s")), s=s)
+    others = [
+        "L'impact du salaire minimum sur l'emploi des jeunes dans les villes", "O efeito do salário mínimo sobre o emprego dos jovens nas cidades",
+        "L'effetto del salario minimo sull'occupazione dei giovani nelle città", "Het effect van het minimumloon op de werkgelegenheid van jongeren",
+        "Minimilönens effekt på sysselsättningen för unga i städerna", "Tác động của tiền lương tối thiểu đến việc làm của thanh niên", "Влияние минимальной заработной платы", "",
+    ]
+    assert not any(map(get, others))
+    assert all(map(get, ["Café culture and the wages of waiters", "It's not what they don't say", "Deep Residual Learning", "See https://el.example/los/de/la for the data on wages and what it says about the young"]))
+
+
 def test_best_texts(spark):
     long_, rows = "x " * 300, []
     rows += [(1, "pdf", "short", None), (1, "page", long_, "paywall"), (1, "snippet", "s" * 50, None), (2, "page", long_, None), (2, "supplied", long_ + "y", None), (3, "snippet", "tiny", None)]
@@ -341,6 +352,25 @@ def test_markdown(spark):
     assert "Head" in out and "See the site and ." in out and "item bold" in out and "c d" in out and "gone" not in out and "---" not in out
 
 
+@pytest.mark.parametrize(
+    ("md", "want"),
+    [
+        ("> quoted **bold *and* slanted** end", "quoted bold and slanted end"),
+        ("snake_case_name and 2 * 3 * 4", "snake_case_name and 2 * 3 * 4"),
+        (r"kept \*stars\* and \_lines\_", "kept *stars* and _lines_"),
+        ("see <https://a.org/x> or <b>this</b>", "see https://a.org/x or this"),
+        ("a note[^12] and [more][ref]\n[ref]: http://x.org", "a note and more"),
+        ("```python\nx = `1`\n```\n~~gone~~ ``b`` &amp; c", "x = 1\ngone b & c"),
+        ("one\n***\n2) two\n## Three ##\n| k | v |\n|:--|--:|\n| x | y |", "one\ntwo\nThree\nk v\nx y"),
+        ("References\nshort body before it", "References\nshort body before it"),
+        ("word " * 100 + "\n**Works Cited:**\n[1] A. Author", "word " * 99 + "word"),
+        ("", ""),
+    ],
+)
+def test_markdown_marks(spark, md, want):
+    assert one(spark, markdown.strip_markdown(F.col("s")), s=md) == want
+
+
 def test_bibliography(spark):
     rows = spark.createDataFrame([(1, 1, "On Wages - The Herald", ["Ludwig van Beethoven", "Ann B. Smith and Carl Jones", "ann b. smith"], "The Herald", "2021-03-04", "major_news", None, "https://h.com/1"), (1, 2, "Report", [], "World Bank", None, "gov_igo", "10.1/x", "https://w.org")], "claim_id int, rank int, title string, authors array<string>, publisher string, published string, tier string, doi string, url string")
     w = biblio.works(rows)
