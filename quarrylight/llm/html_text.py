@@ -6,6 +6,11 @@ pages form one sequence whose suffixes start at every word.  The suffix array is
 substring of at least that length exactly if one of the prefixes that cover it repeats, so longer common prefixes need no
 refining.  Pages are counted by their content (the block stream, not id, url or markup): a page stored several times counts once.
 
+Scale.  A batch of pages sends its prefixes packed: sorted 40-bit remainders, one row for each slot of the hash range and each number of
+pages of the batch that have them.  So a word costs five bytes of shuffle, and a prefix that stands on a third of all pages one entry a
+batch.  Slots hold about ``SLOT_WORDS`` words each, whatever the number of pages.  The k copies of one content are found first
+and weigh 1 / k each.
+
 The array decides on every block that does not stand in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments, which go at once.  A block all of whose words lie in repeated prefixes goes; of another block
 the sentences that lie whole in repeated prefixes within it go, and unique runs stay.  What counts as repeated depends on the evidence of the markup:
@@ -23,12 +28,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import stash, table
+from quarrylight.llm.common import bounded, slices, stash, table
 
 RUN_WORDS = 8
 #: A prefix is boilerplate on at least so many pages, and on this share of the host's.
@@ -36,7 +42,11 @@ LEAST_PAGES, SHARE = 3, 0.2
 #: The same for a prefix inside an article.
 ARTICLE_PAGES, ARTICLE_SHARE = 10, 0.5
 #: Repeated prefixes that every worker may hold (16 bytes each); more are joined.
-HELD = 1_000_000
+HELD = 2_000_000
+#: Words whose prefixes are counted together, and bits of a prefix's hash that are sent besides the slot's.
+SLOT_WORDS, PACKED_BITS = 500_000, 40
+#: Words from which a task sends what it has packed.
+PACK_WORDS = 1_000_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
@@ -125,21 +135,6 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def runs(found: list[tuple[int, str]], words: int = RUN_WORDS) -> list[tuple[int, int, int]]:
-    """Of the suffixes that start at blocks, the key and the blocks [first, end) of the shortest prefix of enough words."""
-    sizes = [t.count(" ") + 1 for _, t in found]
-    out, end, held = [], 0, 0
-    for first in range(len(found)):
-        while end < len(found) and held < words:
-            held += sizes[end]
-            end += 1
-        if held < words:
-            break
-        out.append((xxhash.xxh3_64_intdigest("\n".join(t for _, t in found[first:end])) - (1 << 63), first, end))
-        held -= sizes[first]
-    return out
-
-
 _FACTORS = [np.uint64(xxhash.xxh3_64_intdigest(str(i)) | 1) for i in range(RUN_WORDS + 1)]
 
 
@@ -156,21 +151,86 @@ def grams(found: list[tuple[int, str]], host: str | None) -> tuple[list[str], np
     return tokens, (keys ^ (keys >> np.uint64(29))).view(np.int64), seed - (1 << 63)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row its different keys and its host's key, which counts the host's pages."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page its row's key, the hash of its content and its number of words."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            keys, rows, pages = [], [], []
-            for host, row, text in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
+        for part in slices(batch, 2):
+            out = []
+            for host, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
                 found = blocks(text)
-                _, own, whole = grams(found, host)
-                own = np.append(np.unique(own), whole)
-                page = xxhash.xxh3_64_intdigest("\n".join(t for _, t in found)) - (1 << 63)
-                keys.append(own)
-                rows.append(np.full(len(own), row, np.int64))
-                pages.append(np.full(len(own), page, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, rows, pages)], ["key", "row", "page"])
+                content = xxhash.xxh3_64_intdigest("\n".join([host or "", *(t for _, t in found)]))
+                out.append((content - (1 << 63), sum(t.count(" ") + 1 for _, t in found)))
+            yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 1))], ["own", "content", "words"])
+
+
+def packed(keys: np.ndarray, bits: int) -> bytes:
+    """The 40 bits of each key behind its slot's, as five bytes."""
+    rest = (keys << np.uint64(bits)) >> np.uint64(64 - PACKED_BITS)
+    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PACKED_BITS // 8].tobytes()
+
+
+def unpacked(data: bytes, slot: int, bits: int) -> np.ndarray:
+    """Keys as they were, but for the bits that were not packed."""
+    rest = np.zeros((len(data) * 8 // PACKED_BITS, 8), np.uint8)
+    rest[:, : PACKED_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(rest), -1)
+    low = (rest.reshape(-1).view("<u8") << np.uint64(64 - PACKED_BITS)) >> np.uint64(bits)
+    return low | np.uint64(slot << (64 - bits) if bits else 0)
+
+
+def mask(bits: int) -> np.uint64:
+    """The bits of a key that survive packing."""
+    return np.uint64(((1 << 64) - 1) ^ ((1 << max(64 - PACKED_BITS - bits, 0)) - 1))
+
+
+def _packs(bits: int):
+    """Prefixes of a batch's pages: slot, weight (pages of the batch that have them; copies of a content share one), keys.
+
+    The key of a host stands for its number of pages.
+    """
+
+    def rows_of(every: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        rows = []
+        for copies, lists in every.items():
+            keys, n = np.unique(np.concatenate(lists), return_counts=True)
+            slots = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            for times in np.unique(n).tolist():
+                some = n == times
+                mine, at = keys[some], slots[some]
+                cuts = np.flatnonzero(np.diff(at)) + 1
+                for group, where in zip(np.split(mine, cuts), at[np.concatenate(([0], cuts))].tolist(), strict=True):
+                    rows.append((where, times / copies, packed(group, bits)))
+        types = (pa.int64(), pa.float64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["slot", "weight", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every: dict[int, list[np.ndarray]] = {}
+        size = 0
+        for batch in batches:
+            for part in slices(batch, 2):
+                for host, copies, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    _, own, whole = grams(blocks(text), host)
+                    every.setdefault(copies, []).append(np.append(np.unique(own), whole).view(np.uint64))
+                    size += len(own) + 1
+                if size > PACK_WORDS:
+                    yield rows_of(every)
+                    every, size = {}, 0
+        if every:
+            yield rows_of(every)
+
+    return run
+
+
+def _counted(bits: int, least: int):
+    """A slot's keys that stand on enough pages, with their number."""
+
+    def run(packs: pd.DataFrame) -> pd.DataFrame:
+        lists = [unpacked(k, int(s), bits) for k, s in zip(packs["keys"], packs["slot"], strict=True)]
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        n = np.bincount(at.reshape(-1), np.repeat(packs["weight"].to_numpy(), list(map(len, lists))), len(keys))
+        enough = n > least - 1e-6
+        return pd.DataFrame({"key": keys[enough].view(np.int64), "n": n[enough]})
+
+    return run
 
 
 def unique(words: list[str], repeated: list[bool]) -> list[str]:
@@ -217,52 +277,73 @@ def main_text(found: list[tuple[int, str]], tokens: list[str], neutral: np.ndarr
     return "\n".join(kept), removed
 
 
-def _texts(held, least_pages: int, share: float):
+def _texts(held, bits: int, least_pages: int, share: float):
     """held: the repeated keys, sorted, with their pages (a broadcast); None if each row brings its own."""
+    kept = mask(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part, done = batch.slice(at, 1024), []
+            for part in slices(batch, 3):
+                done = []
                 lists = part.column(4).to_pylist() if held is None else [None] * part.num_rows
                 for host, page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), lists, strict=True):
                     found = blocks(page)
                     tokens, keys, whole = grams(found, host)
                     if held is None:
                         pairs = sorted((x["key"], x["n"]) for x in own or ())
-                        known, counts = (np.array([x[i] for x in pairs], np.int64) for i in (0, 1))
+                        known, counts = np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs], np.float64)
                     else:
                         known, counts = held.value
-                    asked = np.append(keys, whole)
-                    n = np.zeros(len(asked), np.int64)
+                    asked = (np.append(keys, whole).view(np.uint64) & kept).view(np.int64)
+                    n = np.zeros(len(asked))
                     if len(known):
                         place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                        n = np.where(known[place] == asked, counts[place], 0)
-                    n, pages = n[:-1], n[-1]
+                        n = np.where(known[place] == asked, counts[place], 0.0)
+                    n, pages = n[:-1] + 1e-6, n[-1]
                     done.append(main_text(found, tokens, (n >= least_pages) & (n >= share * pages), (n >= max(least_pages, ARTICLE_PAGES)) & (n >= max(share, ARTICLE_SHARE) * pages)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated_blocks"])
 
     return run
 
 
+def _own_keys(bits: int):
+    """For each row its different keys, unpacked: only for joins with more repeated keys than a worker may hold."""
+    kept = mask(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                for host, row, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    _, own, whole = grams(blocks(text), host)
+                    own = np.unique(np.append(own, whole).view(np.uint64) & kept).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row, np.int64))], ["key", "row"])
+
+    return run
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, held: int = HELD) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated_blocks for every page."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     rows = rows.withColumn("own", F.xxhash64("host", "html"))
-    suffixes = rows.select("host", "own", "html").mapInArrow(_suffixes, "key long, row long, page long")
-    # One exchange by key serves the distinct pages and their number alike.
-    counts = suffixes.select("key", "page").repartition("key").groupBy("key").agg(F.count_distinct("page").alias("n"))
-    frequent = stash(counts.where(F.col("n") >= least_pages), "frequent")
+    contents = stash(rows.select("host", "own", "html").mapInArrow(_contents, "own long, content long, words long"), "contents")
+    words = contents.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    bits = max(0, (words // SLOT_WORDS).bit_length())
+    several = contents.groupBy("content").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = bounded(stash(contents.join(several, "content").select("own", "copies").distinct(), "copies"))
+    weighed = rows.join(copies, "own", "left").select("host", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+    packs = weighed.mapInArrow(_packs(bits), "slot long, weight double, keys binary")
+    frequent = stash(packs.groupBy("slot").applyInPandas(_counted(bits, least_pages), "key long, n double"), "frequent")
     out = "page_id long, url string, text string, n_chars long, n_repeated_blocks long"
     asked = rows.select("page_id", "url", "host", "html")
     if frequent.limit(held + 1).count() <= held:
         found = frequent.orderBy("key").toArrow()
         pair = tuple(found.column(x).to_numpy() for x in ("key", "n"))
-        return asked.mapInArrow(_texts(pages.sparkSession.sparkContext.broadcast(pair), least_pages, share), out)
-    hits = suffixes.select("key", "row").join(frequent, "key").groupBy("row").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
+        return asked.mapInArrow(_texts(pages.sparkSession.sparkContext.broadcast(pair), bits, least_pages, share), out)
+    suffixes = rows.select("host", "own", "html").mapInArrow(_own_keys(bits), "key long, row long").distinct()
+    hits = suffixes.join(frequent, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
     joined = rows.join(hits, F.col("own") == F.col("row"), "left").select("page_id", "url", "host", "html", "keys")
-    return joined.mapInArrow(_texts(None, least_pages, share), out)
+    return joined.mapInArrow(_texts(None, bits, least_pages, share), out)
 
 
 def op3_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,10 +292,40 @@ def test_html_array_decides_on_all_blocks(spark, held):
     assert all(out[300 + i] == f"{own(i)}\n{same}\n{same} {own(i + 50)}" for i in range(4))
 
 
-def test_suffixes_against_plain_search():
+@pytest.mark.parametrize("slot_words", [html_text.SLOT_WORDS, 40])
+def test_html_equals_brute_force(spark, monkeypatch, slot_words):
+    """Prefixes counted plainly on each host's distinct contents, with copies, repeated rows, and articles."""
+    monkeypatch.setattr(html_text, "SLOT_WORDS", slot_words)
     rng = random.Random(9)
-    found = [(1, " ".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))) for _ in range(40)]
-    for key, a, b in html_text.runs(found, 5):
-        assert sum(len(t.split()) for _, t in found[a:b]) >= 5 > sum(len(t.split()) for _, t in found[a : b - 1])
-        same = [(c, d) for k, c, d in html_text.runs(found, 5) if k == key]
-        assert (a, b) in same and all([t for _, t in found[c:d]] == [t for _, t in found[a:b]] for c, d in same)
+    lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta."]) for _ in range(rng.randint(3, 14))) for _ in range(25)]
+    pages = []
+    for i in range(90):
+        tag = rng.choice(["div", "article"])
+        body = "".join(f"<{tag}><p>{rng.choice(lines)}</p></{tag}>" for _ in range(rng.randint(1, 6)))
+        pages.append((i, f"https://{rng.choice('abc')}.example/{i}", f"<body>{body}</body>"))
+    pages += [(100 + i, f"https://a.example/copy{i}", pages[0][2] + f"<!-- {i} -->") for i in range(5)] + [pages[1], pages[1]]
+    streams = {(url, page): html_text.blocks(page) for _, url, page in pages}
+    contents: dict[str, set] = {}
+    for (url, _), found in streams.items():
+        contents.setdefault(url.split("/")[2], set()).add(tuple(found))
+    n = html_text.RUN_WORDS
+    grams = lambda found: [tuple(w[i : i + n]) for w in [[x for _, t in found for x in t.split()]] for i in range(max(len(w) - n + 1, 0))]
+    counts = {host: Counter(g for found in every for g in set(grams(found))) for host, every in contents.items()}
+    want = {}
+    for i, url, page in pages:
+        host, found = url.split("/")[2], streams[url, page]
+        c, whole = np.array([counts[host][g] for g in grams(found)]), len(contents[host])
+        masks = [(c >= least) & (c >= share * whole) for least, share in ((html_text.LEAST_PAGES, html_text.SHARE), (html_text.ARTICLE_PAGES, html_text.ARTICLE_SHARE))]
+        want[i] = html_text.main_text(found, [w for _, t in found for w in t.split()], *masks)
+    out = rows(html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    assert len(out) == len(pages) and any(n for _, n in want.values())
+    assert {r["page_id"]: (r["text"], r["n_repeated_blocks"]) for r in out} == want
+
+
+def test_html_keys_survive_packing():
+    rng = np.random.default_rng(4)
+    for bits in (0, 1, 6, 24, 30):
+        keys = rng.integers(0, 2**64, 50, np.uint64) & np.uint64((2**64 - 1) >> bits)
+        slot = 0 if bits == 0 else 2**bits - 1
+        keys |= np.uint64(slot << (64 - bits) if bits else 0)
+        assert (html_text.unpacked(html_text.packed(keys, bits), slot, bits) == keys & html_text.mask(bits)).all()
