@@ -9,13 +9,13 @@ initial bucket of their anchor's q-gram, and only one row per anchor is shuffled
 one per suffix.  The row stands for the run of strings that share the anchor.  In a bucket,
 rows whose whole run is equal (same hash of its bytes) belong to their smallest document at once.  What is left, the
 first row of each different run in a bucket with several that agree on a side of the anchor, is refined: the bytes are fetched and the suffixes of the
-runs sorted by bucket pointers, doubling the depth from one byte on by sorting on the bucket identifiers of later offsets, until
+runs sorted by bucket pointers, doubling the depth from grams of seven bytes on by sorting on the bucket identifiers of later offsets, until
 buckets agree on ``length`` bytes; a bucket's smallest document keeps its string.
 
 Scale.  Copies of one text are settled before (only the smallest id's text is anchored).  Equal runs in one batch are
 settled where they are read, so a passage that a third of all documents hold sends one row a batch, not one
 a document.  Buckets with very many different runs are refined by the hash of each string instead (``WIDE_BUCKET``).
-Text reaches a shuffle only if the table of findings is too large to broadcast.
+Texts are shuffled twice, by document: to fetch the bytes of open runs, and to cut what was found.
 
 Defined cases: null text is empty; rows with a null id lose nothing and take nothing from others; rows that repeat an id are
 the same document; further columns are ignored.
@@ -33,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bounded, partitions, stash, table
+from quarrylight.llm.common import bounded, partitions, slices, stash, table
 
 LENGTH, GRAM = 50, 20
+#: Bytes of the grams that fill the first buckets of a refinement (they fit into a long).
+FIRST_GRAM = 7
 #: Rows of one bucket (70 bytes each) from which its strings are told apart by hash, so that no task refines an unbounded group.
 WIDE_BUCKET = 50_000
 #: Bytes hashed at once, and the longest run of a text that is.
@@ -103,22 +105,26 @@ def anchors(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, n
 def refine(runs: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
     """For each run, whether the string at each of its starts also is in a run of a smaller owner.
 
-    Suffixes of all runs are bucketed by their first bytes and the buckets refined by sorting on the pairs of
+    Suffixes of all runs are bucketed by their first FIRST_GRAM bytes and the buckets refined by sorting on the pairs of
     bucket identifiers (own, that of the suffix as many bytes later), each round reusing the identifiers
     of the last one.  The last round's shift is cut so that buckets agree on exactly ``length`` bytes.
     """
     text = np.frombuffer(b"".join(runs), np.uint8).astype(np.int64)
+    depth = min(FIRST_GRAM, length)
+    grams = text.copy()
+    for i in range(1, depth):
+        grams[:-i] |= text[i:] << 8 * i
     sizes = np.array([len(r) for r in runs])
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     run = np.repeat(np.arange(len(runs)), sizes)
     left = np.repeat(bounds[1:], sizes) - np.arange(len(text))
     alive = left >= length
-    bucket, depth = text, 1
+    bucket = np.unique(grams, return_inverse=True)[1].reshape(-1)
     while depth < length:
         shift = min(depth, length - depth)
-        later = np.zeros(len(text), np.int64)
-        later[:-shift] = bucket[shift:] + 1
-        pair = bucket * (len(text) + 257) + np.where(left > shift, later, 0)
+        # A suffix too short for its depth has a bucket of no meaning; no string of whole length looks there.
+        pair = bucket * len(text)
+        pair[:-shift] += bucket[shift:]
         bucket = np.unique(pair, return_inverse=True)[1].reshape(-1)
         depth += shift
     starts = np.flatnonzero(alive)
@@ -241,9 +247,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     found = stash(kept.select("bucket", "doc", F.shiftright("place", 32).cast("int").alias("start"), (F.col("place") % (1 << 32)).cast("int").alias("n"), "taken"), "runs")
 
     open_ = found.where("not taken").groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("runs")).withColumnRenamed("doc", "doc_id")
-    few = found.where("not taken").limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    open_ = F.broadcast(open_) if few else open_
-    data = stash(docs.join(open_, "doc_id").select("doc_id", "text", "runs").mapInArrow(_fetched(length), "bucket long, doc long, start int, data binary").distinct(), "bytes")
+    data = stash(docs.join(open_.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs").mapInArrow(_fetched(length), "bucket long, doc long, start int, data binary").distinct(), "bytes")
     sizes = data.groupBy("bucket").count()
     wide = sizes.where(F.col("count") > WIDE_BUCKET).select("bucket")
     narrow = data.join(wide, "bucket", "left_anti")
@@ -255,10 +259,6 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return found.where("taken").select("doc", "start", "n").union(fine).union(rest)
 
 
-#: Open runs that may be broadcast together, and documents and entries of spans that may (under 50 MB each).
-BROADCAST_RUNS, BROADCAST_DOCS, BROADCAST_ENTRIES = 500_000, 200_000, 800_000
-
-
 def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int, int]]:
     """Maximal removed byte ranges."""
     out: list[list[int]] = []
@@ -274,8 +274,7 @@ def merged(starts: list[int], counts: list[int], length: int) -> list[tuple[int,
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 rows = []
                 for doc, text, spans in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     data = (text or "").encode("utf-8", "surrogatepass")
@@ -296,16 +295,9 @@ def _with_spans(documents: DataFrame, length: int, gram: int) -> DataFrame:
     """The documents and, in a column __spans, what repeats in each."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = repeated_starts(docs.where("doc_id is not null and text is not null"), length, gram)
-    listed = starts.groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("all"))
-    # Starts whose strings touch become one entry, so a document that repeats at length has a short list.
-    touch = lambda last, x: x["start"] <= last["start"] + last["n"] + (length - 1)
-    longer = lambda last, x: F.struct(last["start"].alias("start"), F.greatest(last["n"], x["start"] + x["n"] - last["start"]).alias("n"))
-    nothing = F.expr("cast(array() as array<struct<start:int,n:int>>)")
-    step = lambda done, x: F.when((F.size(done) > 0) & touch(F.try_element_at(done, F.lit(-1)), x), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer(F.try_element_at(done, F.lit(-1)), x)))).otherwise(F.concat(done, F.array(x)))
-    spans = stash(listed.select("__doc", F.aggregate("all", nothing, step).alias("__spans")), "spans")
-    docs_, entries = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
-    few = docs_ <= BROADCAST_DOCS and entries <= BROADCAST_ENTRIES
-    return documents.join(F.broadcast(spans) if few else spans, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    spans = stash(starts.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n")).alias("__spans")), "spans")
+    # Texts and findings meet in one shuffle by document at every size; neither is ever broadcast.
+    return documents.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -320,8 +312,7 @@ def shorten(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, names.index("text")):
                 texts = []
                 for text, spans in zip(part.column(names.index("text")).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
                     if spans:
