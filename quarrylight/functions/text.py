@@ -97,35 +97,50 @@ def count_words(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[̀-ͯ]", "")
-
-
+    """Letters without their accents; ASCII rows stay as they are."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[̀-ͯ]", "")).otherwise(c)
 
 
 def stem(w: Column) -> Column:
-    """Folds plural, -ing, -ed and -edly endings; a final e of longer words goes last."""
+    """Folds plural, -ing, -ed and -edly endings; a final e of longer words goes last.
+
+    Words are told apart by their last letter first, so most are done after one comparison.
+    """
     n = F.length(w)
     cut = lambda k: F.substring(w, F.lit(1), n - k)
-    single = lambda x: F.regexp_replace(x, r"(b(?=b$)|c(?=c$)|d(?=d$)|f(?=f$)|g(?=g$)|h(?=h$)|j(?=j$)|k(?=k$)|m(?=m$)|n(?=n$)|p(?=p$)|q(?=q$)|r(?=r$)|t(?=t$)|v(?=v$)|w(?=w$)|x(?=x$)|y(?=y$))", "")
+    doubled = list("bcdfghjkmnpqrtvwxy")
+    single = lambda x: F.when((F.substring(x, -1, 1) == F.substring(x, -2, 1)) & F.substring(x, -1, 1).isin(doubled), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    plural = (
+        F.when(w.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        .when(w.endswith("sses"), cut(2))
+        .when((n > 4) & w.endswith("es") & w.rlike("(ss|x|z|ch|sh)es$"), cut(2))
+        .when(~F.substring(w, -2, 2).isin("ss", "us", "is"), cut(1))
+        .otherwise(w)
+    )
     s = (
         F.when(n <= 3, w)
-        .when(w.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(w.endswith("sses"), cut(2))
+        .when(w.endswith("s"), plural)
         .when(w.endswith("ing") & (n > 5), single(cut(3)))
         .when(w.endswith("edly") & (n > 6), cut(4))
         .when(w.endswith("ed") & (n > 4), single(cut(2)))
-        .when((n > 4) & w.rlike("(ss|x|z|ch|sh)es$"), cut(2))
-        .when(w.endswith("s") & ~w.rlike("(ss|us|is)$"), cut(1))
         .otherwise(w)
     )
     return F.when(s.endswith("e") & (F.length(s) > 4), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
 
 
+def _retrieval_words(c: Column) -> Column:
+    words = F.split(strip_accents(F.lower(c)), r"[^a-z0-9%$]+")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(RETRIEVAL_STOPWORDS))
+
+
 def tokens(c: Column) -> Column:
     """Stemmed retrieval tokens."""
-    words = F.split(strip_accents(F.lower(c)), r"[^a-z0-9%$]+")
-    stop = F.array(*map(F.lit, RETRIEVAL_STOPWORDS))
-    return F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), stem)
+    return F.transform(_retrieval_words(c), stem)
+
+
+def token_set(c: Column) -> Column:
+    """Distinct retrieval tokens; each distinct word is stemmed once."""
+    return F.array_distinct(F.transform(F.array_distinct(_retrieval_words(c)), stem))
 
 
 def terms_of_tokens(toks: Column) -> Column:
@@ -136,7 +151,6 @@ def terms_of_tokens(toks: Column) -> Column:
 
 def content_tokens(c: Column) -> Column:
     """Tokens for pre-ranking: three characters or more, other stop words, plurals folded."""
-    stop = F.array(*map(F.lit, CONTENT_STOPWORDS))
 
     def fold(w: Column) -> Column:
         n = F.length(w)
@@ -147,7 +161,7 @@ def content_tokens(c: Column) -> Column:
         )
 
     words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.transform(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)), fold)
+    return F.transform(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(CONTENT_STOPWORDS)), fold)
 
 
 def title_key(c: Column) -> Column:

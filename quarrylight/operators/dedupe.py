@@ -25,6 +25,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="quarrylight-")
         spark.sparkContext.setCheckpointDir(place)
         spark.conf.set("spark.checkpoint.dir", place)
@@ -128,6 +130,15 @@ def dedupe(rows: DataFrame) -> DataFrame:
     return merge_groups(rows.join(groups.withColumnRenamed("node", "pos"), "pos"))
 
 
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """Adds n, the row's number from 1 in the order of a column: sorted ranges are numbered each for itself and moved up by the sizes of those before."""
+    ranges = _cut(rows.repartitionByRange(by).withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("size"))  # one row a partition
+    before = F.coalesce(F.sum("size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(by))
+    return ranges.join(F.broadcast(sizes.select("__range", before.alias("before"))), "__range").withColumn("n", own + F.col("before")).drop("__range", "before")
+
+
 def merge_incremental(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """A new round's records into a table: no existing record is dropped, moved or renamed; a match fills its gaps, the rest is appended.
 
@@ -139,9 +150,9 @@ def merge_incremental(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     target = new_keys.join(old_keys, "key").groupBy("in_pos").agg(F.min_by("old", F.struct("trust", "old")).alias("old"))
     last = existing.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))  # one row
     matched = new.join(target, "in_pos", "left").crossJoin(F.broadcast(last))
-    fresh = Window.partitionBy(F.col("old").isNull()).orderBy("in_pos")
-    # Newcomers get positions after the last; the batch of one round is small beside the table.
-    placed = matched.withColumn("component", F.when(F.col("old").isNotNull(), F.col("old")).otherwise(F.col("last") + F.row_number().over(fresh)))
+    # Newcomers get positions after the last.
+    fresh = numbered(matched.where("old is null").select("in_pos"), "in_pos")
+    placed = matched.join(fresh, "in_pos", "left").withColumn("component", F.coalesce("old", F.col("last") + F.col("n"))).drop("n")
     fold = existing.withColumn("component", F.col("pos")).select("component", "pos", "candidate_id", *FIELDS)
     more = placed.select("component", F.when(F.col("old").isNotNull(), F.col("last") + 1 + F.col("in_pos")).otherwise(F.col("component")).alias("pos"), "candidate_id", *FIELDS)
     return merge_groups(fold.unionByName(more), keep_identity=True).withColumn("pos", F.col("component")).drop("component")

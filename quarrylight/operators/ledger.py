@@ -121,5 +121,5 @@ def exclude(rows: DataFrame, *others: DataFrame, on: list[str]) -> DataFrame:
 def stage_times(log: DataFrame) -> DataFrame:
     """job, first_result_ms, total_ms from a run log (job, stage, ts)."""
     first = F.min("ts")
-    ms = lambda c: F.unix_millis(c)
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
     return log.groupBy("job").agg((ms(F.min(F.when(F.col("stage") == "result", F.col("ts")))) - ms(first)).alias("first_result_ms"), (ms(F.max("ts")) - ms(first)).alias("total_ms"))

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import terms_of_tokens, tokens
+from quarrylight.functions.text import terms_of_tokens, token_set, tokens
+from quarrylight.operators.segment import gathered
 
 K1, B = 1.5, 0.75
+#: Letters by which very short claims are looked up.
+LETTERS = 4
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, term, tf, len."""
-    toks = chunks.select("doc_id", "chunk_idx", tokens(F.col("text")).alias("toks"))
-    terms = toks.select("doc_id", "chunk_idx", terms_of_tokens(F.col("toks")).alias("terms"))
-    rows = terms.select("doc_id", "chunk_idx", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+def chunk_terms(sents: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
+    """doc_id, chunk_idx, len, terms: single words and neighbouring pairs of each chunk.  A sentence is tokenised once, however many chunks show it."""
+    toks = sents.select("doc_id", "sent_idx", tokens(F.col("text")).alias("toks"))
+    terms = gathered(toks, "toks", size, overlap).select("doc_id", "chunk_idx", terms_of_tokens(F.flatten("parts")).alias("terms"))
+    return terms.select("doc_id", "chunk_idx", F.size("terms").alias("len"), "terms")
+
+
+def term_frequencies(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, len, term, tf of the asked terms, which filter the exploded rows before they are counted."""
+    rows = terms.select("doc_id", "chunk_idx", "len", F.explode("terms").alias("term")).join(asked, "term", "left_semi")
     return rows.groupBy("doc_id", "chunk_idx", "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -25,21 +33,25 @@ def query_terms(claims: DataFrame, most: int = 3) -> DataFrame:
     return rows.groupBy("claim_id", "term").agg(F.least(F.count("*"), F.lit(most)).cast("double").alias("weight"))
 
 
-def bm25(tf: DataFrame, chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """claim_id, doc_id, chunk_idx, score over the given chunks.
-
-    Document frequencies are only counted for terms that some query has; the query terms filter the large table before
-    it is shuffled.  Chunk lengths come with tf, so no second pass is joined.
-    """
-    asked = queries.select("term").distinct()
-    hits = tf.join(asked, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = chunks.select(F.size(tokens(F.col("text"))).alias("t")).select((F.when(F.col("t") > 1, 2 * F.col("t") - 1).otherwise(F.col("t"))).alias("len"))
-    totals = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"))  # one row
-    scored = hits.join(df, "term").join(queries, "term").crossJoin(F.broadcast(totals))
+def scored_terms(tf: DataFrame, df: DataFrame, totals: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """claim_id, doc_id, chunk_idx, score from term frequencies, document frequencies (term, df), totals (n, avg_len; one row) and queries."""
+    rows = tf.join(df, "term").join(queries, "term").crossJoin(F.broadcast(totals))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avg_len")))
-    return scored.groupBy("claim_id", "doc_id", "chunk_idx").agg(F.round(F.sum(F.col("weight") * idf * norm), 6).alias("score"))
+    return rows.groupBy("claim_id", "doc_id", "chunk_idx").agg(F.round(F.sum(F.col("weight") * idf * norm), 6).alias("score"))
+
+
+def bm25(terms: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """claim_id, doc_id, chunk_idx, score over the chunks of ``chunk_terms``.
+
+    Document frequencies are only counted for terms that some query has.  Segmentation is done once: statistics, frequencies and
+    scores read the same shuffled sentences and the same shuffled counts.
+    """
+    tf = term_frequencies(terms, queries.select("term").distinct())
+    # Counting by tf keeps that column, so this reads the very exchange that the scores read.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    totals = terms.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"))
+    return scored_terms(tf, df, totals, queries, k1, b)
 
 
 def select_chunks(scored: DataFrame, per_doc: int = 3, total: int = 25, size: int = 4, overlap: int = 1, considered: int = 50) -> DataFrame:
@@ -68,7 +80,7 @@ def keyword_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """
     asked = queries.select("claim_id", "term").distinct()
     sizes = asked.groupBy("claim_id").agg(F.count("*").alias("n"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    held = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     counts = held.join(asked, "term").groupBy("claim_id", "doc_id").agg(F.count("*").alias("matched")).join(sizes, "claim_id")
     strict = counts.where("matched = n")
     none = sizes.join(strict.select("claim_id").distinct(), "claim_id", "left_anti").where("n > 2").select("claim_id")
@@ -80,20 +92,29 @@ def verbatim_pairs(claims: DataFrame, docs: DataFrame, words: int = 8) -> DataFr
     """claim_id, doc_id for claims that stand verbatim (white space aside) in a document.
 
     One shingle of each claim, from its second word on, is joined by hash with the shingles of all documents, and
-    only those pairs are compared as texts.  Claims too short for a shingle are compared by their single words' shingle length.
+    only those pairs are compared as texts.  Claims of one or two words, which may stand inside words, meet documents by their first letters.
     """
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     asked = claims.select("claim_id", flat(F.col("text")).alias("claim")).where(F.length("claim") > 0)
     asked = asked.withColumn("w", F.split("claim", " ")).withColumn("n", F.least(F.lit(words), F.greatest(F.lit(1), F.size("w") - 2)))
+    h = F.transform(F.slice("w", 2, "n"), lambda x: F.xxhash64(x))
+    anchor = F.coalesce(*(F.when(F.col("n") == n, F.xxhash64(*(F.get(h, F.lit(k)) for k in range(n)))) for n in range(1, words + 1)))
     # Inner words of a claim are whole words of the document; the outer ones may be cut from longer words.
-    asked = asked.withColumn("anchor", F.when(F.size("w") >= 3, F.xxhash64(F.array_join(F.slice("w", 2, "n"), " "))))
+    asked = asked.withColumn("anchor", F.when(F.size("w") >= 3, anchor))
     sizes = [r["n"] for r in asked.where("anchor is not null").select("n").distinct().collect()]  # at most ``words`` numbers
     body = docs.select("doc_id", flat(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    shingle = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    body = body.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    shingle = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(n))))
     every = F.array_distinct(F.flatten(F.array(*(F.when(F.size("w") >= n, shingle(n)).otherwise(F.expr("cast(array() as array<bigint>)")) for n in sizes)))) if sizes else F.expr("cast(array() as array<bigint>)")
     keys = body.select("doc_id", F.explode(every).alias("anchor"))
     anchored = asked.where("anchor is not null").select("claim_id", "claim", "anchor")
     near = keys.join(anchored, "anchor").select("doc_id", "claim_id", "claim")
     found = near.join(body.select("doc_id", "body"), "doc_id").where(F.contains("body", "claim")).select("claim_id", "doc_id")
-    tiny = asked.where("anchor is null").select("claim_id", "claim")  # one or two words: any document may hold them
-    return found.union(tiny.join(body, F.contains("body", "claim")).select("claim_id", "doc_id")).distinct() if tiny.limit(1).count() else found.distinct()
+    # One or two words may stand inside longer words: they meet documents by their first letters, then as texts.
+    tiny = asked.where("anchor is null").select("claim_id", "claim").withColumn("q", F.least(F.length("claim"), F.lit(LETTERS))).withColumn("start", F.expr("left(claim, q)"))
+    widths = [r["q"] for r in tiny.select("q").distinct().collect()]  # at most LETTERS numbers
+    if not widths:
+        return found.distinct()
+    grams = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - q + 1, F.lit(1))), lambda i, q=q: F.substring("body", i, F.lit(q))) for q in widths))))
+    held = body.select("doc_id", F.explode(grams).alias("start")).join(tiny, "start").select("doc_id", "claim_id", "claim")
+    return found.union(held.join(body.select("doc_id", "body"), "doc_id").where(F.contains("body", "claim")).select("claim_id", "doc_id")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import normalize_spacing
+from quarrylight.functions.text import normalize_doc_text
 
 # Abbreviations after which a full stop rarely ends a sentence.
 ABBREVIATIONS = "e\\.g i\\.e et al etc vs cf approx fig figs no nos vol pp ch sec eq dr mr mrs ms prof jr sr st inc ltd co corp jan feb mar apr jun jul aug sep sept oct nov dec est resp ibid op cit al".replace("et al ", "et\\s+al ").split()
@@ -16,40 +16,54 @@ SENTENCE = (
     r"(?:[^.!?\n]*\b(?i:" + "|".join(ABBREVIATIONS) + r")\.[ \t]+[a-z0-9(]|[^.!?\n]*[.!?]+[^\s.!?\"')\]]){0,200}"
     r"[^.!?\n]*(?:[.!?]+[\"')\]]*\s*|\n\s*)|[^.!?\n]+$|[^.!?\n]+"
 )
-DOC_CHARS, LONGEST = 250_000, 600
+#: Characters from which a sentence is cut, at a space if there is one; the parts are as lossless as the whole.
+LONGEST = 600
+CUT = r"(?s).{1,599}\s|.{1,600}"
 
 
 def build_docs(docs: DataFrame) -> DataFrame:
-    """doc_id, text: normalised spacing, the whole text.  (DOC_CHARS is the cap of the SQL twins only.)"""
-    return docs.select("doc_id", normalize_spacing(F.col("text")).alias("text"))
+    """doc_id, text: composed letters, normalised spacing, the whole text."""
+    return docs.select("doc_id", normalize_doc_text(F.col("text")).alias("text"))
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces that join to it again: sentences, long ones in parts."""
+    whole = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    return F.flatten(F.transform(whole, lambda p: F.when(F.length(p) > LONGEST, F.regexp_extract_all(p, F.lit(CUT), F.lit(0))).otherwise(F.array(p))))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sent_idx, text, start, end with substring(doc, start, end) = text (code points, from 0).
 
-    One shuffle by doc_id, which chunking and verification reuse.
+    One explode and one window, whose shuffle by doc_id chunking and verification reuse.  What the window sums, lengths and marks of
+    pieces that are not blank, is worked out before the shuffle.
     """
-    pieces = docs.withColumn("pieces", F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).select("doc_id", F.posexplode("pieces").alias("i", "piece"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    placed = pieces.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # Long sentences are cut at a space; the parts are as lossless as the whole.
-    cut = placed.withColumn("parts", F.when(F.length("piece") > LONGEST, F.regexp_extract_all("piece", F.lit(r"(?s).{1,599}\s|.{1,600}"), F.lit(0))).otherwise(F.array("piece")))
-    parts = cut.select("doc_id", "i", "at", F.posexplode("parts").alias("k", "part"))
-    inner = Window.partitionBy("doc_id", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    spans = parts.withColumn("at", F.col("at") + F.coalesce(F.sum(F.length("part")).over(inner), F.lit(0)))
-    trimmed = spans.withColumn("left", F.length("part") - F.length(F.regexp_replace("part", r"^\s+", ""))).withColumn("text", F.regexp_replace("part", r"^\s+|\s+$", ""))
-    full = trimmed.where(F.length("text") > 0).withColumn("start", (F.col("at") + F.col("left")).cast("long"))
-    return full.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "k")) - 1).alias("sent_idx"), "text", "start", (F.col("start") + F.length("text")).alias("end"))
+    part = docs.select("doc_id", F.posexplode(pieces(F.col("text"))).alias("i", "part"))
+    bare = part.select("doc_id", "i", F.length("part").alias("size"), (F.length("part") - F.length(F.regexp_replace("part", r"^\s+", ""))).alias("left"), F.regexp_replace("part", r"^\s+|\s+$", "").alias("text"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    placed = bare.withColumns({"at": summed(F.col("size").cast("long")), "sent_idx": summed((F.length("text") > 0).cast("long")).cast("int")})
+    full = placed.where(F.length("text") > 0).withColumn("start", F.col("at") + F.col("left"))
+    return full.select("doc_id", "sent_idx", "text", "start", (F.col("start") + F.length("text")).alias("end"))
 
 
-def chunks(sents: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
-    """doc_id, chunk_idx, sent_start, sent_end: windows of sentences; the last ends at the last sentence and holds more than the overlap."""
+def sentence_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n: how many sentences each document has, counted where it is read."""
+    return docs.select("doc_id", F.size(F.filter(pieces(F.col("text")), lambda p: p.rlike(r"\S"))).alias("n")).where("n > 0")
+
+
+def chunk_spans(counts: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
+    """doc_id, chunk_idx, sent_start, sent_end for documents of n sentences: windows of sentences; the last ends at the last sentence and holds more than the overlap."""
     step = size - overlap
-    counts = sents.groupBy("doc_id").agg((F.max("sent_idx") + 1).alias("n"))
     last = F.greatest(F.lit(1), F.ceil((F.col("n") - overlap) / F.lit(step))).cast("int") - 1
     return counts.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx")).select(
-        "doc_id", "chunk_idx", (F.col("chunk_idx") * step).alias("sent_start"), F.least(F.col("chunk_idx") * step + size, F.col("n")).cast("int").alias("sent_end")
-    ).withColumn("sent_end", F.col("sent_end") - 1)
+        "doc_id", "chunk_idx", (F.col("chunk_idx") * step).alias("sent_start"), (F.least(F.col("chunk_idx") * step + size, F.col("n")).cast("int") - 1).alias("sent_end")
+    )
+
+
+def chunks(sents: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
+    """``chunk_spans`` of documents whose sentences are at hand."""
+    return chunk_spans(sents.groupBy("doc_id").agg((F.max("sent_idx") + 1).alias("n")), size, overlap)
 
 
 def chunk_sentences(sents: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
@@ -61,10 +75,15 @@ def chunk_sentences(sents: DataFrame, size: int = 4, overlap: int = 1) -> DataFr
     return sents.withColumn("last", last).withColumn("chunk_idx", F.explode(F.sequence(F.least(first, "last"), F.least((F.col("sent_idx") / step).cast("int"), F.col("last"))))).drop("last")
 
 
+def gathered(sents: DataFrame, column: str, size: int = 4, overlap: int = 1) -> DataFrame:
+    """doc_id, chunk_idx, parts: each chunk's values of a column of its sentences, in order."""
+    shown = chunk_sentences(sents, size, overlap)
+    return shown.groupBy("doc_id", "chunk_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", column))), lambda s: s[column]).alias("parts"))
+
+
 def chunk_texts(sents: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
     """doc_id, chunk_idx, text of the shown sentences joined by spaces."""
-    shown = chunk_sentences(sents, size, overlap)
-    return shown.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "text"))), lambda s: s["text"]), " ").alias("text"))
+    return gathered(sents, "text", size, overlap).select("doc_id", "chunk_idx", F.array_join("parts", " ").alias("text"))
 
 
 def page_for(offsets: DataFrame, starts: DataFrame) -> DataFrame:

@@ -37,14 +37,14 @@ def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = segment.chunks(segment.sentences(_docs(spark, sf_dir)))
+    c = segment.chunk_spans(segment.sentence_counts(_docs(spark, sf_dir)))
     return c.select("doc_id", *(F.col(x).cast("long").alias(x) for x in ("chunk_idx", "sent_start", "sent_end")))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = segment.chunk_texts(segment.sentences(_docs(spark, sf_dir)))
+    terms = retrieval.chunk_terms(segment.sentences(_docs(spark, sf_dir)))
     asked = retrieval.query_terms(claims(spark, sf_dir).select("claim_id", F.array("text", "text").alias("texts")))
-    return retrieval.bm25(retrieval.term_frequencies(texts), texts, asked)
+    return retrieval.bm25(terms, asked)
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,10 @@ def _list(words: list[str]) -> str:
 
 _SENT = segment.SENTENCE.replace("'", "''")
 _SPACING = r"""
-trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),
   '\r\n?', chr(10), 'g'), '[   ]', ' ', 'g'), '[​-‍﻿­]', '', 'g'), '[ \t\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
 _S = rf"""
-b AS (SELECT doc_id, left({_SPACING}, {segment.DOC_CHARS}) AS text FROM documents),
+b AS (SELECT doc_id, {_SPACING} AS text FROM documents),
 p0 AS (SELECT doc_id, regexp_extract_all(text, '{_SENT}') AS pieces FROM b),
 p AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM p0),
 a AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p),
@@ -114,6 +114,13 @@ _STEM0 = f"""CASE WHEN length(w) <= 3 THEN w
  ELSE w END"""
 
 
+def content(x: str) -> str:
+    """DuckDB list of content tokens of the text expression."""
+    words = rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3 AND NOT list_contains({_list(T.CONTENT_STOPWORDS)}, w))"
+    return f"""list_transform({words}, lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y'
+  WHEN length(w) > 3 AND ends_with(w, 's') AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END)"""
+
+
 def _toks(x: str) -> str:
     """DuckDB list of stemmed tokens of the text expression."""
     words = f"list_filter(string_split_regex(strip_accents(lower({x})), '[^a-z0-9%$]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
@@ -158,7 +165,7 @@ SELECT claim_id, doc_id, source, (instr(body, claim) - 1)::BIGINT AS char_start,
 FROM c JOIN d ON contains(body, claim) WHERE claim <> ''
 """,
     "claims_intake": r"""
-WITH c AS (SELECT conv_id, turn, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 4000) AS claim FROM conversations)
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS claim FROM conversations)
 SELECT conv_id, turn, claim FROM c WHERE length(claim) BETWEEN 12 AND 4000 AND len(string_split(trim(claim), ' ')) >= 3
 """,
     "sentence_table": f"WITH {_S} SELECT doc_id, sent_idx, md5(text) AS text_md5, start::BIGINT AS start, (start + length(text))::BIGINT AS \"end\" FROM s",
@@ -168,6 +175,17 @@ SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, (chunk_idx * 3)::BIGINT AS sent_s
     "bm25_scores": f"""WITH {_S}, {_BM25},
 rk AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id, chunk_idx)::INT AS rank FROM sc)
 SELECT claim_id, doc_id, chunk_idx::BIGINT AS chunk_idx, round(score, 4) AS score, rank FROM rk WHERE rank <= 10""",
+    # The greedy choice of three chunks that share no sentence: the best, the best of what is left, and again.
+    "chunk_selection": f"""WITH {_S}, {_BM25},
+g AS (SELECT *, row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY score DESC, chunk_idx) AS n FROM sc WHERE score > 0),
+p1 AS (SELECT * FROM g WHERE n = 1),
+p2 AS (SELECT claim_id, doc_id, min(g.n) AS n FROM g JOIN p1 USING (claim_id, doc_id) WHERE abs(g.chunk_idx - p1.chunk_idx) > 1 GROUP BY ALL),
+c2 AS (SELECT g.* FROM g JOIN p2 USING (claim_id, doc_id, n)),
+p3 AS (SELECT claim_id, doc_id, min(g.n) AS n FROM g JOIN p1 USING (claim_id, doc_id) JOIN c2 USING (claim_id, doc_id) WHERE abs(g.chunk_idx - p1.chunk_idx) > 1 AND abs(g.chunk_idx - c2.chunk_idx) > 1 GROUP BY ALL),
+c3 AS (SELECT g.* FROM g JOIN p3 USING (claim_id, doc_id, n)),
+pk AS (SELECT *, 0 AS doc_rank FROM p1 UNION ALL SELECT *, 1 FROM c2 UNION ALL SELECT *, 2 FROM c3),
+ks AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY doc_rank, score DESC, doc_id, chunk_idx) AS pick FROM pk)
+SELECT claim_id, doc_id, chunk_idx::BIGINT AS chunk_idx, doc_rank::BIGINT AS doc_rank, pick FROM ks WHERE pick <= 25""",
     "keyword_retrieval": f"""
 WITH q AS (SELECT DISTINCT claim_id, term FROM (SELECT item_id AS claim_id, unnest(list_distinct_ordered) AS term FROM (
   SELECT item_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 5) AS list_distinct_ordered FROM (SELECT item_id, {_toks("text")} AS t FROM benchmark)))),
@@ -180,8 +198,6 @@ UNION ALL SELECT claim_id, doc_id, matched, 'any' FROM c JOIN n USING (claim_id)
 """,
     "tokenizer": f"""WITH k AS (SELECT doc_id, {_toks("text")} AS t FROM documents)
 SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM k""",
-    "content_tokenizer": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3 AND NOT list_contains({_list(T.CONTENT_STOPWORDS)}, w)) AS w FROM documents),
-k AS (SELECT doc_id, list_transform(w, lambda w: CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y'
-  WHEN length(w) > 3 AND ends_with(w, 's') AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) ELSE w END) AS t FROM w)
+    "content_tokenizer": f"""WITH k AS (SELECT doc_id, {content("text")} AS t FROM documents)
 SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM k""",
 }

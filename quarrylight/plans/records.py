@@ -10,7 +10,7 @@ from quarrylight.functions import urls as U
 from quarrylight.functions import queries as P
 from quarrylight.operators import dedupe, filters, ledger, ranking, segment, tiers, verification
 from quarrylight.plans.common import claims, table
-from quarrylight.plans.evidence import _S
+from quarrylight.plans.evidence import _S, _list, content
 
 
 def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +195,24 @@ n AS (SELECT doc_id, max(sent_idx) + 1 AS n FROM s GROUP BY doc_id),
 ch AS (SELECT doc_id, n, unnest(range(greatest(1, ceil((n - 1) / 3.0)::INT))) AS chunk_idx FROM n),
 l AS (SELECT doc_id, chunk_idx, n, chunk_idx * 3 AS a, least(chunk_idx * 3 + 4, n) - 1 AS z, (doc_id + chunk_idx) % 6 AS kind FROM ch)"""
 
+#: Text without what could pass for a delimiter or a sentence number.
+_HARMLESS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<<<|>>>', chr(34), 'g'), '(?i)\b(END_)?SOURCE_(TEXT|CHUNK)\b', 'source', 'g'), '(?i)\[\s*d[0-9]+\s*\.\s*s[0-9]+\s*\]', '[id]', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')"
+
+
+def _english() -> str:
+    votes = []
+    for lang, words in filters.FUNCTION_WORDS.items():
+        elided = filters._ELIDED.get(lang)
+        more = f" + len(regexp_extract_all(low, '{elided.replace(chr(39), chr(39) * 2)}'))" if elided else ""
+        votes.append(f"len(list_filter(w, lambda x: list_contains({_list(words)}, x))){more} AS {lang}_")
+    rivals = ", ".join(f"{lang}_" for lang in filters.FUNCTION_WORDS if lang != "en")
+    return rf"""WITH l AS (SELECT lang, lower(regexp_replace(coalesce(text, ''), 'https?://\S+', ' ', 'g')) AS low FROM documents), t AS (SELECT lang, low, regexp_extract_all(low, '[\p{{L}}\p{{M}}]+') AS w FROM l),
+c AS (SELECT lang, len(regexp_extract_all(low, '\p{{L}}')) AS letters, len(regexp_extract_all(low, '\p{{Latin}}')) AS latin, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x7f]'))) AS accented, {", ".join(votes)} FROM t),
+r AS (SELECT *, greatest({rivals}) AS rival FROM c)
+SELECT lang, n > 0 AND latin >= {filters.LATIN_SHARE} * letters AND accented <= {filters.ACCENTED_SHARE} * n AND CASE WHEN en_ = rival THEN n < {filters.LONG} AND accented = 0 ELSE en_ > rival AND (n < {filters.LONG} OR en_ >= {filters.ENGLISH_SHARE} * n) END AS english, count(*) AS n FROM r GROUP BY ALL"""
+
+
+_ENGLISH = _english()
 QUERIES = {f.__name__: f for f in (page_identity, page_groups, host_counts, busy_domains, redacted_texts, normalized_texts, text_numbers, page_problems, verified_labels, rejected_labels, label_requests, best_tiers, reserved_selection, interleaved_lists, usage_ledger, history_latest, budget_prefix, changed_sources, overlap_scores, english_documents, fallback_plans, technical_claims)}
 _HOST = r"regexp_replace(lower(regexp_extract(trim(url), '^(?i)https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www[0-9]?\.', '')"
 _RAW = T.INJECTION.replace("'", "''")
@@ -233,6 +251,15 @@ m AS (SELECT l.doc_id, l.chunk_idx, l.kind, f.start AS cs, e.start + length(e.te
 SELECT m.doc_id, chunk_idx::BIGINT AS chunk_idx, CASE WHEN kind = 5 THEN 'contradicts' ELSE 'direct' END AS relation, least(1.0, chunk_idx / 4.0)::DOUBLE AS confidence,
   md5(trim(regexp_replace(b.text[cs + 1:ce], '\s+', ' ', 'g'))) AS passage, cs::BIGINT AS char_start, ce::BIGINT AS char_end, md5(coalesce(bt, '')) AS before, md5(coalesce(at2, '')) AS after FROM m JOIN b USING (doc_id)""",
     "rejected_labels": f"""WITH {_LAB} SELECT CASE kind WHEN 0 THEN 'irrelevant' WHEN 1 THEN 'no_sentences' ELSE 'fabricated_id' END AS reason, count(*) AS n FROM l WHERE kind < 4 GROUP BY 1""",
+    "label_requests": rf"""WITH {_LAB}, x AS (SELECT l.doc_id, chunk_idx, string_agg('[d' || l.doc_id || '.s' || sent_idx || '] ' || {_HARMLESS}, chr(10) ORDER BY sent_idx) AS t FROM l JOIN s ON s.doc_id = l.doc_id AND sent_idx BETWEEN a AND z GROUP BY ALL)
+SELECT doc_id AS claim_id, (chunk_idx // 8)::BIGINT AS batch, count(*) AS n_chunks, md5(string_agg(t, chr(10) || chr(10) ORDER BY chunk_idx)) AS digest FROM x GROUP BY ALL""",
+    "overlap_scores": f"""WITH c AS (SELECT item_id AS claim_id, list_distinct({content("text")}) AS w FROM benchmark), u AS (SELECT claim_id, len(w) AS n_words, unnest(w) AS word FROM c),
+v AS (SELECT *, {content("word")} AS t FROM u), z AS (SELECT claim_id, any_value(n_words) AS n_words, count(*) FILTER (WHERE len(t) > 0) AS n_terms FROM v GROUP BY 1),
+q AS (SELECT claim_id, word, sum(para)::BIGINT AS para, sum(term)::BIGINT AS term FROM (SELECT claim_id, word, 1 AS para, 0 AS term FROM v UNION ALL SELECT claim_id, unnest(t), 0, 1 FROM v) GROUP BY ALL),
+h AS (SELECT doc_id, unnest(list_distinct({content("text")})) AS word FROM documents), m AS (SELECT claim_id, doc_id, sum(para)::BIGINT AS para, sum(term)::BIGINT AS hits FROM h JOIN q USING (word) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN n_terms > 0 THEN least(1.0::DOUBLE, hits::DOUBLE / least(n_terms, 5)) ELSE 0 END AS ts, least(1.0::DOUBLE, para::DOUBLE / n_words * 2) AS ps FROM m JOIN z USING (claim_id))
+SELECT claim_id, doc_id, round(CASE WHEN n_terms = 0 THEN ps ELSE 0.6::DOUBLE * ts + 0.4::DOUBLE * ps END, 6) AS overlap FROM o""",
+    "english_documents": _ENGLISH,
     "best_tiers": """WITH t AS (SELECT source, CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 'peer_reviewed' ELSE 'think_tank' END WHEN quality = 0 THEN 'web' ELSE 'preprint' END AS tier FROM documents LEFT JOIN labels USING (doc_id))
 SELECT source, arg_max(tier, CASE tier WHEN 'peer_reviewed' THEN 1.0 WHEN 'think_tank' THEN 0.8 WHEN 'preprint' THEN 0.7 ELSE 0.4 END) AS tier FROM t GROUP BY source""",
     "reserved_selection": """WITH r AS (SELECT source AS claim_id, doc_id, coalesce(toxic, 0) = 1 AS for_counter, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents LEFT JOIN labels USING (doc_id)),

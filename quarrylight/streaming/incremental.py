@@ -54,12 +54,9 @@ def continuous_matches(stream: DataFrame, query_terms: DataFrame, statistics: Da
     """
 
     def match(batch: DataFrame, number: int) -> None:
-        texts = segment.chunk_texts(segment.sentences(segment.build_docs(batch)))
-        tf = retrieval.term_frequencies(texts).join(query_terms.select("term").distinct(), "term", "left_semi")
-        rows = tf.join(statistics, "term").join(query_terms, "term").crossJoin(F.broadcast(totals))
-        idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-        norm = F.col("tf") * F.lit(retrieval.K1 + 1) / (F.col("tf") + F.lit(retrieval.K1) * (F.lit(1 - retrieval.B) + F.lit(retrieval.B) * F.col("len") / F.col("avg_len")))
-        scored = rows.groupBy("claim_id", "doc_id", "chunk_idx").agg(F.round(F.sum(F.col("weight") * idf * norm), 6).alias("score"))
+        terms = retrieval.chunk_terms(segment.sentences(segment.build_docs(batch)))
+        tf = retrieval.term_frequencies(terms, query_terms.select("term").distinct())
+        scored = retrieval.scored_terms(tf, statistics, totals, query_terms)
         scored.withColumn("round", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/batch={number:09d}")
 
     return stream.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
