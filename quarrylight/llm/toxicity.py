@@ -4,8 +4,9 @@ Method.  Two tokens are compared by the subsequences of four symbols they share,
 of its span; spans go up to SPAN symbols, so that gapped or padded insults still match.  A few landmark
 tokens, chosen by pivoted Cholesky, give the Nystroem feature map, in which a squared-hinge support
 vector machine is trained on the tokens of labelled sentences.  Its decision is linear in the subsequences, so
-for scoring it is folded into one table of subsequence weights.  A text's decision is that of its worst token; a
-logistic curve fitted to labelled texts makes it a probability.
+for scoring it is folded into one table of subsequence weights.  A text is described by how much insult it holds, in all and as a share of
+its words: a word that looks like an insult by chance stands alone, real ones come together.  A logistic curve over these two, fitted to
+the sample, makes a probability.  (Fitted to halves judged by models of the other half it came out worse: half the sample knows too few insults.)
 
 Which tokens of a toxic text make it toxic is learned too: a token is taken as insulting if, of its distinct
 contexts (neighbouring words), far more than chance would give stand in toxic texts.  Counting contexts,
@@ -13,9 +14,9 @@ not texts, keeps copies of one text from making all of its words look toxic.
 
 Fit.  On at most ``TEXTS`` toxic and three times as many clean labelled texts outside the held-out part (those with the smallest hash of
 doc_id), read whole.  Contexts are counted by Spark; what reaches the driver is bounded by ``POSITIVE`` and
-``NEGATIVE`` tokens and one number per sampled text.
+``NEGATIVE`` tokens and a few numbers per sampled text.
 
-Defined cases: null or empty texts get the score of a text without any known token; labels that are null teach
+Defined cases: null or empty texts get the score of a text without any known token; texts of any length are read whole; labels that are null teach
 nothing; repeated rows are scored each for itself; without labels of both classes every score is 0.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import held_out, keep_rows, stash, table
+from quarrylight.llm.common import held_out, keep_rows, slices, sole_cache, stash, table
 
 TEXTS = 1200
 POSITIVE, NEGATIVE = 600, 8000
@@ -44,8 +45,10 @@ UNEXPLAINED = 0.2
 COST = 10.0
 #: Decision from which plain words are used for a second training.
 NEAR = -0.5
-#: Ridge on the logistic curve's slope, as a share of the sample: keeps the curve soft where classes part cleanly.  Decisions count up to 1.
-SOFT = 0.001
+#: Ridge on the logistic curve's slopes, as a share of the sample; only keeps the curve finite where classes part cleanly.
+SOFT = 1e-3
+#: Share of insult below which texts count as free of it, and the decision from which a token is insult in part (from 1 on it is in whole).
+TRACE, PART = 0.001, 0.25
 THRESHOLD = 0.7
 LONGEST = 40
 CACHE_TOKENS = 300_000
@@ -59,11 +62,18 @@ _EDGE = 27
 _APART = re.compile(r"(?<!\S)(?:\S[^\S\n]+){3,}\S(?!\S)")
 
 
+#: Symbols of accents, which follow their letter: acute, grave, diaeresis, any other.
+_MARKS = {"\u0301": "\x1c", "\u0300": "\x1d", "\u0308": "\x1e"}
+
+
 def _symbols() -> dict[int, str]:
     out = {}
     for i in range(0x250):
-        base = unicodedata.normalize("NFKD", chr(i))[0].lower()
-        out[i] = base if "a" <= base <= "z" else {"ß": "s", "æ": "a", "œ": "o", "ø": "o"}.get(chr(i).lower(), "")
+        base, *marks = unicodedata.normalize("NFKD", chr(i)).lower()
+        if "a" <= base <= "z":
+            out[i] = base + "".join(_MARKS.get(m, "\x1f") for m in marks if unicodedata.combining(m))
+        else:
+            out[i] = {"ß": "ss\x1f", "æ": "ae", "œ": "oe", "ø": "o\x1f"}.get(chr(i).lower(), "")
     return out
 
 
@@ -71,11 +81,11 @@ _FOLD = _symbols()
 
 
 def letters(word: str) -> bytes:
-    """The word's letters as symbols 1 to 26 without accents; letters of other scripts as one of 28 to 31."""
+    """The word's letters as symbols 1 to 26, accents as symbols 28 to 31 behind them, as are letters of other scripts."""
     folded = word.translate(_FOLD)
-    if folded.isascii():
-        return bytes(ord(c) - 96 for c in folded)
-    return bytes(ord(c) - 96 if c <= "z" else 28 + ord(c) % 4 for c in folded if c <= "z" or c.isalpha())
+    if not folded.isascii():
+        folded = "".join(c if c <= "z" else chr(28 + ord(c) % 4) for c in folded if c <= "z" or c.isalpha())
+    return bytes(ord(c) - 96 if c >= "a" else ord(c) for c in folded)
 
 
 def words_of(text: str) -> list[str]:
@@ -156,10 +166,10 @@ _KNOWN_OF: list[str] = [""]
 
 
 class Model:
-    """Weights of subsequences, bias, and the logistic curve of decisions."""
+    """Weights of subsequences, bias, and the logistic curve over ``measures``: slopes, then the offset."""
 
-    def __init__(self, table_: np.ndarray | None = None, bias: float = -1.0, slope: float = 0.0, offset: float = -1e9):
-        self.table, self.bias, self.slope, self.offset = table_, bias, slope, offset
+    def __init__(self, table_: np.ndarray | None = None, bias: float = -1.0, curve: tuple[float, ...] = (0.0, 0.0, -1e9)):
+        self.table, self.bias, self.curve = table_, bias, curve
         self.name = uuid.uuid4().hex
 
     def decisions(self, words: list[str]) -> np.ndarray:
@@ -180,24 +190,33 @@ class Model:
                 np.maximum.at(out, owner[some], (self.table[keys] * unit(keys, weights)).sum(1) + self.bias)
         return out
 
-    def worst(self, texts: list[str | None]) -> list[float]:
-        """The largest decision over each text's tokens."""
+    def measures(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the logarithm of its share of insult, and that of its amount."""
+        out = np.empty((len(texts), 2))
         if self.table is None:
-            return [self.bias] * len(texts)
-        sets = [set(words_of(t)) if t else set() for t in texts]
+            out[:] = np.log(TRACE), 0.0
+            return out
+        lists = [words_of(t) if t else [] for t in texts]
         if _KNOWN_OF[0] != self.name:
             _KNOWN.clear()
             _KNOWN_OF[0] = self.name
-        new = list({w for s in sets for w in s if w not in _KNOWN})
+        sole_cache("toxicity", _KNOWN.clear)
+        new = set().union(*lists) - _KNOWN.keys()
         if new:
             if len(_KNOWN) + len(new) > CACHE_TOKENS:
                 _KNOWN.clear()
-                new = list({w for s in sets for w in s})
+                new = set().union(*lists)
+            new = list(new)
             _KNOWN.update(zip(new, self.decisions(new).tolist(), strict=True))
-        return [max(map(_KNOWN.__getitem__, s), default=self.bias) for s in sets]
+        for i, words in enumerate(lists):
+            d = np.fromiter(map(_KNOWN.__getitem__, words), np.float64, len(words))
+            amount = np.clip((d - PART) / (1 - PART), 0.0, 1.0).sum()
+            out[i] = np.log(TRACE + amount / max(len(words), 1)), np.log1p(amount)
+        return out
 
-    def probability(self, decisions: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(decisions, 1.0) + self.offset, -40, 40)))
+    def probability(self, measures: np.ndarray) -> np.ndarray:
+        *slopes, offset = self.curve
+        return 1 / (1 + np.exp(-np.clip(measures @ np.array(slopes) + offset, -40, 40)))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,17 +227,23 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string()), pa.array([toxic] * len(rows), pa.int64())], ["word", "context", "toxic"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(y=1) over decisions, lightly regularised; the slope is at least 0."""
-    a = np.column_stack((x, np.ones(len(x))))
-    w, ridge = np.zeros(2), np.array([SOFT * len(x), 1e-4])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
-            break
-    return max(float(w[0]), 0.0), float(w[1])
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Slopes and offset of P(y=1) over the columns of x, lightly regularised; a slope below 0 is set to 0 and the rest fitted again."""
+    use = list(range(x.shape[1]))
+    while True:
+        a = np.column_stack((x[:, use], np.ones(len(x))))
+        w, ridge = np.zeros(a.shape[1]), np.array([SOFT * len(x)] * len(use) + [1e-4])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * w)
+            w = w + step * min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-12))
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all():
+            slopes = np.zeros(x.shape[1])
+            slopes[use] = w[:-1]
+            return (*slopes.tolist(), float(w[-1]))
+        use.pop(int(w[:-1].argmin()))
 
 
 def train(insults: dict[bytes, float], plain: list[str]) -> Model:
@@ -248,17 +273,10 @@ def train(insults: dict[bytes, float], plain: list[str]) -> Model:
     return Model(folded, float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("long").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts * (3 - 2 * F.col("toxic"))).drop("n")
-    known = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 4 * texts rows at most
-    known = known.select("toxic", "text").repartition(8, F.xxhash64("text")).persist()
-    contexts = known.mapInArrow(_contexts, "word string, context string, toxic long").distinct()
-    seen = stash(contexts.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "contexts")
+def learned(seen: DataFrame) -> Model:
+    """A model without its curve, from words and the numbers of their toxic and clean contexts (word, bad, good)."""
     total = seen.agg(F.sum("bad"), F.sum("good")).first()
     if not total[0] or not total[1]:
-        known.unpersist()
         return Model()
     share = total[0] / (total[0] + total[1])
     n = F.col("bad") + F.col("good")
@@ -271,29 +289,52 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     good += [r["word"] for r in plain.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE).collect()]
     insults = {t: 1.0 + float(np.log(n)) for t, n in ((letters(w), n) for w, n in reversed(bad)) if 2 <= len(t) <= LONGEST}
     model = train(insults, good)
-    if model.table is not None:
-        first = known.sparkSession.sparkContext.broadcast(model)
+    if model.table is None:
+        return model
+    first = seen.sparkSession.sparkContext.broadcast(model)
 
-        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first.value.decisions(batch.column(0).to_pylist()), pa.float64())], ["word", "decision"])
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first.value.decisions(batch.column(0).to_pylist()), pa.float64())], ["word", "decision"])
 
-        close = plain.select("word").mapInArrow(decide, "word string, decision double").where(F.col("decision") > NEAR)
-        hard = [r["word"] for r in close.orderBy(F.desc("decision"), "word").limit(NEGATIVE // 4).collect()]
-        model = train(insults, good + hard)
+    close = plain.select("word").mapInArrow(decide, "word string, decision double").where(F.col("decision") > NEAR)
+    hard = [r["word"] for r in close.orderBy(F.desc("decision"), "word").limit(NEGATIVE // 4).collect()]
+    return train(insults, good + hard)
+
+
+def sampled(labels: DataFrame, texts: int) -> DataFrame:
+    """doc_id, toxic of the sample.  Each class is first cut in every hash range of ids, so no task ranks a whole class."""
+    usable = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    most = F.lit(texts) * (3 - 2 * F.col("toxic"))
+    part = usable.withColumn("n", F.row_number().over(Window.partitionBy("toxic", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))).where(F.col("n") <= most)
+    return part.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).where(F.col("n") <= most).select("doc_id", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    chosen = sampled(usable, texts)
+    known = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 4 * texts rows at most
+    known = known.select("toxic", "text").repartition(8, F.xxhash64("text")).persist()
+    contexts = known.mapInArrow(_contexts, "word string, context string, toxic long").distinct()
+    model = learned(stash(contexts.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "contexts"))
+    if model.table is None:
+        known.unpersist()
+        return model
     spread = known.sparkSession.sparkContext.broadcast(model)
 
-    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spread.value.worst(batch.column(1).to_pylist()), pa.float64())], ["toxic", "decision"])
+            for part in slices(batch, 1):
+                m = spread.value.measures(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(2))], ["toxic", "share", "amount"])
 
-    pairs = known.mapInArrow(worst, "toxic long, decision double").collect()  # 4 * texts numbers at most
+    rows = known.mapInArrow(judged, "toxic long, share double, amount double").collect()  # 4 * texts rows at most
     known.unpersist()
     shares = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    x, y = np.minimum([p["decision"] for p in pairs], 1.0), np.array([p["toxic"] for p in pairs], float)
-    model.slope, model.offset = _logistic(x, y)
+    x, y = np.array([[r["share"], r["amount"]] for r in rows]), np.array([r["toxic"] for r in rows], float)
+    *slopes, offset = logistic(x, y)
     # The sample holds the classes in other shares than the labels do.
-    model.offset += float(np.log(shares[1] / shares[0] * (1 - y).sum() / y.sum()))
+    model.curve = (*slopes, offset + float(np.log(shares[1] / shares[0] * (1 - y).sum() / y.sum())))
     return model
 
 
@@ -303,9 +344,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                p = shared.value.probability(np.array(shared.value.worst(part.column(1).to_pylist())))
+            for part in slices(batch, 1):
+                p = shared.value.probability(shared.value.measures(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -314,7 +354,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score below the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda texts: (shared.value.probability(np.array(shared.value.worst(texts))) < threshold).tolist())
+    return keep_rows(docs, lambda texts: (shared.value.probability(shared.value.measures(texts)) < threshold).tolist())
 
 
 def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
