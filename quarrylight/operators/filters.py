@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,26 @@ LATIN_SHARE, ACCENTED_SHARE, LONG, ENGLISH_SHARE = 0.7, 0.25, 30, 0.08
 
 
 def language_counts(text: Column) -> Column:
-    """letters, latin, n (words), accented (words with a letter beyond ASCII) and, for each language, how many of the words are its function words."""
+    """letters, latin, n (words), accented (words with a letter beyond ASCII) and, for each language, how many of the words are its function words.
+
+    Each word is looked up once, giving a number with one bit for each language that has it.
+    """
     low = F.lower(F.regexp_replace(text, r"https?://\S+", " "))
-    whole = lambda inner: F.lit(rf"(?<![\p{{L}}\p{{M}}])(?:{inner})(?![\p{{L}}\p{{M}}])")
-    votes = [
-        (F.regexp_count(low, whole("|".join(words))) + (F.regexp_count(low, F.lit(_ELIDED[lang])) if lang in _ELIDED else F.lit(0))).alias(lang)
-        for lang, words in FUNCTION_WORDS.items()
-    ]
-    return F.struct(
-        F.regexp_count(low, F.lit(r"\p{L}")).alias("letters"),
-        F.regexp_count(low, F.lit(r"\p{IsLatin}")).alias("latin"),
-        F.regexp_count(low, F.lit(r"[\p{L}\p{M}]+")).alias("n"),
-        F.regexp_count(low, F.lit(r"[\p{L}\p{M}]*[\p{L}\p{M}&&[^\x00-\x7f]][\p{L}\p{M}]*")).alias("accented"),
-        *votes,
-    )
+    bits = {lang: 1 << i for i, lang in enumerate(FUNCTION_WORDS)}
+    accented = 1 << len(bits)
+
+    def mark(word: Column) -> Column:
+        flags = [F.when(word.isin(words), bits[lang]).otherwise(0) for lang, words in FUNCTION_WORDS.items()]
+        return reduce(Column.__add__, flags, F.when(word.rlike(r"[^\x00-\x7f]"), accented).otherwise(0))
+
+    def counted(marks: Column) -> Column:
+        count = lambda bit: F.size(F.filter(marks, lambda m: m.bitwiseAND(F.lit(bit)) != 0))
+        votes = [(count(bit) + (F.regexp_count(low, F.lit(_ELIDED[lang])) if lang in _ELIDED else F.lit(0))).alias(lang) for lang, bit in bits.items()]
+        kept = lambda pattern: F.length(F.regexp_replace(low, pattern, ""))
+        return F.struct(kept(r"\P{L}+").alias("letters"), kept(r"\P{IsLatin}+").alias("latin"), F.size(marks).alias("n"), count(accented).alias("accented"), *votes)
+
+    words = F.filter(F.split(low, r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    return F.element_at(F.transform(F.array(F.transform(words, mark)), counted), 1)
 
 
 def is_english(counts: Column) -> Column:

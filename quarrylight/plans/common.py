@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows are texts, on which work is bound by the processor.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that are stored in fewer pieces than there are cores, dealt out to all of them; large tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
