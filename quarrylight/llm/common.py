@@ -63,8 +63,19 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-#: Bytes of text, and rows, that a worker handles at once.
-SLICE_BYTES, SLICE_ROWS = 3_000_000, 2_048
+#: Bytes of text, and rows, that a worker handles at once; rows that are sent to it at once.
+SLICE_BYTES, SLICE_ROWS, BATCH_ROWS = 3_000_000, 2_048, 1_000
+
+
+def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id as a number and text as a string (with the columns asked for besides), sent to workers in batches that suit rows of text.
+
+    Batches of Spark's 10,000 rows would hold tens of megabytes of text in the JVM and in each worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(key, BATCH_ROWS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -83,6 +94,7 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows, with all their columns, for whose texts ``decide`` (list of texts or nulls -> list of bool) says yes."""
     at = docs.columns.index("text")
+    text_rows(docs)
 
     def run(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import held_out, keep_rows, table
+from quarrylight.llm.common import held_out, keep_rows, table, text_rows
 
 PROFILE = 400
 DOCS_PER_LANG = 400
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             out = [shared.value.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return text_rows(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:

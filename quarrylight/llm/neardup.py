@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bounded, stash, table
+from quarrylight.llm.common import bounded, slices, stash, table, text_rows
 from quarrylight.llm.graph import components
 
 CHUNKS, WIDE = 12, 5
@@ -84,8 +84,7 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 sizes, keys, signatures, odd = [], [], [], []
                 for text in part.column(1).to_pylist():
                     hashes = shingle_set(text, words)
@@ -152,27 +151,13 @@ def first_meeting(slot: Column, a: str, b: str) -> Column:
     return reduce(Column.__and__, [(chunk < i) | ((chunk == i) & ((wrong == 1) | (gone == 0))) | ((chunk > i) & (wrong > 1)) for i, wrong in enumerate(errors(a, b))])
 
 
-def _verify(similarity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= similarity * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    return run
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["doc", "hashes"])
+            for part in slices(batch, 1):
+                sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum(list(map(len, sets))))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc", "hashes"])
 
     return run
 
@@ -181,14 +166,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) ->
     """The pairs (a, b) whose full sets are similar enough."""
     pairs = stash(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, hashes binary")
+    sets = docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, hashes array<long>")
     rows = pairs.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long").distinct()
+    common = F.size(F.array_intersect("x", "y"))
+    return rows.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents; similarity in percent."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = text_rows(documents)
     sketch = stash(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, signature binary, odd binary"), "sketch")
     usable = sketch.where("doc_id is not null and set_key is not null")
     classes = stash(usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("odd").alias("odd")), "classes")

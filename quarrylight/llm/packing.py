@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import table
+from quarrylight.llm.common import sole_cache, table, text_rows
 
 CAPACITY = 4096
 END_ID = 2
@@ -99,6 +99,7 @@ class WordEncoder(dict):
 
 
 def encoder(path: str) -> WordEncoder:
+    sole_cache("packing", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -205,7 +206,7 @@ def _packer(path: str, capacity: int, end_id: int, linear: float, quadratic: flo
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = 1.0, quadratic: float = 1.0 / 4096, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_rows(docs)
     return rows.mapInArrow(_packer(tokenizer_path, capacity, end_id, linear, quadratic, shard_sequences), SCHEMA)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import slices, sole_cache, table
+from quarrylight.llm.common import slices, sole_cache, table, text_rows
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -414,7 +414,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return text_rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -444,7 +444,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "same_text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, same_text boolean")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, same_text boolean")
 
 
 def op8_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

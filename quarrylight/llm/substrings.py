@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bounded, partitions, slices, stash, table
+from quarrylight.llm.common import bounded, partitions, slices, stash, table, text_rows
 
 LENGTH, GRAM = 50, 20
 #: Bytes of the grams that fill the first buckets of a refinement (they fit into a long).
@@ -171,7 +171,7 @@ def _anchored(length: int, gram: int):
                 texts.append(text)
                 done.append(copy)
                 size += len(text)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     if (out := rows(ids, texts, done)) is not None:
                         yield out
                     ids, texts, done, size = [], [], [], 0
@@ -293,7 +293,7 @@ def _cut(length: int):
 
 def _with_spans(documents: DataFrame, length: int, gram: int) -> DataFrame:
     """The documents and, in a column __spans, what repeats in each."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = text_rows(documents)
     starts = repeated_starts(docs.where("doc_id is not null and text is not null"), length, gram)
     spans = stash(starts.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "n")).alias("__spans")), "spans")
     # Texts and findings meet in one shuffle by document at every size; neither is ever broadcast.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import held_out, keep_rows, slices, sole_cache, stash, table
+from quarrylight.llm.common import held_out, keep_rows, slices, sole_cache, stash, table, text_rows
 
 TEXTS = 1200
 POSITIVE, NEGATIVE = 600, 8000
@@ -348,7 +348,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 p = shared.value.probability(shared.value.measures(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return text_rows(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
