@@ -2,15 +2,16 @@
 
 Method.  Inner products become distances: with R the largest candidate norm, a candidate s is lifted to
 (s, sqrt(R^2 - |s|^2)) and a query q to (q, 0); then |q - s|^2 = |q|^2 + R^2 - 2 q.s, so nearest means largest product.  Pivots
-cut the lifted space into Voronoi groups.  Summaries hold, for each group of queries, its radius, and for each group of
-candidates the k + 1 distances nearest to its pivot (one more, as a query is no candidate of its own).  From them
-each query group gets a bound theta on its k-th distance by the triangle inequality; a candidate is replicated to
-a query group only if its distance to the group's pivot, less the radius, is within theta.  Cells are solved locally
-with exact integer products, and the cells' lists are merged.
+cut the lifted space into Voronoi cells, for queries and candidates alike.  Summaries hold, for each cell, the k + 1 candidates nearest to its pivot
+(one more, as a query is no candidate of its own); with them the triangle inequality bounds the k-th distance of a cell's queries.
+Solving each query among (a bounded part of) its own cell's candidates gives it a closer bound theta.  From these come the summaries
+of pairs of cells, least and largest distance to the other pivot less and plus theta, and whether the hyperplane between the pivots is within theta:
+a candidate is replicated only to those cells of queries whose bounds it meets.  What a cell of queries gets is solved
+locally with exact integer products, and the lists are merged.
 
-Scale.  A group's candidates and queries are dealt over blocks by hash, so that a crowded group (or one vector that a third of
-the rows share) fills many cells and no cell is large.  Pivots come from a bounded sample; only summaries, whose size is
-pivots times k, reach the driver.
+Scale.  Pivots grow with the square root of the table up to ``MOST_PIVOTS``; only summaries, whose size is pivots squared, reach the driver.  Cells with
+few queries are bundled up to ``CELL_QUERIES``, so a candidate is sent once to a bundle, and crowded cells (one vector that a third of
+the rows share) are dealt over several bundles; candidates of a bundle are dealt over blocks of ``CELL_ROWS``, as many as it gets.
 
 Defined cases: see ``vectors.usable``; fewer than k candidates give shorter lists; ties go to the smaller vec_id.
 """
@@ -18,8 +19,10 @@ Defined cases: see ``vectors.usable``; fewer than k candidates give shorter list
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm import vectors
 from quarrylight.llm.common import stash, table
 
-PIVOTS, SAMPLE = 24, 2048
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLE = 16, 256, 2048
 
 
 def pick_pivots(points: np.ndarray, count: int) -> np.ndarray:
@@ -63,7 +66,33 @@ def thresholds(pivots: np.ndarray, radius: dict[int, float], nearest: dict[int,
     return out
 
 
-def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, pivots: int = PIVOTS) -> DataFrame:
+def bundles(pivots: np.ndarray, asked: dict[int, int], most: int) -> tuple[dict[int, np.ndarray], int]:
+    """For each cell the numbers of the bundles that its queries are dealt to, and how many bundles there are.
+
+    Cells are walked from each to the nearest not yet met, so that neighbours share a bundle.
+    """
+    between = distances(pivots, pivots)
+    left, at, order = set(asked), min(asked), []
+    while left:
+        at = min(left, key=lambda g: (between[at, g], g))
+        order.append(at)
+        left.discard(at)
+    out: dict[int, np.ndarray] = {}
+    now, held = 0, 0
+    for g in order:
+        decks = -(-asked[g] // most)
+        if decks > 1 or held + asked[g] > most:
+            now, held = now + (held > 0), 0
+        out[g] = np.arange(now, now + decks)
+        now, held = (now + decks, 0) if decks > 1 else (now, held + asked[g])
+    return out, now + (held > 0)
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k candidates with the largest integer product for each query (vec_id divisible by ``every``)."""
     known = vectors.usable(rows, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     known = stash(known, "vectors")
@@ -71,10 +100,15 @@ def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, p
     total, square = known.agg(F.count("*"), F.max(norm)).first()
     empty = "query_id long, rank int, vec_id long, score long"
     queries = known.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = queries.count()
-    if not asked or total < 2:
+    if total < 2 or not queries.limit(1).count():
         return rows.sparkSession.createDataFrame([], empty)
-    centres = pick_pivots(lifted(vectors.sample(known, SAMPLE), square, False), pivots)
+    count = pivots or min(max(isqrt(total), LEAST_PIVOTS), MOST_PIVOTS)
+    centres = pick_pivots(lifted(vectors.sample(known, SAMPLE), square, False), count)
+    cells, between = len(centres), distances(centres, centres)
+    slack = 1e-6 * (1 + square**0.5)  # of floating-point distances; products are exact
+
+    def exact(q: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return s.astype(np.int64) @ q.astype(np.int64)
 
     def radii(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         d = distances(lifted(x, square, True), centres)
@@ -84,40 +118,113 @@ def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, p
     def closest(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         d = distances(lifted(x, square, False), centres)
         group, low = d.argmin(1), d.min(1)
-        g, at = [], []
+        g, at, n = [], [], []
         for i in np.unique(group):
             mine = np.flatnonzero(group == i)
-            at += list(mine[np.argsort(low[mine])[: k + 1]])
-        at = np.array(at)
-        yield pa.RecordBatch.from_arrays([pa.array(group[at].astype(np.int32)), pa.array(low[at])], ["g", "d"])
+            mine_first = mine[np.argsort(low[mine])[: k + 1]]
+            g += [i] * len(mine_first)
+            at += list(low[mine_first])
+            n += [len(mine)] + [0] * (len(mine_first) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(at, pa.float64()), pa.array(n, pa.int64())], ["g", "d", "n"])
 
-    slack = 1e-6 * (1 + square**0.5)  # of floating-point distances; products are exact
-    radius = {r["g"]: r["d"] + slack for r in queries.mapInArrow(vectors.batches_of(radii), "g int, d double").groupBy("g").agg(F.max("d").alias("d")).collect()}
+    found = queries.mapInArrow(vectors.batches_of(radii), "g int, d double").groupBy("g").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()
+    radius, asked = {r["g"]: r["d"] + slack for r in found}, {r["g"]: r["n"] for r in found}
     order = Window.partitionBy("g").orderBy("d")
+    listed = stash(known.mapInArrow(vectors.batches_of(closest), "g int, d double, n long"), "nearest")
     nearest: dict[int, list[float]] = {}
-    for r in known.mapInArrow(vectors.batches_of(closest), "g int, d double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).collect():
+    for r in listed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).collect():
         nearest.setdefault(r["g"], []).append(r["d"] + slack)
     theta = thresholds(centres, radius, nearest, k)
     groups = np.array(sorted(radius))
-    reach = np.array([radius[g] + theta[g] + slack for g in groups])
-    blocks, decks = -(-total // vectors.CELL_ROWS), -(-asked // vectors.CELL_QUERIES)
+    sizes = np.ones(cells)
+    for r in listed.groupBy("g").agg(F.sum("n").alias("n")).collect():
+        sizes[r["g"]] = r["n"]
+    share = np.minimum(1.0, vectors.CELL_ROWS / sizes)  # of a cell's candidates that serve for the bound
+    dealt_to, number = bundles(centres, asked, vectors.CELL_QUERIES)
 
-    def cell(group: np.ndarray, block: np.ndarray, deck: np.ndarray) -> pa.Array:
-        return pa.array((group * blocks + block) * decks + deck, pa.int64())
+    def bundle_of(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return np.array([dealt_to[g][i % len(dealt_to[g])] for g, i in zip(group.tolist(), (ids // every).tolist(), strict=True)], np.int64)
 
-    def deal(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        d = distances(lifted(x, square, False), centres[groups])
-        at, to = np.nonzero(d <= reach)
-        for deck in range(decks):
-            yield pa.RecordBatch.from_arrays([cell(groups[to], (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks, np.full(len(at), deck)), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "vec_id", "x"])
+    # Each query among its own cell's candidates.  Decks of a crowded cell's queries each get the same candidates.
+    decks = {g: len(dealt_to[g]) for g in asked}
+    widest = max(decks.values())
 
-    def ask(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def own_queries(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = distances(lifted(x, square, True), centres).argmin(1)
-        for block in range(blocks):
-            yield pa.RecordBatch.from_arrays([cell(group, np.full(len(ids), block), (ids // every) % decks), pa.array(ids), vectors.packed(x)], ["cell", "query_id", "x"])
+        deck = np.array([i % decks[g] for g, i in zip(group.tolist(), (ids // every).tolist(), strict=True)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(group * widest + deck, pa.int64()), pa.array(ids), vectors.packed(x)], ["cell", "query_id", "x"])
 
-    def exact(q: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return s.astype(np.int64) @ q.astype(np.int64)
+    def own_candidates(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = distances(lifted(x, square, False), centres).argmin(1)
+        chosen = np.flatnonzero((_mixed(ids) % 1_000_003 < share[group] * 1_000_003) & np.isin(group, groups))
+        for deck in range(widest):
+            at = chosen[[decks[g] > deck for g in group[chosen].tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(group[at] * widest + deck, pa.int64()), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "vec_id", "x"])
+
+    own = vectors.best_in_cells(queries.mapInArrow(vectors.batches_of(own_queries), "cell long, query_id long, x binary"), known.mapInArrow(vectors.batches_of(own_candidates), "cell long, vec_id long, x binary"), lambda q, s: q @ s.T, exact, k, "long")
+    kth = own.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
+    bounded = stash(queries.join(kth, "vec_id", "left").select("vec_id", "v", F.col("score").cast("double").alias("score")), "bounds")
+
+    def pair_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each cell of queries: reach, and for every other cell least and largest distance to its pivot, widened, and how near its hyperplane comes."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, score = vectors.matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            d = distances(lifted(x, square, True), centres)
+            group = d.argmin(1)
+            own_d = d[np.arange(len(d)), group]
+            t = np.array([theta[g] for g in group.tolist()])
+            real = np.sqrt(np.maximum((x * x).sum(1) + square - 2 * score, 0)) + slack
+            t = np.where(np.isnan(real), t, np.minimum(t, real))
+            apart = between[group]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                wall = np.where(apart > 0, (d * d - (own_d * own_d)[:, None]) / (2 * apart), -np.inf)
+            out = []
+            for g in np.unique(group).tolist():
+                m = group == g
+                out.append((g, float((own_d[m] + t[m]).max()) + slack, (d[m] - t[m, None]).min(0) - slack, (d[m] + t[m, None]).max(0) + slack, (wall[m] - t[m, None]).min(0) - slack))
+            lists = [pa.array([r[i].tolist() for r in out], pa.list_(pa.float64())) for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.float64()), *lists], ["g", "reach", "low", "high", "wall"])
+
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        low, high, wall = (np.array(part[c].tolist()) for c in ("low", "high", "wall"))
+        return pd.DataFrame({"g": [part["g"].iloc[0]], "reach": [part["reach"].max()], "low": [low.min(0).tolist()], "high": [high.max(0).tolist()], "wall": [wall.min(0).tolist()]})
+
+    schema = "g int, reach double, low array<double>, high array<double>, wall array<double>"
+    summary = {r["g"]: r for r in bounded.mapInArrow(pair_bounds, schema).groupBy("g").applyInPandas(merged, schema).collect()}  # a row a cell
+    reach = np.array([summary[g]["reach"] for g in groups.tolist()])
+    low, high, wall = (np.array([summary[g][c] for g in groups.tolist()]) for c in ("low", "high", "wall"))
+    member = np.zeros((len(groups), number), bool)
+    for i, g in enumerate(groups.tolist()):
+        member[i, dealt_to[g]] = True
+
+    def wanted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates and the bundles they go to."""
+        d = distances(lifted(x, square, False), centres)
+        cell = d.argmin(1)
+        e = d[np.arange(len(d)), cell][:, None]
+        admitted = (d[:, groups] <= reach) & (low[:, cell].T <= e) & (e <= high[:, cell].T) & (wall[:, cell].T <= 0)
+        return np.nonzero(admitted.astype(np.float32) @ member.astype(np.float32) > 0)
+
+    def counted(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        to, n = np.unique(wanted(x)[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(n, pa.int64())], ["bundle", "n"])
+
+    blocks = np.ones(number, np.int64)
+    for r in known.mapInArrow(vectors.batches_of(counted), "bundle long, n long").groupBy("bundle").agg(F.sum("n").alias("n")).collect():  # a row a bundle
+        blocks[r["bundle"]] = -(-r["n"] // vectors.CELL_ROWS)
+    first = np.concatenate(([0], np.cumsum(blocks)))
+
+    def deal(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, to = wanted(x)
+        yield pa.RecordBatch.from_arrays([pa.array(first[to] + _mixed(ids[at]) % blocks[to], pa.int64()), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "vec_id", "x"])
+
+    def ask(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bundle = bundle_of(ids, distances(lifted(x, square, True), centres).argmin(1))
+        at = np.repeat(np.arange(len(ids)), blocks[bundle])
+        cell = np.concatenate([np.arange(first[b], first[b + 1]) for b in bundle.tolist()])
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "query_id", "x"])
 
     asking = queries.mapInArrow(vectors.batches_of(ask), "cell long, query_id long, x binary")
     dealt = known.mapInArrow(vectors.batches_of(deal), "cell long, vec_id long, x binary")
@@ -131,10 +238,13 @@ def op2_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op2_voronoi_topk": op2_voronoi_topk}
 SQL = {
     "op2_voronoi_topk": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+WITH e AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS e
   FROM (SELECT * FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), l AS (SELECT len(e) AS n FROM e GROUP BY 1 ORDER BY count(*) DESC, n LIMIT 1
+), v AS (
+  SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS v FROM e WHERE len(e) = (SELECT n FROM l)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
