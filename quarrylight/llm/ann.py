@@ -3,9 +3,10 @@
 Method.  On a bounded sample the exact neighbour graph is cut into parts of equal size with few edges
 across (greedy assignment, then moves that keep the balance).  A small network with one hidden layer learns, from a vector, the
 parts that its neighbours lie in.  Every vector of the table is indexed under its most probable part; a query
-visits its ``PROBES`` most probable parts (more if they hold too few rows), where cosines are exact.
+visits its most probable parts, where cosines are exact.  How many is measured: a fifth of the sample is kept from learning, and as many parts are
+visited as bring ``RECALL`` of its neighbours together (more if they hold too few rows).
 
-Scale.  The sample (``SAMPLE`` vectors) is all that the driver sees; the network is a few hundred kilobytes.  The index is a table
+Scale.  Parts grow with the table.  The sample (``SAMPLE`` vectors) is all that the driver sees; the network is a few hundred kilobytes.  The index is a table
 keyed by part and block; a part that holds much of the table is dealt over more blocks, so no cell is large.
 
 Defined cases: see ``vectors.usable`` (zero vectors too are left out); fewer than k candidates give shorter lists; ties go to the smaller vec_id.
@@ -14,6 +15,7 @@ Defined cases: see ``vectors.usable`` (zero vectors too are left out); fewer tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,11 @@ from quarrylight.llm import vectors
 from quarrylight.llm.common import stash, table
 
 SAMPLE, NEIGHBOURS = 4096, 10
-PARTS, PROBES, HIDDEN = 16, 12, 128
+HIDDEN = 128
+#: Parts at least and at most; there is one for each PART_ROOT of the square root of the table's rows.
+LEAST_PARTS, MOST_PARTS, PART_ROOT = 8, 64, 14
+#: Share of neighbours that the visited parts hold, as measured on the sample.
+RECALL = 0.94
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -110,7 +116,17 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def learn(x: np.ndarray, parts: int = PARTS, hidden: int = HIDDEN) -> Router:
+def probes_for(router: Router, learnt: np.ndarray, kept: np.ndarray, k: int, recall: float) -> int:
+    """The fewest parts in which vectors that were kept from learning find that share of their k nearest."""
+    learnt, kept = units(learnt), units(kept)
+    part = router(learnt).argmax(1)
+    near = np.argsort(-(kept @ learnt.T), 1)[:, :k]
+    place = np.argsort(np.argsort(-router(kept), 1, kind="stable"), 1)  # of each part in each vector's order
+    needed = np.take_along_axis(place, part[near], 1).ravel() + 1
+    return int(np.sort(needed)[min(int(np.ceil(recall * len(needed))), len(needed)) - 1])
+
+
+def learn(x: np.ndarray, parts: int, hidden: int = HIDDEN) -> Router:
     x = units(x)
     near = neighbour_graph(x, NEIGHBOURS)
     part = balanced_parts(near, min(parts, len(x)))
@@ -119,14 +135,21 @@ def learn(x: np.ndarray, parts: int = PARTS, hidden: int = HIDDEN) -> Router:
     return Router(x, target / target.sum(1, keepdims=True), hidden)
 
 
-def cosine_search(rows: DataFrame, k: int, every: int = 50, parts: int = PARTS, probes: int = PROBES) -> DataFrame:
+def cosine_search(rows: DataFrame, k: int, every: int = 50, parts: int | None = None, probes: int | None = None, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each query (vec_id divisible by ``every``)."""
     known = stash(vectors.usable(rows, nonzero=True), "vectors")
     queries = known.where(F.pmod("vec_id", F.lit(every)) == 0)
     total, asked = known.count(), queries.count()
     if total < 2 or not asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = learn(vectors.sample(known, SAMPLE), parts)
+    parts = parts or min(max(isqrt(total) // PART_ROOT, LEAST_PARTS), MOST_PARTS)
+    some = vectors.sample(known, SAMPLE)
+    fifth = len(some) // 5
+    if fifth > 2 * k and probes is None:
+        router = learn(some[fifth:], parts)
+        probes = probes_for(router, some[fifth:], some[:fifth], k, recall)
+    else:  # too few to measure: all are visited
+        router, probes = learn(some, parts), probes or parts
     spread = rows.sparkSession.sparkContext.broadcast(router)
 
     def place(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
