@@ -107,8 +107,11 @@ def keep_rows(docs: DataFrame, decide) -> DataFrame:
 _CACHES: dict[str, Callable[[], object]] = {}
 
 
-def sole_cache(name: str, clear: Callable[[], object]) -> None:
-    """Before an operator fills its cache in a worker, let the caches that other operators left there go, back to the system."""
+def sole_cache(name: str, clear: Callable[[], object] = lambda: None) -> None:
+    """At the start of an operator's work in a worker, let the caches that other operators left there go, back to the system.
+
+    Workers live on from job to job, so a pipeline would gather the caches of all its stages.
+    """
     if name in _CACHES:
         return
     others = list(_CACHES.values())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import held_out, keep_rows, table, text_rows
+from quarrylight.llm.common import held_out, keep_rows, sole_cache, table, text_rows
 
 PROFILE = 400
 DOCS_PER_LANG = 400
@@ -92,6 +92,7 @@ class Profiles:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole_cache("langid")
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             keys, counts = ngrams(text.as_py() or "")
@@ -101,8 +102,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, size: int = PROFILE) -> Profiles:
     """Profiles from documents with a known language outside the held-out part."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang)
+    # Cut in every hash range of ids first, so no task ranks all documents of a language.
+    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    few = hashed.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_lang)
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= docs_per_lang)
     ids = chosen.select("doc_id").distinct()  # bounded: docs_per_lang rows a language
     texts = usable.where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
     counted = texts.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_counts, "lang string, gram long, n long")
@@ -119,6 +122,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("langid")
         for batch in batches:
             out = [shared.value.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -4,7 +4,7 @@ Method.  A document is the set of its shingles; its signature is one minhash per
 signatures within ``ERRORS`` differing symbols have, by the pigeonhole principle, at least one of
 ``CHUNKS`` chunks with at most one differing symbol.  So each chunk is indexed once for every symbol left out: signatures
 within the threshold share a key, all such pairs are found, and none beyond the sketch itself is lost.  At a
-similarity of 0.8 a pair stays within the threshold but for one case in 3000, at 0.85 but for one in a million.
+similarity of 0.8 a pair stays within the threshold but for one case in five million (the binomial tail), at 0.85 but for one in five billion.
 Links are confirmed on full shingle sets.
 
 Scale.  Documents with equal sets are one class from the start.  In a key's bucket all members are compared with its smallest
@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bounded, slices, stash, table, text_rows
+from quarrylight.llm.common import bounded, slices, sole_cache, stash, table, text_rows
 from quarrylight.llm.graph import components
 
-CHUNKS, WIDE = 12, 5
+CHUNKS, WIDE = 15, 4
 SYMBOLS = CHUNKS * WIDE
-#: With 12 chunks, 23 errors leave some chunk with one error at most.
+#: With 15 chunks, 29 errors leave some chunk with one error at most.
 ERRORS = 2 * CHUNKS - 1
-#: Bits of a symbol.  A chunk is five lanes of 12 bits, the top one free, in a long.
+#: Bits of a symbol.  A chunk is four lanes of 12 bits, the top one free, in a long.
 LANE = 11
 #: Bits of the sketch of parities.
 ODD = 1024
@@ -83,6 +83,7 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("neardup")
         for batch in batches:
             for part in slices(batch, 1):
                 sizes, keys, signatures, odd = [], [], [], []

@@ -33,27 +33,29 @@ CAPACITY = 4096
 END_ID = 2
 #: Sequences packed together: large enough for good balance, small enough for a task's memory (8 MB of ids).
 SHARD_SEQUENCES = 1024
-#: Words, and runs of letters, whose ids a worker remembers.
-CACHE_WORDS, CACHE_RUNS = 500_000, 800_000
+#: Words whose ids a worker remembers (and, for every five of them, eight runs of letters).
+CACHE_WORDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class _Runs(dict):
     """Run of letters or signs -> ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.tokenizer = Tokenizer.from_file(path)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHE_RUNS:
+        if len(self) >= self.most:
             self.clear()
         self[run] = ids = self.whole(run)
         return ids
@@ -72,11 +74,11 @@ class WordEncoder(dict):
     #: Letters whose classes every regular-expression engine agrees on.
     latin = re.compile("[\x21-\x7eÀ-ÖØ-öø-ɏ]+")
 
-    def __init__(self, path: str):
-        self.known = _Runs(path)
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        self.known, self.most = _Runs(path, most * 8 // 5), most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if "<|" not in word and self.latin.fullmatch(word):
             ids = b"".join(map(self.known.__getitem__, self.runs.findall(word)))
@@ -98,11 +100,11 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = CACHE_WORDS) -> WordEncoder:
     sole_cache("packing", _ENCODERS.clear)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = WordEncoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def pack_lengths(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
@@ -165,11 +167,11 @@ def pack_lengths(lengths: list[int], capacity: int, linear: float, quadratic: fl
     return pieces
 
 
-def _packer(path: str, capacity: int, end_id: int, linear: float, quadratic: float, shard: int):
+def _packer(path: str, capacity: int, end_id: int, linear: float, quadratic: float, shard: int, cache: int):
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cache)
         base = TaskContext.get().partitionId() << 40
         ids: list[int | None] = []
         tokens: list[bytes] = []
@@ -204,10 +206,10 @@ def _packer(path: str, capacity: int, end_id: int, linear: float, quadratic: flo
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = 1.0, quadratic: float = 1.0 / 4096, shard_sequences: int = SHARD_SEQUENCES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, linear: float = 1.0, quadratic: float = 1.0 / 4096, shard_sequences: int = SHARD_SEQUENCES, cache: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = text_rows(docs)
-    return rows.mapInArrow(_packer(tokenizer_path, capacity, end_id, linear, quadratic, shard_sequences), SCHEMA)
+    return rows.mapInArrow(_packer(tokenizer_path, capacity, end_id, linear, quadratic, shard_sequences, cache), SCHEMA)
 
 
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

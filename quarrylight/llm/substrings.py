@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bounded, partitions, slices, stash, table, text_rows
+from quarrylight.llm.common import bounded, partitions, slices, sole_cache, stash, table, text_rows
 
 LENGTH, GRAM = 50, 20
 #: Bytes of the grams that fill the first buckets of a refinement (they fit into a long).
 FIRST_GRAM = 7
 #: Rows of one bucket (70 bytes each) from which its strings are told apart by hash, so that no task refines an unbounded group.
 WIDE_BUCKET = 50_000
+#: Runs that are refined together.
+GROUP_RUNS = 5_000
 #: Bytes hashed at once, and the longest run of a text that is.
 BLOCK = 1 << 16
 
@@ -164,6 +166,7 @@ def _anchored(length: int, gram: int):
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key).view(np.int64)), pa.array(np.ascontiguousarray(run).view(np.int64)), pa.array(doc), pa.array((start.astype(np.int64) << 32) | n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("substrings")
         for batch in batches:
             ids, texts, done, size = [], [], [], 0
             for doc, text, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -251,7 +254,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     sizes = data.groupBy("bucket").count()
     wide = sizes.where(F.col("count") > WIDE_BUCKET).select("bucket")
     narrow = data.join(wide, "bucket", "left_anti")
-    groups = max(partitions(docs.sparkSession), data.count() // 20_000)
+    groups = max(partitions(docs.sparkSession), data.count() // GROUP_RUNS)
     fine = narrow.groupBy(F.pmod("bucket", F.lit(groups)).alias("group")).applyInPandas(_refined(length), "doc long, start int, n int")
     strings = data.join(wide, "bucket", "left_semi").select("doc", "start", "data").mapInArrow(_strings(length), "doc long, start int, string binary")
     lows = strings.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
