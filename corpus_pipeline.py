@@ -31,7 +31,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Fewer remembered words than the operator takes alone: earlier stages have left the executors' heaps full.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache=200_000)
 
 
 STAGES = [
