@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quarrylight.llm import ann, graph, neardup, substrings, topk
+from quarrylight.llm import ann, graph, neardup, substrings, topk, vectors
 from tests.llm.test_text_operators import DOCS, ODD, rows
 
 
@@ -175,6 +175,54 @@ def test_exact_products(spark, monkeypatch):
     assert rows(topk.product_search(spark.createDataFrame([], VECTORS), 5)) == []
 
 
+def clustered(n, seed, d=8, centres=25):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(0, 1.0, (centres, d))
+    x = (middle[rng.integers(0, centres, n)] + rng.normal(0, 0.03, (n, d))).astype(np.float32)
+    return [(i, v.tolist(), 0) for i, v in enumerate(x)]
+
+
+def test_products_are_replicated_only_where_bounds_ask(spark, monkeypatch):
+    """On clustered vectors a candidate goes to few of the bundles of queries; the result stays exact."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 200)
+    monkeypatch.setattr(vectors, "CELL_QUERIES", 10)
+    sent, plain = [], vectors.best_in_cells
+    monkeypatch.setattr(vectors, "best_in_cells", lambda q, c, *more: (sent.append((q.select("cell").distinct().count(), c.count())), plain(q, c, *more))[1])
+    data = clustered(2500, 5)
+    out = {}
+    for r in sorted(rows(topk.product_search(spark.createDataFrame(data, VECTORS), 5, every=10)), key=lambda r: r["rank"]):
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    x = np.floor(256 * np.array([v for _, v, _ in data]))
+    products = x[::10] @ x.T
+    for i, q in enumerate(range(0, 2500, 10)):
+        products[i, q] = -np.inf
+        assert out[q] == np.lexsort((np.arange(2500), -products[i]))[:5].tolist()
+    number = len(topk.bundles(np.zeros((1, 2)), {0: 250}, 10)[0][0])  # what as many queries in one cell would take
+    assert sent[1][1] < 0.5 * number * 2500, sent
+
+
+def test_bundles_hold_neighbours_and_split_crowds():
+    pivots = np.array([[0.0], [10.0], [0.5], [10.5]])
+    dealt, number = topk.bundles(pivots, {0: 3, 1: 3, 2: 3, 3: 25}, 10)
+    assert dealt[0].tolist() == dealt[2].tolist() and len(dealt[3]) == 3 and number == 4
+    assert sorted(set(np.concatenate(list(dealt.values())).tolist())) == list(range(number))
+
+
+def test_vector_searches_take_repeated_ids_and_other_columns(spark):
+    data = [(i, v, 0, "x", i) for i, v, _ in clustered(200, 6)]
+    data += [(0, [9.0] * 8, 1, "again", 7), (3, data[3][1], 0, "same", 3)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, score string, rank int")
+    once = spark.createDataFrame([r[:3] for r in data[:200]], VECTORS)
+    for search in (topk.product_search, ann.cosine_search):
+        assert sorted(map(tuple, search(frame, 5).collect())) == sorted(map(tuple, search(once, 5).collect()))
+
+
+def test_few_parts_are_visited_on_clustered_vectors():
+    x = np.array([v for _, v, _ in clustered(2000, 7)])
+    router = ann.learn(x[400:], 16)
+    assert ann.probes_for(router, x[400:], x[:400], 5, 0.94) <= 4
+
+
 def test_learned_partitions_recall(spark):
     data = vector_rows(1500, 2)
     want = brute_top(data, 5, lambda a, b: float(a @ b) / float(np.linalg.norm(a) * np.linalg.norm(b)))
@@ -220,3 +268,13 @@ def test_pipeline_stages(spark, data):
             assert np.mean([sha(r["text"]) == want[r["doc_id"]][3] for r in again]) > 0.9  # cuts inside a character lose its rest
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] == counts[4]
     assert counts[5] >= counts[4]
+
+
+@pytest.mark.parametrize("docs", [[], ODD, [*ODD, (50, "plain words in a row that say little", "en", "s", 3, "z"), (51, "é" * 300, None, "s", 3, "z")]])
+def test_pipeline_takes_odd_tables(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (50, None, None)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    assert all(r["length"] > 0 for r in out) and (docs or out == [])

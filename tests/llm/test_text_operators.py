@@ -329,3 +329,32 @@ def test_html_keys_survive_packing():
         slot = 0 if bits == 0 else 2**bits - 1
         keys |= np.uint64(slot << (64 - bits) if bits else 0)
         assert (html_text.unpacked(html_text.packed(keys, bits), slot, bits) == keys & html_text.mask(bits)).all()
+
+
+def test_language_distance_against_plain_version():
+    """The out-of-place distance, n-gram by n-gram, and ties going to the smaller name."""
+    rng = random.Random(10)
+    of, size = {}, 12
+    for lang, letters in (("aa", "abcd"), ("bb", "bcde"), ("cc", "xyz")):
+        keys, counts = langid.ngrams(" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(60)))
+        of[lang] = langid.ranked(keys, counts, size).tolist()
+    of["ab"] = of["aa"]
+    profiles = langid.Profiles(of, size)
+    for _ in range(50):
+        text = " ".join("".join(rng.choice("abcdexyz") for _ in range(5)) for _ in range(8))
+        keys, counts = langid.ngrams(text)
+        mine = [k for _, k in sorted(zip((-counts).tolist(), keys.tolist(), strict=True))][:size]
+        away = {lang: sum(abs(i - ranks.index(k)) if k in ranks else size for i, k in enumerate(mine)) for lang, ranks in of.items()}
+        assert profiles.predict(text)[0] == min(sorted(away), key=away.get)
+        assert profiles.predict(text)[0] != "ab"
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(none, labels)
+    assert rows(toxicity.score(none, model)) == [] and rows(toxicity.keep_clean(none, model)) == []
+    profiles = langid.fit(none)
+    assert rows(langid.identify(none, profiles)) == [] and rows(langid.keep_known(none, profiles)) == []
+    assert {r["lang_pred"] for r in rows(langid.identify(spark.createDataFrame(ODD, DOCS), profiles))} == {"und"}
+    assert rows(licenses.scan(none)) == [] and rows(packing.pack(none, tokenizers.path("word_bpe_49k.json"))) == []
