@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.dates import year_of
 from quarrylight.functions.queries import detect_regions
 from quarrylight.functions.text import normalize_ws, truncate
+from quarrylight.sources.scholarly import split_byline
 
 #: Places and the adjectives that stand for them.
 REGIONS = {
@@ -66,13 +67,6 @@ def summary_requests(results: DataFrame, docs: DataFrame, most: int = SUMMARIES)
     )
 
 
-def split_byline(byline: Column) -> Column:
-    """Names of a byline: parted by semicolons, else by commas, "and" and ampersands."""
-    bare = F.regexp_replace(byline, r"(?i)^\s*by\s+", "")
-    parts = F.when(bare.contains(";"), F.split(bare, r"\s*;\s*")).otherwise(F.split(bare, r"\s*(?:,|&|\band\b)\s*"))
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
-
-
 def fill_metadata(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates whose missing title, authors and date come from the document that was read; failing a title, the address stands.
 

@@ -124,6 +124,15 @@ def budgeted_prefix(batches: DataFrame, cap: float, reserve: float = 0.0) -> Dat
     return batches.withColumn("running", running).where(F.col("running") <= cap - reserve)
 
 
+def affordable_sources(costs: DataFrame, budget: float) -> DataFrame:
+    """The sources of each job that its budget can bear: those that are to go first (highest ``drop_order``) go until the rest costs no more.
+
+    costs: job, source, drop_order, cost.
+    """
+    kept_before = F.sum("cost").over(Window.partitionBy("job").orderBy("drop_order", "source").rowsBetween(Window.unboundedPreceding, 0))
+    return costs.withColumn("running", kept_before).where(F.col("running") <= budget).drop("running")
+
+
 def empty_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
     """Claims for which nothing was verified."""
     return claims.join(results.select("claim_id").distinct(), "claim_id", "left_anti")

@@ -33,6 +33,15 @@ def query_terms(claims: DataFrame, most: int = 3) -> DataFrame:
     return rows.groupBy("claim_id", "term").agg(F.least(F.count("*"), F.lit(most)).cast("double").alias("weight"))
 
 
+def query_texts(plans: DataFrame, counter: bool = False) -> DataFrame:
+    """claim_id, texts for ``query_terms``: key terms twice, paraphrases and the core proposition; for counter-query documents the counter query twice.
+
+    plans: claim_id, key_terms, paraphrases, core_proposition, counter_query.
+    """
+    texts = F.concat("key_terms", "key_terms", "paraphrases", F.array("core_proposition"))
+    return plans.select("claim_id", F.array_compact(F.concat(texts, F.array("counter_query", "counter_query")) if counter else texts).alias("texts"))
+
+
 def scored_terms(tf: DataFrame, df: DataFrame, totals: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """claim_id, doc_id, chunk_idx, score from term frequencies, document frequencies (term, df), totals (n, avg_len; one row) and queries."""
     rows = tf.join(df, "term").join(queries, "term").crossJoin(F.broadcast(totals))

@@ -33,6 +33,51 @@ def parse_labels(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad.unionByName(odd)
 
 
+PLAN = (
+    "normalizedClaim string, claimType string, coreProposition string, paraphrases array<string>, keyTerms array<string>, counterQuery string, inputLanguage string, multipleClaims array<string>, "
+    "constraints struct<yearFrom:string,yearTo:string,regions:array<string>,side:string,strength:string>, queries struct<academic:array<string>,semantic:array<string>,news:array<string>,policy:array<string>>"
+)
+CLAIM_TYPES = ("empirical", "causal", "statistical", "normative", "definitional", "prediction")
+MOST_PARAPHRASES, MOST_TERMS, MOST_QUERIES, MOST_CLAIMS = 4, 12, 4, 5
+
+
+def _list(c: str, most: int) -> Column:
+    """Filled entries, trimmed, up to a limit; null becomes empty."""
+    given = F.coalesce(F.col(c), F.expr("cast(array() as array<string>)"))
+    return F.slice(F.filter(F.transform(given, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))), 1, most)
+
+
+def parse_plans(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plans, rejects) of answers (claim_id, answer).
+
+    Years may be texts and count from 1800 to 2100; lists are cut to their limits; side and strength have defaults.  No JSON, no claim, or an unknown
+    kind of claim makes a reject with its reason.
+    """
+    o = answers.select("claim_id", "answer", F.from_json(json_object(F.col("answer")), PLAN, {"mode": "PERMISSIVE"}).alias("o"))
+    kind, claim = F.lower(F.trim("o.claimType")), F.trim("o.normalizedClaim")
+    reason = F.when(F.col("o").isNull() | (claim.isNull() & kind.isNull()), "no_json").when(F.coalesce(claim, F.lit("")) == "", "no_claim").when(~F.coalesce(kind.isin(*CLAIM_TYPES), F.lit(False)), "bad_type")
+    judged = o.withColumn("reason", reason)
+    year = lambda c: F.when(F.col(f"o.constraints.{c}").try_cast("int").between(1800, 2100), F.col(f"o.constraints.{c}").try_cast("int"))
+    choice = lambda c, values, default: F.when(F.lower(F.trim(f"o.constraints.{c}")).isin(*values), F.lower(F.trim(f"o.constraints.{c}"))).otherwise(default)
+    plans = judged.where("reason is null").select(
+        "claim_id", claim.alias("normalized_claim"), kind.alias("claim_type"), F.coalesce(F.trim("o.coreProposition"), claim).alias("core_proposition"), _list("o.paraphrases", MOST_PARAPHRASES).alias("paraphrases"), _list("o.keyTerms", MOST_TERMS).alias("key_terms"),
+        F.coalesce(F.trim("o.counterQuery"), F.lit("")).alias("counter_query"), F.trim("o.inputLanguage").alias("input_language"), _list("o.multipleClaims", MOST_CLAIMS).alias("multiple_claims"), year("yearFrom").alias("year_from"), year("yearTo").alias("year_to"),
+        _list("o.constraints.regions", MOST_CLAIMS).alias("regions"), choice("side", ("support", "attack", "either"), "support").alias("side"), choice("strength", ("causal", "associational", "any"), "any").alias("strength"),
+        F.struct(*(_list(f"o.queries.{q}", MOST_QUERIES).alias(q) for q in ("academic", "semantic", "news", "policy"))).alias("queries"),
+    )
+    return plans, judged.where("reason is not null").select("claim_id", "reason", F.substring("answer", 1, 200).alias("detail"))
+
+
+def parse_summaries(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(summaries, rejects) of answers (claim_id, answer): claim_id, doc_id, summary for each source with an id and a text."""
+    o = answers.select("claim_id", "answer", F.from_json(json_object(F.col("answer")), "sources array<struct<docId:string,summary:string>>", {"mode": "PERMISSIVE"}).alias("o"))
+    bad = o.where("o.sources is null").select("claim_id", F.lit("no_json").alias("reason"), F.substring("answer", 1, 200).alias("detail"))
+    rows = o.where("o.sources is not null").select("claim_id", F.explode("o.sources").alias("s")).withColumn("doc_id", F.regexp_extract("s.docId", r"^\s*d([0-9]+)\s*$", 1).try_cast("long"))
+    ok = F.col("doc_id").isNotNull() & (F.coalesce(F.trim("s.summary"), F.lit("")) != "")
+    odd = rows.where(~F.coalesce(ok, F.lit(False))).select("claim_id", F.when(F.col("doc_id").isNull(), "no_source").otherwise("no_summary").alias("reason"), F.to_json("s").alias("detail"))
+    return rows.where(ok).select("claim_id", "doc_id", F.trim("s.summary").alias("summary")), bad.unionByName(odd)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("round").parquet(path)
 

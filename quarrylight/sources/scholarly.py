@@ -124,6 +124,19 @@ def web_results(spark: SparkSession, path: str, preset: str, source: str) -> Dat
     return _candidate(kept.withColumn("doi", F.lit(None).cast("string")), tier=tier, title=F.coalesce(_filled(F.col("title")), F.col("url")), pdf_url=F.when(F.lower("url").rlike(r"\.pdf([?#]|$)"), F.col("url")), published=_filled(day), snippet=snippet, authors=F.coalesce(split_byline(F.col("author")), F.expr("cast(array() as array<string>)")), search_score=F.col("score"))
 
 
+def conforming(rows: DataFrame) -> DataFrame:
+    """The candidates of a source of one's own, in the schema's order; columns that lack or have another type are an error before anything runs."""
+    from quarrylight.operators.dedupe import SCHEMA
+
+    want = dict(reversed(part.strip().split(" ")[::-1]) for part in ("pos long, candidate_id string, " + SCHEMA).replace("array<string>", "array_string").split(","))
+    want = {name: {"long": "bigint", "array_string": "array<string>"}.get(kind, kind) for name, kind in want.items()}
+    have = dict(rows.dtypes)
+    wrong = [f"{name} {kind} (found {have.get(name, 'none')})" for name, kind in want.items() if have.get(name) != kind]
+    if wrong:
+        raise ValueError("not in the candidate schema: " + ", ".join(wrong))
+    return rows.select(*want)
+
+
 def union_sources(parts: dict[str, DataFrame], round_: int) -> DataFrame:
     """All sources' candidates with the round stamped; a source that brought nothing adds nothing."""
     out: DataFrame | None = None

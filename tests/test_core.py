@@ -401,6 +401,64 @@ def test_streaming(spark, tmp_path):
     assert sorted(p.name for p in root.iterdir())[-1] == last
 
 
+def test_process_once_and_continuous_matches(spark, tmp_path):
+    """A document is taken once however often it arrives; new documents are scored against standing claims, a folder a batch."""
+    import datetime
+
+    from quarrylight.streaming import incremental
+
+    schema = "doc_id long, text string, fetched_at timestamp"
+    at = datetime.datetime(2025, 1, 1)
+    feed = lambda n, *docs: spark.createDataFrame([(i, t, at) for i, t in docs], schema).coalesce(1).write.parquet(str(tmp_path / "docs" / str(n)))
+    feed(1, (1, "Minimum wages reduce jobs. Nothing else here."), (1, "Minimum wages reduce jobs. Nothing else here."), (2, "Cats sleep."))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "docs" / "*"))
+    once = lambda: incremental.process_once(stream(), ["doc_id"]).writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "cp1")).trigger(availableNow=True).start().awaitTermination()
+    terms = retrieval.query_terms(spark.createDataFrame([(7, ["minimum wages"])], "claim_id long, texts array<string>"))
+    df = spark.createDataFrame([(t, 1) for t in ("minimum", "wage", "minimum_wage")], "term string, df long")
+    totals = spark.createDataFrame([(10.0, 8.0)], "n double, avg_len double")
+    match = lambda: incremental.continuous_matches(stream(), terms, df, totals, str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
+    once(), match()
+    feed(2, (2, "Cats sleep."), (3, "A minimum wage is a wage."))
+    once(), match()
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "once")).collect()) == [1, 2, 3]
+    got = sorted((r["doc_id"], r["round"]) for p in (tmp_path / "out").iterdir() for r in spark.read.parquet(str(p)).collect())
+    assert got[-1] == (3, 1) and {d for d, _ in got} == {1, 3} and all(r == 0 for d, r in got if d == 1)
+    match()  # nothing new: no batch is made
+    assert len(list((tmp_path / "out").iterdir())) == 2
+
+
+def test_plans_and_summaries_from_answers(spark):
+    plan = 'Here: {"normalizedClaim": " Wages rise ", "claimType": "Causal", "keyTerms": ["a", null, " b "], "constraints": {"yearFrom": "1999", "yearTo": 99999, "side": "odd"}, "queries": {"news": ["n1","n2","n3","n4","n5"]}} done'
+    ok, bad = labels.parse_plans(spark.createDataFrame([(1, plan), (2, "nothing"), (3, '{"normalizedClaim": "", "claimType": "causal"}'), (4, '{"normalizedClaim": "x", "claimType": "odd"}')], "claim_id int, answer string"))
+    r = ok.first()
+    assert (r["normalized_claim"], r["claim_type"], r["key_terms"], r["year_from"], r["year_to"], r["side"], r["strength"], len(r["queries"]["news"]), r["multiple_claims"]) == ("Wages rise", "causal", ["a", "b"], 1999, None, "support", "any", 4, [])
+    assert {x["claim_id"]: x["reason"] for x in bad.collect()} == {2: "no_json", 3: "no_claim", 4: "bad_type"}
+    texts = retrieval.query_texts(ok.select("claim_id", "key_terms", "paraphrases", "core_proposition", F.lit("but").alias("counter_query")), counter=True).first()["texts"]
+    assert texts == ["a", "b", "a", "b", "Wages rise", "but", "but"]
+    ok, bad = labels.parse_summaries(spark.createDataFrame([(1, '{"sources": [{"docId": "d5", "summary": " s "}, {"docId": "x", "summary": "t"}, {"docId": "d6"}]}'), (2, "-")], "claim_id int, answer string"))
+    assert [(r["doc_id"], r["summary"]) for r in ok.collect()] == [(5, "s")] and sorted(x["reason"] for x in bad.collect()) == ["no_json", "no_source", "no_summary"]
+
+
+def test_own_sources_and_budgets(spark):
+    rows = candidates(spark, dict(url="https://a.com"))
+    assert scholarly.conforming(rows.withColumn("more", F.lit(1))).columns[:2] == ["pos", "candidate_id"]
+    with pytest.raises(ValueError, match="doi string"):
+        scholarly.conforming(rows.drop("doi"))
+    costs = spark.createDataFrame([("j", s, i, 4.0) for i, s in enumerate("abc")], "job string, source string, drop_order int, cost double")
+    assert sorted(r["source"] for r in ranking.affordable_sources(costs, 8.5).collect()) == ["a", "b"]
+
+
+def test_numbers_follow_the_order_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "x long").repartition(5)
+    assert {r["x"]: r["n"] for r in dedupe.numbered(rows, "x").collect()} == {i: i + 1 for i in range(101)}
+
+
+def test_short_claims_inside_words(spark):
+    c = spark.createDataFrame([(1, "cat"), (2, "the cat"), (3, "x"), (4, "zebra fish")], "claim_id long, text string")
+    d = spark.createDataFrame([(1, "concatenate"), (2, "see the  cats"), (3, ""), (4, "a x")], "doc_id long, text string")
+    assert {(r["claim_id"], r["doc_id"]) for r in retrieval.verbatim_pairs(c, d).collect()} == {(1, 1), (1, 2), (2, 2), (3, 4)}
+
+
 def test_registry_has_matching_names(spark, data):
     import __spark_entry__ as entry
 
