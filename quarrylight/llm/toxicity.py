@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import held_out, keep_rows, slices, sole_cache, stash, table, text_rows
@@ -303,11 +303,10 @@ def learned(seen: DataFrame) -> Model:
 
 
 def sampled(labels: DataFrame, texts: int) -> DataFrame:
-    """doc_id, toxic of the sample.  Each class is first cut in every hash range of ids, so no task ranks a whole class."""
-    usable = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    most = F.lit(texts) * (3 - 2 * F.col("toxic"))
-    part = usable.withColumn("n", F.row_number().over(Window.partitionBy("toxic", F.pmod("h", F.lit(64))).orderBy("h", "doc_id"))).where(F.col("n") <= most)
-    return part.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).where(F.col("n") <= most).select("doc_id", "toxic")
+    """doc_id, toxic of the sample: of each class the ids with the smallest hashes, which every task cuts to that number first."""
+    usable = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    of = lambda toxic, most: usable.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return of(1, texts).union(of(0, 3 * texts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
