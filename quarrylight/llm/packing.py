@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrylight.llm.common import sole_cache, table, text_rows
 
@@ -107,6 +106,48 @@ def encoder(path: str, most: int = CACHE_WORDS) -> WordEncoder:
     return _ENCODERS[path, most]
 
 
+class Sequences:
+    """Open sequences by the room they have left; gives the cheapest one with enough of it.
+
+    A heap for each room, and a tree of minima over the rooms.
+    """
+
+    _NONE = (float("inf"), -1, -1)
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.least = [self._NONE] * (2 * self.size)
+
+    def _renew(self, room: int) -> None:
+        at = room + self.size
+        self.least[at] = self.heaps[room][0] if self.heaps[room] else self._NONE
+        while at > 1:
+            at //= 2
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def add(self, sequence: int, room: int, cost: float) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, sequence, room))
+            self._renew(room)
+
+    def take(self, room: int) -> int | None:
+        """The cheapest sequence with that much room, taken out; None if there is none."""
+        best, low, high = self._NONE, room + self.size, 2 * self.size
+        while low < high:
+            if low & 1:
+                best, low = min(best, self.least[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.least[high])
+            low, high = low // 2, high // 2
+        if best is self._NONE:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._renew(best[2])
+        return best[1]
+
+
 def pack_lengths(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int, int]]]:
     """For each document its pieces (start, length, sequence, offset), sequences numbered from 0.
 
@@ -133,27 +174,17 @@ def pack_lengths(lengths: list[int], capacity: int, linear: float, quadratic: fl
             rest[i] -= capacity
             at += 1
     order = sorted((i for i in order if rest[i]), key=lambda i: (-rest[i], i))
-    heap = [(cost[k], k) for k in range(at, len(sizes)) if used[k] < sizes[k]]
-    heapq.heapify(heap)
+    open_ = Sequences(max(sizes, default=1))
+    for k in range(at, len(sizes)):
+        open_.add(k, sizes[k] - used[k], cost[k])
     split: list[int] = []
     for i in order:
-        passed, chosen = [], None
-        while heap:
-            c, k = heapq.heappop(heap)
-            if sizes[k] - used[k] >= rest[i]:
-                chosen = k
-                break
-            passed.append((c, k))
-            if len(passed) >= 64 and rest[i] > capacity // 2:
-                break  # nothing roomier is near; this one is cut at the end, which is always allowed
-        for x in passed:
-            heapq.heappush(heap, x)
-        if chosen is None:
-            split.append(i)
+        k = open_.take(rest[i])
+        if k is None:
+            split.append(i)  # fits nowhere whole
             continue
-        put(i, begun[i], rest[i], chosen)
-        if used[chosen] < sizes[chosen]:
-            heapq.heappush(heap, (cost[chosen], chosen))
+        put(i, begun[i], rest[i], k)
+        open_.add(k, sizes[k] - used[k], cost[k])
     room = sorted((k for k in range(len(sizes)) if used[k] < sizes[k]), key=lambda k: (used[k] - sizes[k], k))
     for i in split:
         while rest[i]:
