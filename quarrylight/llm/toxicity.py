@@ -51,7 +51,7 @@ SOFT = 1e-3
 TRACE, PART = 0.001, 0.25
 THRESHOLD = 0.7
 LONGEST = 40
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 200_000
 
 #: Offsets of the later three symbols of a subsequence, with its weight.
 _SHAPES = [((b, c, d), DECAY ** (d + 1)) for b in range(1, SPAN) for c in range(b + 1, SPAN) for d in range(c + 1, SPAN)]
@@ -220,6 +220,7 @@ class Model:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sole_cache("toxicity", _KNOWN.clear)
     for batch in batches:
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = ["", *words_of(text.as_py() or ""), ""]
