@@ -127,6 +127,45 @@ def in_text(w: DataFrame) -> DataFrame:
     return w.select("claim_id", "rank", F.concat(F.lit("("), who, F.lit(", "), F.coalesce(F.col("date.year").cast("string"), F.lit("n.d.")), F.lit(")")).alias("in_text"))
 
 
+def page_span(pages: Column) -> Column:
+    """struct(first, last) of a passage's pages; last only where there are several."""
+    real = F.filter(pages, lambda p: p > 0)
+    return F.struct(F.array_min(real).alias("first"), F.when(F.array_max(real) > F.array_min(real), F.array_max(real)).alias("last"))
+
+
+def in_text_styles(w: DataFrame) -> DataFrame:
+    """claim_id, rank, style, in_text: references in the running text in three styles, with the passage's pages.
+
+    w: ``works`` with a column pages (array of page numbers, or null).
+    """
+    family = F.transform("people", lambda p: p["family"])
+    year, n = F.coalesce(F.col("date.year").cast("string"), F.lit("n.d.")), F.size("people")
+    span = page_span(F.col("pages"))
+    both = F.concat_ws("–", span["first"].cast("string"), span["last"].cast("string"))
+    title = F.concat(F.lit("“"), F.col("title"), F.lit("”"))
+
+    def who(joint: str) -> Column:
+        pair = F.array_join(F.slice(family, 1, 2), f" {joint} ")
+        return F.when(n == 0, title).when(n <= 2, pair).otherwise(F.concat(F.element_at(family, 1), F.lit(" et al.")))
+
+    bracket = lambda between, *parts: F.concat(F.lit("("), F.concat_ws(between, *(F.nullif(p, F.lit("")) for p in parts)), F.lit(")"))
+    located = F.when(span["first"].isNotNull(), F.concat(F.when(span["last"].isNull(), "p. ").otherwise("pp. "), both))
+    apa = bracket(", ", who("&"), year, located)
+    chicago = bracket(", ", F.concat_ws(" ", who("and"), year), both)
+    mla = bracket(" ", who("and"), page_range(span["first"], span["last"]))
+    styles = F.array(*(F.struct(F.lit(name).alias("style"), c.alias("in_text")) for name, c in (("apa", apa), ("chicago", chicago), ("mla", mla))))
+    return w.select("claim_id", "rank", F.explode(styles).alias("s")).select("claim_id", "rank", "s.style", "s.in_text")
+
+
+def debate_cites(w: DataFrame, accessed: str) -> DataFrame:
+    """claim_id, rank, cite: author, year, "Title," outlet, address, accessed date; what is missing leaves no comma."""
+    names = F.transform("people", lambda p: F.when(p["org"] | (p["given"] == ""), p["family"]).otherwise(F.concat_ws(" ", p["given"], p["family"])))
+    author = F.when(F.size(names) > 2, F.concat(F.element_at(names, 1), F.lit(" et al."))).when(F.size(names) > 0, F.array_join(names, " and "))
+    title = F.concat(F.lit("“"), F.col("title"), F.when(F.col("title").rlike("[.?!…]$"), "").otherwise(","), F.lit("”"))
+    before, after = F.concat_ws(", ", author, F.col("date.year").cast("string")), F.concat_ws(", ", "container", "locator", F.lit(f"accessed {accessed}"))
+    return w.select("claim_id", "rank", F.concat_ws(" ", F.when(before != "", F.concat(before, F.lit(","))), title, after).alias("cite"))
+
+
 def evidence_pack(results: DataFrame, refs: DataFrame) -> DataFrame:
     """claim_id, markdown: per claim its sources in order, each with title and link, summary, quotation, honesty line and reference.
 

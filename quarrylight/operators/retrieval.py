@@ -124,6 +124,7 @@ def verbatim_pairs(claims: DataFrame, docs: DataFrame, words: int = 8) -> DataFr
     widths = [r["q"] for r in tiny.select("q").distinct().collect()]  # at most LETTERS numbers
     if not widths:
         return found.distinct()
-    grams = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - q + 1, F.lit(1))), lambda i, q=q: F.substring("body", i, F.lit(q))) for q in widths))))
+    starts = lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - q + 1, F.lit(1))), lambda i: F.substring("body", i, F.lit(q)))
+    grams = F.array_distinct(F.flatten(F.array(*map(starts, widths))))
     held = body.select("doc_id", F.explode(grams).alias("start")).join(tiny, "start").select("doc_id", "claim_id", "claim")
     return found.union(held.join(body.select("doc_id", "body"), "doc_id").where(F.contains("body", "claim")).select("claim_id", "doc_id")).distinct()

@@ -128,7 +128,7 @@ def conforming(rows: DataFrame) -> DataFrame:
     """The candidates of a source of one's own, in the schema's order; columns that lack or have another type are an error before anything runs."""
     from quarrylight.operators.dedupe import SCHEMA
 
-    want = dict(reversed(part.strip().split(" ")[::-1]) for part in ("pos long, candidate_id string, " + SCHEMA).replace("array<string>", "array_string").split(","))
+    want = dict(part.strip().split(" ") for part in ("pos long, candidate_id string, " + SCHEMA).replace("array<string>", "array_string").split(","))
     want = {name: {"long": "bigint", "array_string": "array<string>"}.get(kind, kind) for name, kind in want.items()}
     have = dict(rows.dtypes)
     wrong = [f"{name} {kind} (found {have.get(name, 'none')})" for name, kind in want.items() if have.get(name) != kind]

@@ -380,6 +380,13 @@ def test_bibliography(spark):
     assert refs[2, "apa"].startswith("World Bank. (n.d.). Report. Retrieved May 1, 2025, from https://doi.org/10.1/x")
     assert [r["in_text"] for r in biblio.in_text(w).orderBy("rank").collect()] == ["(van Beethoven et al., 2021)", "(World Bank, n.d.)"]
     assert one(spark, biblio.page_range(F.lit(123), F.lit(127))) == "123-27"
+    paged = w.withColumn("pages", F.when(F.col("rank") == 1, F.array(F.lit(127), F.lit(123), F.lit(0))))
+    inside = {(r["rank"], r["style"]): r["in_text"] for r in biblio.in_text_styles(paged).collect()}
+    assert inside[1, "apa"] == "(van Beethoven et al., 2021, pp. 123–127)" and inside[1, "chicago"] == "(van Beethoven et al. 2021, 123–127)" and inside[1, "mla"] == "(van Beethoven et al. 123-27)"
+    assert (inside[2, "apa"], inside[2, "mla"]) == ("(World Bank, n.d.)", "(World Bank)")
+    cites = {r["rank"]: r["cite"] for r in biblio.debate_cites(w, "May 1, 2025").collect()}
+    assert cites[1] == "Ludwig van Beethoven et al., 2021, “On Wages,” The Herald, https://h.com/1, accessed May 1, 2025"
+    assert cites[2] == "World Bank, “Report,” https://doi.org/10.1/x, accessed May 1, 2025"
     pack = biblio.evidence_pack(spark.createDataFrame([(1, 1, "T", "u", "quote here", "sum", "direct", "pdf")], "claim_id int, rank int, title string, url string, passage string, summary string, relation string, text_source string"), spark.createDataFrame([(1, 1, "Ref.")], "claim_id int, rank int, reference string"))
     assert "### [T](u)" in pack.first()["markdown"] and "“quote here”" in pack.first()["markdown"]
 
