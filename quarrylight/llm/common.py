@@ -91,6 +91,20 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
+#: Bytes of a text that are split into words at once.
+PIECE = 1 << 20
+
+
+def word_lists(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text whose separators are blanks, in lists of bounded length."""
+    begin = 0
+    while begin < len(data):
+        cut = data.find(b" ", begin + PIECE)
+        end = cut if cut >= 0 else len(data)
+        yield data[begin:end].split()
+        begin = end
+
+
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows, with all their columns, for whose texts ``decide`` (list of texts or nulls -> list of bool) says yes."""
     at = docs.columns.index("text")
