@@ -6,37 +6,18 @@ components of those edges are the groups.  A title that thousands share is one h
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import title_key
 from quarrylight.functions.urls import candidate_id, canonical_url, normalize_doi
+from quarrylight.operators.tables import cut
 from quarrylight.operators.tiers import TIER_WEIGHT
 
 #: Fields of a candidate; all others follow the base record.
 FIELDS = "source_id source_ids tier title url pdf_url doi authors publisher published snippet text cited_by_count search_score search_rank for_counter low_quality is_wikipedia round".split()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, so that iterations have short plans and survive lost executors."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        place = tempfile.mkdtemp(prefix="quarrylight-")
-        spark.sparkContext.setCheckpointDir(place)
-        spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keys_of(doi: Column, url: Column, pdf_url: Column, title: Column) -> Column:
     """Keys in order of trust: doi, page address, file address, title of four words or more."""
     filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
@@ -53,73 +34,69 @@ def group_by_keys(rows: DataFrame, node: str = "pos") -> DataFrame:
     """(node, component) for rows with an array column ``keys``; a component is named by its smallest node, and rows alone are their own."""
     keyed = rows.select(F.col(node).alias("node"), F.explode_outer("keys").alias("key"))
     hubs = keyed.where("key is not null").groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    edges = _cut(keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    edges = cut(keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     both = edges.union(edges.select("b", "a"))
-    names = _cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("name")).withColumnRenamed("a", "node"))
+    names = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("name")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(names.select(F.col("node").alias("b"), "name"), "b").groupBy("a").agg(F.min("name").alias("near")).withColumnRenamed("a", "node")
         heard = names.join(near, "node").select("node", "name", F.least("name", "near").alias("new"))
         jumped = heard.join(names.select(F.col("node").alias("new"), F.col("name").alias("far")), "new")
-        step = _cut(jumped.select("node", F.least("new", "far").alias("name"), (F.least("new", "far") < F.col("name")).alias("moved")))
+        step = cut(jumped.select("node", F.least("new", "far").alias("name"), (F.least("new", "far") < F.col("name")).alias("moved")))
         names = step.select("node", "name")
         if not step.where("moved").limit(1).count():
             break
     return rows.select(F.col(node).alias("node")).join(names, "node", "left").select("node", F.coalesce("name", "node").alias("component"))
 
 
-def _first(c: str) -> Column:
-    """First filled value in the group's order."""
-    value = F.transform(F.filter("members", lambda m: m[c].isNotNull() & (m[c].cast("string") != "")), lambda m: m[c])
-    return F.try_element_at(value, F.lit(1))
-
-
 def merge_groups(rows: DataFrame, keep_identity: bool = False) -> DataFrame:
     """One record per ``component``; rows have ``pos``, ``component`` and the candidate fields.
 
     The richest record is the base (a file, then a text, then the longer snippet; first seen on a tie); the others, in order of pos, fill its gaps.
     With ``keep_identity`` the record with the smallest pos is the base and keeps id, pos and round.
+
+    Every field is a minimum by some order, which tasks form for themselves before records meet; no group is gathered, however many records it has.
+    The field of the first filled record in order is the base's own or else that of the first filled one by pos.
     """
     has = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0)
     richness = F.struct((-has("pdf_url")).alias("a"), (-has("text")).alias("b"), (-F.coalesce(F.length("snippet"), F.lit(0))).alias("c"), "pos")
     order = F.struct("pos") if keep_identity else richness
-    base = F.row_number().over(Window.partitionBy("component").orderBy(order)) == 1
-    ranked = rows.withColumn("others", F.when(base, -1).otherwise(F.col("pos")))
-    extra = ["candidate_id"] if keep_identity else []
-    packed = ranked.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("others", "pos", *extra, *FIELDS))).alias("members"))
-    m = lambda c: F.transform("members", lambda x: x[c])
-    year = lambda c: F.substring(c, 1, 4)
-    published = _first("published")
-    fuller = F.try_element_at(F.transform(F.filter("members", lambda x: (F.length(x["published"]) > 4) & (year(x["published"]) == year(published))), lambda x: x["published"]), F.lit(1))
-    longest = lambda c, size: F.try_element_at(F.array_sort(F.filter("members", lambda x: size(x[c]) > 0), lambda a, b: F.when(size(a[c]) != size(b[c]), size(b[c]) - size(a[c])).otherwise(a["others"] - b["others"]).cast("int")), F.lit(1))[c]
-    own = F.element_at("members", 1)
-    ids = lambda x: F.when(F.size(x["source_ids"]) > 0, x["source_ids"]).otherwise(F.array(x["source_id"]))
-    weight = F.create_map(*(F.lit(v) for pair in TIER_WEIGHT.items() for v in pair))
-    best_tier = F.element_at(F.array_sort("members", lambda a, b: F.when(weight[a["tier"]] != weight[b["tier"]], F.signum(weight[b["tier"]] - weight[a["tier"]])).otherwise(a["others"] - b["others"]).cast("int")), 1)["tier"]
-    every = lambda c: F.forall("members", lambda x: F.coalesce(x[c], F.lit(False)))
-    out = packed.select(
-        "component",
-        F.array_min(m("pos")).alias("pos"),
-        *([own["candidate_id"].alias("candidate_id")] if keep_identity else []),
-        own["source_id"].alias("source_id"),
-        F.array_distinct(F.flatten(F.transform("members", ids))).alias("source_ids"),
-        best_tier.alias("tier"),
-        F.coalesce(_first("title"), F.lit("")).alias("title"),
-        own["url"].alias("url"),
-        _first("pdf_url").alias("pdf_url"),
-        _first("doi").alias("doi"),
-        F.coalesce(F.when(F.size(own["authors"]) > 0, own["authors"]), longest("authors", F.size), F.expr("cast(array() as array<string>)")).alias("authors"),
-        _first("publisher").alias("publisher"),
-        F.when((F.length(published) == 4) & fuller.isNotNull(), fuller).otherwise(published).alias("published"),
-        _first("snippet").alias("snippet"),
-        F.coalesce(F.when(F.coalesce(own["text"], F.lit("")) != "", own["text"]), longest("text", F.length)).alias("text"),
-        F.array_max(m("cited_by_count")).alias("cited_by_count"),
-        F.try_element_at(F.array_compact(m("search_score")), F.lit(1)).alias("search_score"),
-        F.array_min(m("search_rank")).alias("search_rank"),
-        every("for_counter").alias("for_counter"),
-        every("low_quality").alias("low_quality"),
-        every("is_wikipedia").alias("is_wikipedia"),
-        (F.coalesce(own["round"], F.array_min(m("round"))) if keep_identity else F.array_min(m("round"))).alias("round"),
-    )
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    own = lambda c: F.min_by(c, order)
+    first = lambda c, when: F.min_by(c, F.when(when, F.col("pos")))
+    longest = lambda c, size: F.min_by(c, F.when(size(c) > 0, F.struct((-size(c)).alias("size"), "pos")))
+    weight = F.element_at(F.create_map(*(F.lit(v) for pair in TIER_WEIGHT.items() for v in pair)), F.col("tier"))
+    every = lambda c: F.every(F.coalesce(c, F.lit(False))).alias(c)
+    filling = ("title", "pdf_url", "doi", "publisher", "published", "snippet", "search_score")
+    extra = [own("candidate_id").alias("candidate_id")] if keep_identity else []
+    packed = rows.groupBy("component").agg(
+        F.min("pos").alias("pos"), *extra, *(own(c).alias(c) for c in ("source_id", "url")),
+        *(own(c).alias(f"own_{c}") for c in (*filling, "authors", "text", "round", "source_ids")),
+        *(first(c, filled(c)).alias(f"first_{c}") for c in filling),
+        longest("authors", F.size).alias("longest_authors"), longest("text", F.length).alias("longest_text"),
+        F.min_by("tier", F.struct((-F.coalesce(weight, F.lit(-1.0))).alias("less"), "pos")).alias("tier"),
+        F.max("cited_by_count").alias("cited_by_count"), F.min("search_rank").alias("search_rank"), F.min("round").alias("least_round"),
+        *(every(c) for c in ("for_counter", "low_quality", "is_wikipedia")),
+    )
+    # A date with more than a year, of the same year, takes the place of a bare year.
+    dated = rows.where(F.length("published") > 4).groupBy(F.col("component").alias("__c"), F.substring("published", 1, 4).alias("__year")).agg(F.min_by("published", "pos").alias("fuller"))
+    listed = F.when(F.size("source_ids") > 0, F.col("source_ids")).otherwise(F.array("source_id"))
+    named = rows.select(F.col("component").alias("__c"), "pos", F.posexplode(listed).alias("i", "id")).groupBy("__c", "id").agg(F.min(F.struct("pos", "i")).alias("at"))
+    named = named.groupBy("__c").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("named"))  # a row a source's name
+    picked = lambda c: F.when(filled(f"own_{c}"), F.col(f"own_{c}")).otherwise(F.col(f"first_{c}"))
+    out = packed.withColumns({c: picked(c) for c in filling})
+    out = out.join(dated, (F.col("component") == F.col("__c")) & (F.substring("published", 1, 4) == F.col("__year")) & (F.length("published") == 4), "left").drop("__c", "__year")
+    out = out.join(named, F.col("component") == F.col("__c"), "left")
+    base_ids = F.when(F.size("own_source_ids") > 0, F.col("own_source_ids")).otherwise(F.array("source_id"))
+    none = F.expr("cast(array() as array<string>)")
+    out = out.withColumns({
+        "source_ids": F.array_distinct(F.concat(base_ids, F.coalesce("named", none))),
+        "title": F.coalesce("title", F.lit("")),
+        "authors": F.coalesce(F.when(F.size("own_authors") > 0, F.col("own_authors")), "longest_authors", none),
+        "published": F.coalesce("fuller", "published"),
+        "text": F.coalesce(F.when(F.coalesce("own_text", F.lit("")) != "", F.col("own_text")), "longest_text"),
+        "round": F.coalesce("own_round", "least_round") if keep_identity else F.col("least_round"),
+    })
+    out = out.select("component", "pos", *(["candidate_id"] if keep_identity else []), *FIELDS)
     return out if keep_identity else out.withColumn("candidate_id", candidate_id(F.col("doi"), F.col("url")))
 
 
@@ -132,7 +109,7 @@ def dedupe(rows: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str) -> DataFrame:
     """Adds n, the row's number from 1 in the order of a column: sorted ranges are numbered each for itself and moved up by the sizes of those before."""
-    ranges = _cut(rows.repartitionByRange(by).withColumn("__range", F.spark_partition_id()))
+    ranges = cut(rows.repartitionByRange(by).withColumn("__range", F.spark_partition_id()))
     sizes = ranges.groupBy("__range").agg(F.count("*").alias("size"))  # one row a partition
     before = F.coalesce(F.sum("size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(by))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.dates import within, year_of
 from quarrylight.functions.text import content_tokens, count_words
+from quarrylight.operators.ranges import running
 from quarrylight.operators.tiers import TIER_WEIGHT
 
 # Weights and limits of the final ranking.
@@ -57,12 +59,18 @@ def pre_rank(candidates: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def select_to_read(ranked: DataFrame, most: int = 15, reserve: int = 3) -> DataFrame:
-    """The best ``most`` per claim, with up to ``reserve`` places kept for counter-query candidates; in rank order."""
+    """The best ``most`` per claim, with up to ``reserve`` places kept for counter-query candidates; in rank order.
+
+    Every task first keeps its own best of each claim, so a claim's final choice is made among the best ``most`` and the reserved ones alone.
+    """
     counter = F.coalesce("for_counter", F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("claim_id", counter).orderBy("rank"))
-    kept = ranked.withColumn("reserved", counter & (nth <= min(reserve, most)))
-    order = Window.partitionBy("claim_id").orderBy(F.desc("reserved"), "rank")
-    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+    order = Window.partitionBy("claim_id").orderBy("rank")
+    nth = lambda rows, most: rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+    kept = nth(ranked.where(counter), min(reserve, most)).withColumn("reserved", F.lit(True))
+    best = nth(ranked, most).withColumn("reserved", F.lit(False))
+    both = kept.union(best).withColumn("__n", F.row_number().over(Window.partitionBy("claim_id", "rank").orderBy(F.desc("reserved")))).where("__n = 1")
+    final = Window.partitionBy("claim_id").orderBy(F.desc("reserved"), "rank")
+    return both.withColumn("place", F.row_number().over(final)).where(F.col("place") <= most).drop("place", "__n")
 
 
 def quotable(relation: Column, sentence_idx: Column, passage: Column) -> Column:
@@ -87,28 +95,65 @@ def match_score(matches: DataFrame, mode: str, now_year: int) -> DataFrame:
     return matches.withColumn("score", F.round(raw, 3))
 
 
+def _greedy(passages: pd.DataFrame) -> pd.DataFrame:
+    """Of one document's passages, best first, those that share no sentence with one that was taken before."""
+    taken: set[int] = set()
+    kept = []
+    for i, idx in zip(passages.index, passages["sentence_idx"], strict=True):
+        if taken.isdisjoint(idx):
+            taken.update(idx)
+            kept.append(i)
+    return passages.loc[kept]
+
+
+def distinct_passages(scored: DataFrame) -> DataFrame:
+    """claim_id, candidate_id, pos, doc_id, chunk_idx, relation, score of the passages that share no sentence with a better one.
+
+    Passages can only meet in their document, so the choice is made document by document, over sentence numbers alone: what it remembers is a
+    document's taken sentences.
+    """
+    key = ["claim_id", "candidate_id", "doc_id"]
+    fields = ["claim_id", "candidate_id", "pos", "doc_id", "chunk_idx", "relation", "score", "sentence_idx"]
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        return _greedy(rows.sort_values(["score", "pos", "chunk_idx"], ascending=[False, True, True], kind="stable"))
+
+    rows = scored.select(*fields)
+    return rows.groupBy(*key).applyInPandas(choose, rows.schema).drop("sentence_idx")
+
+
 def rank_results(scored: DataFrame, side: str = "support", support: int = SUPPORT_LIMIT, pushback: int = PUSHBACK_LIMIT) -> DataFrame:
     """claim_id, candidate_id, side, score, best, more, rank: one result per source, support and pushback cut to their limits.
 
     scored: claim_id, candidate_id, pos, relation, score, sentence_idx, doc_id, chunk_idx, passage.  Passages that share a sentence with
-    a better one go.  A source with passages on both sides stands on the asked side unless the other is much better.
+    a better one go.  A source with passages on both sides stands on the asked side unless the other is much better.  Texts are
+    gathered for the results that stay only.
     """
-    packed = scored.groupBy("claim_id", "candidate_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "pos", "doc_id", "chunk_idx", "relation", "score", "sentence_idx", "passage"))).alias("all"), F.min("pos").alias("first_pos"))
-    kind = dict(packed.dtypes)["all"]
-    shares = lambda taken, x: F.exists(taken, lambda t: (t["doc_id"] == x["doc_id"]) & F.arrays_overlap(t["sentence_idx"], x["sentence_idx"]))
-    distinct = F.aggregate("all", F.expr(f"cast(array() as {kind})"), lambda taken, x: F.when(shares(taken, x), taken).otherwise(F.concat(taken, F.array(x))))
-    contra = lambda x: x["relation"] == "contradicts"
-    prefer = F.lit(side == "attack")
-    rows = packed.withColumn("d", distinct)
-    on, off = F.try_element_at(F.filter("d", lambda x: contra(x) == prefer), F.lit(1)), F.try_element_at(F.filter("d", lambda x: contra(x) != prefer), F.lit(1))
-    best = F.when(on.isNotNull() & (off.isNull() | (on["score"] >= off["score"] * 0.8)), on).otherwise(F.element_at("d", 1))
-    rows = rows.withColumn("best", best)
-    is_best = lambda x: (x["pos"] == F.col("best.pos")) & (x["chunk_idx"] == F.col("best.chunk_idx")) & (x["doc_id"] == F.col("best.doc_id"))
-    rows = rows.withColumn("more", F.filter("d", lambda x: ~is_best(x) & (contra(x) == (F.col("best.relation") == "contradicts"))))
-    rows = rows.withColumn("side", F.when(F.col("best.relation") == "contradicts", "pushback").otherwise("support")).withColumn("score", F.col("best.score"))
-    order = Window.partitionBy("claim_id", "side").orderBy(F.desc("score"), "first_pos", "candidate_id")
-    limit = F.when(F.col("side") == "support", support).otherwise(pushback)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("claim_id", "candidate_id", "side", "score", "best", "more", "rank")
+    place = ["pos", "doc_id", "chunk_idx"]
+    kept = distinct_passages(scored).withColumn("contra", F.col("relation") == "contradicts")
+    order = F.struct((-F.col("score")).alias("neg"), *place)
+    on, off = (F.min(F.when((F.col("contra") == F.lit(side == "attack")) == wanted, order)) for wanted in (F.lit(True), F.lit(False)))
+    first = scored.groupBy("claim_id", "candidate_id").agg(F.min("pos").alias("first_pos"))
+    found = kept.groupBy("claim_id", "candidate_id").agg(on.alias("on"), off.alias("off"))
+    stays = F.col("on").isNotNull() & (F.col("off").isNull() | (-F.col("on.neg") >= -F.col("off.neg") * 0.8))
+    best = F.when(stays, F.col("on")).otherwise(F.least("on", "off"))
+    asked = F.lit("pushback" if side == "attack" else "support")
+    other = F.lit("support" if side == "attack" else "pushback")
+    rows = found.join(first, ["claim_id", "candidate_id"]).withColumn("at", best)
+    rows = rows.withColumn("side", F.when(F.coalesce(F.col("at") == F.col("on"), F.lit(False)), asked).otherwise(other)).withColumn("score", -F.col("at.neg"))
+    ranking = Window.partitionBy("claim_id", "side").orderBy(F.desc("score"), "first_pos", "candidate_id")
+    limit = lambda name, most: rows.where(F.col("side") == name).withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= most)
+    top = limit("support", support).union(limit("pushback", pushback)).select("claim_id", "candidate_id", "side", "score", "rank", F.col("at").alias("place"))
+
+    same = kept.withColumn("of", F.when(F.col("contra"), "pushback").otherwise("support")).select("claim_id", "candidate_id", *place, "of")
+    shown = top.join(same, ["claim_id", "candidate_id"]).where(F.col("of") == F.col("side"))
+    full = shown.join(scored.select("claim_id", "candidate_id", *place, "relation", F.col("score").alias("own"), "sentence_idx", "passage"), ["claim_id", "candidate_id", *place])
+    passage = F.struct((-F.col("own")).alias("neg"), *place, "relation", F.col("own").alias("score"), "sentence_idx", "passage")
+    is_best = (F.col("pos") == F.col("place.pos")) & (F.col("doc_id") == F.col("place.doc_id")) & (F.col("chunk_idx") == F.col("place.chunk_idx"))
+    out = full.groupBy("claim_id", "candidate_id", "side", "score", "rank").agg(
+        F.first(F.when(is_best, passage), ignorenulls=True).alias("best"), F.array_sort(F.collect_list(F.when(~is_best, passage))).alias("more")
+    )
+    return out.select("claim_id", "candidate_id", "side", "score", "best", "more", "rank")
 
 
 def scope_note(published: Column, low: Column, high: Column) -> Column:
@@ -119,9 +164,11 @@ def scope_note(published: Column, low: Column, high: Column) -> Column:
 
 
 def budgeted_prefix(batches: DataFrame, cap: float, reserve: float = 0.0) -> DataFrame:
-    """The batches of each job, in order, whose running estimate stays within the cap less the reserve.  batches: job, batch, estimate."""
-    running = F.sum("estimate").over(Window.partitionBy("job").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    return batches.withColumn("running", running).where(F.col("running") <= cap - reserve)
+    """The batches of each job, in order, whose running estimate stays within the cap less the reserve.  batches: job, batch, estimate.
+
+    A job's batches are summed over ranges, so one job may hold all rows.
+    """
+    return running(batches, "job", [F.col("batch")], F.col("estimate"), "running").where(F.col("running") <= cap - reserve)
 
 
 def affordable_sources(costs: DataFrame, budget: float) -> DataFrame:
@@ -129,8 +176,7 @@ def affordable_sources(costs: DataFrame, budget: float) -> DataFrame:
 
     costs: job, source, drop_order, cost.
     """
-    kept_before = F.sum("cost").over(Window.partitionBy("job").orderBy("drop_order", "source").rowsBetween(Window.unboundedPreceding, 0))
-    return costs.withColumn("running", kept_before).where(F.col("running") <= budget).drop("running")
+    return running(costs, "job", [F.col("drop_order"), F.col("source")], F.col("cost"), "running").where(F.col("running") <= budget).drop("running")
 
 
 def empty_claims(claims: DataFrame, results: DataFrame) -> DataFrame:

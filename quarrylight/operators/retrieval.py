@@ -88,8 +88,13 @@ def keyword_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     queries: claim_id, term; docs: doc_id, text.  Terms meet documents by equality, never by scanning pairs.
     """
     asked = queries.select("claim_id", "term").distinct()
-    sizes = asked.groupBy("claim_id").agg(F.count("*").alias("n"))
     held = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return keyword_modes(asked, held)
+
+
+def keyword_modes(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """claim_id, doc_id, matched, mode of asked terms (claim_id, term) and terms that documents hold (doc_id, term), each once."""
+    sizes = asked.groupBy("claim_id").agg(F.count("*").alias("n"))
     counts = held.join(asked, "term").groupBy("claim_id", "doc_id").agg(F.count("*").alias("matched")).join(sizes, "claim_id")
     strict = counts.where("matched = n")
     none = sizes.join(strict.select("claim_id").distinct(), "claim_id", "left_anti").where("n > 2").select("claim_id")

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from quarrylight.functions.text import normalize_doc_text
 
 # Abbreviations after which a full stop rarely ends a sentence.
-ABBREVIATIONS = "e\\.g i\\.e et al etc vs cf approx fig figs no nos vol pp ch sec eq dr mr mrs ms prof jr sr st inc ltd co corp jan feb mar apr jun jul aug sep sept oct nov dec est resp ibid op cit al".replace("et al ", "et\\s+al ").split()
-#: Every character lands in a piece, so lengths add up to offsets.  A line end always ends a sentence; a stop that is followed
-#: by no space, or that ends an abbreviation before a small letter, digit or bracket, does not.  The inner repetition is bounded
-#: because the JVM's matcher recurses there.
-SENTENCE = (
-    r"(?:[^.!?\n]*\b(?i:" + "|".join(ABBREVIATIONS) + r")\.[ \t]+[a-z0-9(]|[^.!?\n]*[.!?]+[^\s.!?\"')\]]){0,200}"
-    r"[^.!?\n]*(?:[.!?]+[\"')\]]*\s*|\n\s*)|[^.!?\n]+$|[^.!?\n]+"
-)
-#: Characters from which a sentence is cut, at a space if there is one; the parts are as lossless as the whole.
+ABBREVIATIONS = (
+    "e\\.g i\\.e et\\s+al etc vs cf approx fig figs no nos vol pp ch sec eq dr mr mrs ms prof jr sr st inc ltd co corp "
+    "jan feb mar apr jun jul aug sep sept oct nov dec est resp ibid op cit al"
+).split()
+#: Stands between two sentences while they are told apart; a noncharacter, which texts don't hold (one that does gets U+FFFD instead).
+MARK = "﷐"
+#: Where a sentence may end: stops, with what closes behind them, before white space; a line's end always.
+END = r"([.!?]+[\"')\]]*\s+|\n\s*)"
+#: No end after all: an abbreviation before a small letter, a digit or a bracket on the same line, or a number or letter of a list.
+ABBREVIATED = r"(\b(?i:" + "|".join(ABBREVIATIONS) + rf")\.[ \t]+){MARK}(?=[a-z0-9(])"
+STUB = rf"((?:^|\n|{MARK})[(\[]?[0-9A-Za-z]{{1,2}}[.)\]][ \t]+){MARK}"
+#: Characters from which a sentence is cut: after a semicolon or colon past 40 percent of that, else at a space.  The parts are as lossless as the whole.
 LONGEST = 600
-CUT = r"(?s).{1,599}\s|.{1,600}"
+CUT = r"(?s).{1,600}\z|.{239,598}[;:] |.{1,599}\s|.{1,600}"
 
 
 def build_docs(docs: DataFrame) -> DataFrame:
@@ -27,8 +30,13 @@ def build_docs(docs: DataFrame) -> DataFrame:
 
 
 def pieces(text: Column) -> Column:
-    """The text in pieces that join to it again: sentences, long ones in parts."""
-    whole = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    """The text in pieces that join to it again: sentences, with stubs of lists glued to what follows and long ones in parts.
+
+    Ends are marked in the text and wrong marks taken out again, each by one simple pattern; every character lands in a piece.
+    """
+    marked = F.regexp_replace(F.translate(text, MARK, "\ufffd"), END, f"$1{MARK}")
+    marked = F.regexp_replace(F.regexp_replace(marked, ABBREVIATED, "$1"), STUB, "$1")
+    whole = F.filter(F.split(marked, MARK), lambda p: p != "")
     return F.flatten(F.transform(whole, lambda p: F.when(F.length(p) > LONGEST, F.regexp_extract_all(p, F.lit(CUT), F.lit(0))).otherwise(F.array(p))))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.operators import postings, tables
+from quarrylight.operators.postings import Index
+
 
 #: Tables whose rows are texts, on which work is bound by the processor.
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -23,3 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
+
+
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The inverted index of a folder's documents, built once an application and then shared by all queries that read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _INDEXES[key] = postings.build(table(spark, sf_dir, "documents").select("doc_id", "text"), tables.fresh_path(spark, "index"), buckets)
+    return _INDEXES[key]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import retrieval, segment
-from quarrylight.plans.common import claims, table
+from quarrylight.operators import labelling, postings, ranking, retrieval, segment, tables, verification
+from quarrylight.plans.common import claims, index_of, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +42,14 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = retrieval.chunk_terms(segment.sentences(_docs(spark, sf_dir)))
     asked = retrieval.query_terms(claims(spark, sf_dir).select("claim_id", F.array("text", "text").alias("texts")))
-    return retrieval.bm25(terms, asked)
+    return index_of(spark, sf_dir).bm25(asked)
+
+
+def posting_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds: per first letter of a term how many postings and occurrences.  The first query of an application that needs the index builds it."""
+    p = index_of(spark, sf_dir).postings
+    return p.groupBy(F.substring("term", 1, 1).alias("letter")).agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.sum(F.col("chunk_idx") * F.col("len")).cast("long").alias("check"))
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +64,40 @@ def chunk_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("claim_id", "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("doc_rank").cast("long").alias("doc_rank"), F.col("pick").cast("long").alias("pick"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each claim's selected chunks with their lexical labels."""
+    index = index_of(spark, sf_dir)
+    picked = retrieval.select_chunks(_scored(spark, sf_dir)).select("claim_id", "doc_id", "chunk_idx")
+    return labelling.label(claims(spark, sf_dir), picked.join(index.spans(), ["doc_id", "chunk_idx"]), index)
+
+
+def lexical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lexical labeller says of every claim's selected chunks."""
+    rows = _labelled(spark, sf_dir).withColumn("cited", F.array_join("sentence_ids", ","))
+    return rows.select("claim_id", "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "relation", "cited", "confidence", "reason")
+
+
+def answered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From claims to verified, ranked passages without anything from outside: retrieval, labels, verification, one result a source."""
+    index = index_of(spark, sf_dir)
+    labels = tables.cut(_labelled(spark, sf_dir).where("relation <> 'irrelevant'"), "labels")
+    cited = tables.cut(labels.select("doc_id").distinct(), "cited")
+    sents = tables.cut(index.sentences.join(cited, "doc_id", "left_semi"), "cited-sentences")
+    docs = tables.cut(segment.build_docs(table(spark, sf_dir, "documents").join(cited, "doc_id", "left_semi")), "cited-texts")
+    matches, _ = verification.verify(labels, segment.chunks(sents), sents, docs)
+    nothing = F.lit(None).cast("string")
+    known = matches.withColumns({"candidate_id": F.col("doc_id"), "pos": F.col("doc_id"), "tier": F.lit("web"), "published": nothing, "text_source": F.lit("page_text")})
+    scored = ranking.match_score(known.withColumns({"low_quality": F.lit(False), "scope_mismatch": nothing, "scope_note": nothing}), "paper", 2026)
+    best = ranking.rank_results(scored)
+    return best.select(
+        "claim_id", F.col("candidate_id").alias("doc_id"), "side", F.col("best.relation").alias("relation"), "score", F.md5("best.passage").alias("passage"), F.size("more").cast("long").alias("n_more"), "rank"
+    )
+
+
 def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all of a claim's first five terms, or with any of them where none has all."""
     toks = claims(spark, sf_dir).select("claim_id", F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, 5).alias("t"))
-    hits = retrieval.keyword_hits(toks.select("claim_id", F.explode("t").alias("term")), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hits = postings.keyword_hits(index_of(spark, sf_dir), toks.select("claim_id", F.explode("t").alias("term")))
     return hits.select("claim_id", "doc_id", "matched", "mode")
 
 
@@ -81,16 +116,23 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_SENT = segment.SENTENCE.replace("'", "''")
 _SPACING = r"""
 trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),
   '\r\n?', chr(10), 'g'), '[   ]', ' ', 'g'), '[​-‍﻿­]', '', 'g'), '[ \t\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
 _S = rf"""
 b AS (SELECT doc_id, {_SPACING} AS text FROM documents),
-p0 AS (SELECT doc_id, regexp_extract_all(text, '{_SENT}') AS pieces FROM b),
-p AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM p0),
-a AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM p),
-q0 AS (SELECT doc_id, i, o, CASE WHEN length(piece) > {segment.LONGEST} THEN regexp_extract_all(piece, '(?s).{{1,599}}\s|.{{1,600}}') ELSE [piece] END AS parts FROM a),
+u0 AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:[.!?]+["'')\]]*\s+|\n\s*)|.+') AS ps FROM b),
+u1 AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM u0),
+v0 AS (SELECT *, regexp_full_match(p, '[(\[]?[0-9A-Za-z]{{1,2}}[.)\]][ \t]+') AS stub FROM u1),
+v1 AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, stub ORDER BY i) AS run FROM v0),
+v2 AS (SELECT *, stub AND row_number() OVER (PARTITION BY doc_id, stub, run ORDER BY i) % 2 = 1 AS glues FROM v1),
+u2 AS (SELECT *, lag(p) OVER d AS before, lag(glues) OVER d AS stuck, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM v2 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+u3 AS (SELECT *, coalesce(right(before, 1) IN (' ', chr(9)) AND (stuck OR regexp_matches(p, '^[a-z0-9(]') AND regexp_matches(before,
+    '(?i)\b(e\.g|i\.e|et\s+al|etc|vs|cf|approx|fig|figs|no|nos|vol|pp|ch|sec|eq|dr|mr|mrs|ms|prof|jr|sr|st|inc|ltd|co|corp|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|est|resp|ibid|op|cit|al)\.[ \t]+$')), false) AS glued FROM u2),
+u4 AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM u3),
+a AS (SELECT doc_id, g AS i, min(o) AS o, string_agg(p, '' ORDER BY i) AS piece FROM u4 GROUP BY doc_id, g),
+q0 AS (SELECT doc_id, i, o, CASE WHEN length(piece) > 600 THEN regexp_extract_all(piece, '(?s).{{1,600}}\z|.{{239,598}}[;:] |.{{1,599}}\s|.{{1,600}}') ELSE [piece] END AS parts FROM a),
 q AS (SELECT doc_id, i, o, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM q0),
 r AS (SELECT *, o + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o2,
   regexp_replace(part, '^\s+|\s+$', '', 'g') AS t FROM q),
@@ -145,13 +187,52 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT claim_id, doc_id, chunk_idx, round(sum(weight * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))), 6) AS score
   FROM tf JOIN df USING (term) JOIN qt USING (term), tot GROUP BY ALL)"""
 
+#: The greedy choice of three chunks that share no sentence: the best, the best of what is left, and again.
+_PICKED = """
+g AS (SELECT *, row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY score DESC, chunk_idx) AS n FROM sc WHERE score > 0),
+p1 AS (SELECT * FROM g WHERE n = 1),
+p2 AS (SELECT claim_id, doc_id, min(g.n) AS n FROM g JOIN p1 USING (claim_id, doc_id) WHERE abs(g.chunk_idx - p1.chunk_idx) > 1 GROUP BY ALL),
+c2 AS (SELECT g.* FROM g JOIN p2 USING (claim_id, doc_id, n)),
+p3 AS (SELECT claim_id, doc_id, min(g.n) AS n FROM g JOIN p1 USING (claim_id, doc_id) JOIN c2 USING (claim_id, doc_id) WHERE abs(g.chunk_idx - p1.chunk_idx) > 1 AND abs(g.chunk_idx - c2.chunk_idx) > 1 GROUP BY ALL),
+c3 AS (SELECT g.* FROM g JOIN p3 USING (claim_id, doc_id, n)),
+pk AS (SELECT *, 0 AS doc_rank FROM p1 UNION ALL SELECT *, 1 FROM c2 UNION ALL SELECT *, 2 FROM c3),
+ks AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY doc_rank, score DESC, doc_id, chunk_idx) AS pick FROM pk)"""
+_NEGATED = r"regexp_matches(text, '(?i)\b(not|no|never|none|nor|neither|nobody|nothing|cannot|without)\b|n[''’]t\b')"
+_NUMBERS = r"""list_distinct(list_transform(list_transform(regexp_extract_all(text, '(?:^|[^\w.])([0-9]+(?:[.,][0-9]+)*)', 1),
+  lambda x: regexp_replace(regexp_replace(x, ',([0-9]{3})\b', '\1', 'g'), '(\.[0-9]*?)0+$', '\1')), lambda x: regexp_replace(x, '\.$', '')))"""
+#: Words and pairs of a claim met in each sentence of its chunks, then in those that are half made of the claim's words.
+_LABELS = f"""
+cw AS (SELECT claim_id, unnest(list_distinct(t)) AS term FROM qt0),
+ci AS (SELECT claim_id, term, ln(1 + (n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM cw LEFT JOIN df USING (term), tot),
+cl AS (SELECT claim_id, sum(idf) AS weight, list(term) AS terms FROM ci GROUP BY 1),
+cp AS (SELECT item_id AS claim_id, list_filter(list_distinct({_TERMS}), lambda x: contains(x, '_')) AS pairs, {_NUMBERS} AS numbers, {_NEGATED} AS negated
+  FROM (SELECT item_id, text, {_toks("text")} AS t FROM benchmark)),
+sh AS (SELECT ks.claim_id, ks.doc_id, ks.chunk_idx, cs.sent_idx, cs.text, {_toks("cs.text")} AS t FROM ks JOIN cs USING (doc_id, chunk_idx)),
+sf AS (SELECT sh.*, list_intersect(list_distinct(t), terms) AS hits, list_intersect(list_distinct({_TERMS}), pairs) AS met, len(list_distinct(t)) AS own,
+  {_NUMBERS} AS theirs, {_NEGATED} AS denies FROM sh JOIN cl USING (claim_id) JOIN cp USING (claim_id)),
+sl AS (SELECT * FROM sf WHERE len(hits) > 0 AND len(hits) >= 0.5 * own),
+su AS (SELECT claim_id, doc_id, chunk_idx, list_distinct(flatten(list(hits))) AS hits, list_distinct(flatten(list(met))) AS met, list_distinct(flatten(list(theirs))) AS theirs,
+  bool_or(denies) AS denies, string_agg('d' || doc_id || '.s' || sent_idx, ',' ORDER BY sent_idx) AS cited, min(sent_idx) AS a, max(sent_idx) AS z, count(*) AS k FROM sl GROUP BY ALL),
+sw AS (SELECT claim_id, doc_id, chunk_idx, sum(idf) AS got FROM (SELECT claim_id, doc_id, chunk_idx, unnest(hits) AS term FROM su) JOIN ci USING (claim_id, term) GROUP BY ALL),
+sv AS (SELECT ks.claim_id, ks.doc_id, ks.chunk_idx, coalesce(cited, '') AS cited, a, z, coalesce(k, 0) AS k, coalesce(got, 0) / weight AS covered, len(pairs) AS n_pairs, coalesce(len(met), 0) AS n_met,
+  coalesce(denies, false) <> negated AS denied, len(list_filter(numbers, lambda x: NOT list_contains(coalesce(theirs, []), x))) > 0 AND len(list_filter(coalesce(theirs, []), lambda x: NOT list_contains(numbers, x))) > 0 AS other
+  FROM ks JOIN cl USING (claim_id) JOIN cp USING (claim_id) LEFT JOIN su USING (claim_id, doc_id, chunk_idx) LEFT JOIN sw USING (claim_id, doc_id, chunk_idx)),
+sx AS (SELECT *, round(CASE WHEN n_pairs = 0 THEN covered ELSE 0.75::DOUBLE * covered + 0.25::DOUBLE * (n_met::DOUBLE / n_pairs) END, 4) AS strength FROM sv),
+lb AS (SELECT *, CASE WHEN k = 0 OR strength < 0.35 THEN 'irrelevant' WHEN denied OR other THEN CASE WHEN strength >= 0.6 THEN 'contradicts' ELSE 'irrelevant' END
+  WHEN strength >= 0.9 THEN 'direct' WHEN strength >= 0.6 THEN 'paraphrase' ELSE 'partial' END AS relation,
+  'states ' || round(100 * covered)::INT || ' % of the claim''s words' || CASE WHEN denied THEN '; one is negated' ELSE '' END || CASE WHEN other THEN '; numbers differ' ELSE '' END AS reason FROM sx)"""
+_INJECTED = T.INJECTION.replace("'", "''")
+
 QUERIES = {
     "flagship_verbatim_passages": flagship_verbatim_passages,
     "claims_intake": claims_intake,
     "sentence_table": sentence_table,
     "chunk_table": chunk_table,
+    "posting_table": posting_table,
     "bm25_scores": bm25_scores,
     "chunk_selection": chunk_selection,
+    "lexical_labels": lexical_labels,
+    "answered_claims": answered_claims,
     "keyword_retrieval": keyword_retrieval,
     "tokenizer": tokenizer,
     "content_tokenizer": content_tokenizer,
@@ -172,20 +253,27 @@ SELECT conv_id, turn, claim FROM c WHERE length(claim) BETWEEN 12 AND 4000 AND l
     "chunk_table": f"""WITH {_S}, n AS (SELECT doc_id, max(sent_idx) + 1 AS n FROM s GROUP BY doc_id),
 k AS (SELECT doc_id, n, unnest(range(greatest(1, ceil((n - 1) / 3.0)::INT))) AS chunk_idx FROM n)
 SELECT doc_id, chunk_idx::BIGINT AS chunk_idx, (chunk_idx * 3)::BIGINT AS sent_start, (least(chunk_idx * 3 + 4, n) - 1)::BIGINT AS sent_end FROM k""",
+    "posting_table": f"""WITH {_S}, {_BM25.split("qt0 AS")[0].rstrip().rstrip(",")}
+SELECT term[1] AS letter, count(*) AS postings, sum(tf)::BIGINT AS occurrences, sum(chunk_idx * len)::BIGINT AS check FROM tf GROUP BY 1""",
     "bm25_scores": f"""WITH {_S}, {_BM25},
 rk AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id, chunk_idx)::INT AS rank FROM sc)
 SELECT claim_id, doc_id, chunk_idx::BIGINT AS chunk_idx, round(score, 4) AS score, rank FROM rk WHERE rank <= 10""",
-    # The greedy choice of three chunks that share no sentence: the best, the best of what is left, and again.
-    "chunk_selection": f"""WITH {_S}, {_BM25},
-g AS (SELECT *, row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY score DESC, chunk_idx) AS n FROM sc WHERE score > 0),
-p1 AS (SELECT * FROM g WHERE n = 1),
-p2 AS (SELECT claim_id, doc_id, min(g.n) AS n FROM g JOIN p1 USING (claim_id, doc_id) WHERE abs(g.chunk_idx - p1.chunk_idx) > 1 GROUP BY ALL),
-c2 AS (SELECT g.* FROM g JOIN p2 USING (claim_id, doc_id, n)),
-p3 AS (SELECT claim_id, doc_id, min(g.n) AS n FROM g JOIN p1 USING (claim_id, doc_id) JOIN c2 USING (claim_id, doc_id) WHERE abs(g.chunk_idx - p1.chunk_idx) > 1 AND abs(g.chunk_idx - c2.chunk_idx) > 1 GROUP BY ALL),
-c3 AS (SELECT g.* FROM g JOIN p3 USING (claim_id, doc_id, n)),
-pk AS (SELECT *, 0 AS doc_rank FROM p1 UNION ALL SELECT *, 1 FROM c2 UNION ALL SELECT *, 2 FROM c3),
-ks AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY doc_rank, score DESC, doc_id, chunk_idx) AS pick FROM pk)
+    "chunk_selection": f"""WITH {_S}, {_BM25}, {_PICKED}
 SELECT claim_id, doc_id, chunk_idx::BIGINT AS chunk_idx, doc_rank::BIGINT AS doc_rank, pick FROM ks WHERE pick <= 25""",
+    "lexical_labels": f"""WITH {_S}, {_BM25}, {_PICKED.replace("FROM pk)", "FROM pk QUALIFY pick <= 25)")}, {_LABELS}
+SELECT claim_id, doc_id, chunk_idx::BIGINT AS chunk_idx, relation, CASE WHEN relation = 'irrelevant' THEN '' ELSE cited END AS cited, strength AS confidence, reason FROM lb""",
+    # A chunk has four sentences, so what it cites is one fragment; chunks of a document share no sentence.
+    "answered_claims": f"""WITH {_S}, {_BM25}, {_PICKED.replace("FROM pk)", "FROM pk QUALIFY pick <= 25)")}, {_LABELS},
+ok AS (SELECT lb.* FROM lb WHERE relation <> 'irrelevant' AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = lb.doc_id AND s.sent_idx BETWEEN a AND z AND regexp_matches(s.text, '{_INJECTED}'))),
+ps AS (SELECT ok.claim_id, ok.doc_id, ok.chunk_idx, relation, relation = 'contradicts' AS contra, trim(regexp_replace(b.text[f.start + 1:e.start + length(e.text)], '\\s+', ' ', 'g')) AS passage,
+  round(CASE relation WHEN 'paraphrase' THEN 0.85::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * least(1.0::DOUBLE, strength) * 0.4::DOUBLE, 3) AS score
+  FROM ok JOIN s f ON f.doc_id = ok.doc_id AND f.sent_idx = ok.a JOIN s e ON e.doc_id = ok.doc_id AND e.sent_idx = ok.z JOIN b ON b.doc_id = ok.doc_id),
+pr AS (SELECT *, max(CASE WHEN contra THEN score END) OVER w AS off_best, max(CASE WHEN NOT contra THEN score END) OVER w AS on_best FROM ps WINDOW w AS (PARTITION BY claim_id, doc_id)),
+pc AS (SELECT *, row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY CASE WHEN on_best >= coalesce(off_best, 0) * 0.8::DOUBLE AND NOT contra THEN 0 ELSE 1 END, score DESC, chunk_idx) AS n,
+  count(*) OVER (PARTITION BY claim_id, doc_id, contra) AS same FROM pr),
+pb AS (SELECT *, CASE WHEN contra THEN 'pushback' ELSE 'support' END AS side FROM pc WHERE n = 1),
+pz AS (SELECT *, row_number() OVER (PARTITION BY claim_id, side ORDER BY score DESC, doc_id)::INT AS rank FROM pb)
+SELECT claim_id, doc_id, side, relation, score, md5(passage) AS passage, same - 1 AS n_more, rank FROM pz WHERE rank <= CASE WHEN side = 'support' THEN 7 ELSE 3 END""",
     "keyword_retrieval": f"""
 WITH q AS (SELECT DISTINCT claim_id, term FROM (SELECT item_id AS claim_id, unnest(list_distinct_ordered) AS term FROM (
   SELECT item_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 5) AS list_distinct_ordered FROM (SELECT item_id, {_toks("text")} AS t FROM benchmark)))),

@@ -9,6 +9,7 @@ from quarrylight.functions import text as T
 from quarrylight.functions import urls as U
 from quarrylight.functions import queries as P
 from quarrylight.operators import dedupe, filters, ledger, ranking, segment, tiers, verification
+from quarrylight.operators.ranges import placed
 from quarrylight.plans.common import claims, table
 from quarrylight.plans.evidence import _S, _list, content
 
@@ -102,8 +103,8 @@ def best_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reserved_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the 15 longest documents, three places kept for documents labelled toxic."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    ranked = rows.select(F.col("source").alias("claim_id"), "doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("for_counter"), F.row_number().over(order).alias("rank"))
+    known = rows.select(F.col("source").alias("claim_id"), "doc_id", "n_chars", (F.coalesce("toxic", F.lit(0)) == 1).alias("for_counter"))
+    ranked = placed(known, "claim_id", [-F.col("n_chars"), F.col("doc_id")], "rank").withColumn("rank", F.col("rank").cast("int"))
     return ranking.select_to_read(ranked).select("claim_id", "doc_id", "for_counter", "rank")
 
 
