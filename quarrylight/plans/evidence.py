@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import labelling, postings, ranking, retrieval, segment, tables, verification
+from quarrylight.operators import labelling, paging, postings, ranking, retrieval, segment, tables, verification
 from quarrylight.plans.common import claims, index_of, table
 
 
@@ -94,6 +94,25 @@ def answered_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as page texts: ten lines a page."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    pages = lines.groupBy("doc_id", (F.floor(F.col("i") / 10) + 1).cast("int").alias("page_no"))
+    return pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def paged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages joined to running texts: what each page adds and where it starts."""
+    parts = paging.page_parts(segment.edge_lines(_pages(spark, sf_dir)))
+    return parts.select("doc_id", F.col("page_no").cast("long").alias("page"), "start", F.md5("part").alias("part"))
+
+
+def page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On which page the sentences of the running texts start."""
+    found = paging.sentence_pages(paging.running_text(_pages(spark, sf_dir)))
+    return found.groupBy("doc_id", F.col("page").cast("long").alias("page")).agg(F.count("*").alias("sentences"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
 def keyword_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all of a claim's first five terms, or with any of them where none has all."""
     toks = claims(spark, sf_dir).select("claim_id", F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, 5).alias("t"))
@@ -119,11 +138,12 @@ def _list(words: list[str]) -> str:
 _SPACING = r"""
 trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text),
   '\r\n?', chr(10), 'g'), '[   ]', ' ', 'g'), '[​-‍﻿­]', '', 'g'), '[ \t\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
-_S = rf"""
-b AS (SELECT doc_id, {_SPACING} AS text FROM documents),
+_BASE = f"b AS (SELECT doc_id, {_SPACING} AS text FROM documents)"
+#: Sentences of the texts of b.
+_SENTENCES = r"""
 u0 AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:[.!?]+["'')\]]*\s+|\n\s*)|.+') AS ps FROM b),
 u1 AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM u0),
-v0 AS (SELECT *, regexp_full_match(p, '[(\[]?[0-9A-Za-z]{{1,2}}[.)\]][ \t]+') AS stub FROM u1),
+v0 AS (SELECT *, regexp_full_match(p, '[(\[]?[0-9A-Za-z]{1,2}[.)\]][ \t]+') AS stub FROM u1),
 v1 AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, stub ORDER BY i) AS run FROM v0),
 v2 AS (SELECT *, stub AND row_number() OVER (PARTITION BY doc_id, stub, run ORDER BY i) % 2 = 1 AS glues FROM v1),
 u2 AS (SELECT *, lag(p) OVER d AS before, lag(glues) OVER d AS stuck, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
@@ -132,12 +152,13 @@ u3 AS (SELECT *, coalesce(right(before, 1) IN (' ', chr(9)) AND (stuck OR regexp
     '(?i)\b(e\.g|i\.e|et\s+al|etc|vs|cf|approx|fig|figs|no|nos|vol|pp|ch|sec|eq|dr|mr|mrs|ms|prof|jr|sr|st|inc|ltd|co|corp|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|est|resp|ibid|op|cit|al)\.[ \t]+$')), false) AS glued FROM u2),
 u4 AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM u3),
 a AS (SELECT doc_id, g AS i, min(o) AS o, string_agg(p, '' ORDER BY i) AS piece FROM u4 GROUP BY doc_id, g),
-q0 AS (SELECT doc_id, i, o, CASE WHEN length(piece) > 600 THEN regexp_extract_all(piece, '(?s).{{1,600}}\z|.{{239,598}}[;:] |.{{1,599}}\s|.{{1,600}}') ELSE [piece] END AS parts FROM a),
+q0 AS (SELECT doc_id, i, o, CASE WHEN length(piece) > 600 THEN regexp_extract_all(piece, '(?s).{1,600}\z|.{239,598}[;:] |.{1,599}\s|.{1,600}') ELSE [piece] END AS parts FROM a),
 q AS (SELECT doc_id, i, o, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM q0),
 r AS (SELECT *, o + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o2,
   regexp_replace(part, '^\s+|\s+$', '', 'g') AS t FROM q),
 s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS sent_idx, t AS text, o2 + length(part) - length(regexp_replace(part, '^\s+', '')) AS start
   FROM r WHERE length(t) > 0)"""
+_S = f"{_BASE},{_SENTENCES}"
 _STOP = _list(T.RETRIEVAL_STOPWORDS)
 
 
@@ -223,6 +244,23 @@ lb AS (SELECT *, CASE WHEN k = 0 OR strength < 0.35 THEN 'irrelevant' WHEN denie
   'states ' || round(100 * covered)::INT || ' % of the claim''s words' || CASE WHEN denied THEN '; one is negated' ELSE '' END || CASE WHEN other THEN '; numbers differ' ELSE '' END AS reason FROM sx)"""
 _INJECTED = T.INJECTION.replace("'", "''")
 
+#: Pages of ten lines, without running lines, as parts of the text that they join to.
+_PAGES = rf"""
+g0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+g1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM g0),
+g2 AS (SELECT doc_id, i, i // 10 + 1 AS page, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM g1),
+g3 AS (SELECT *, count(*) FILTER (line <> '') OVER (PARTITION BY doc_id, page ORDER BY i) AS up, count(*) FILTER (line <> '') OVER (PARTITION BY doc_id, page) AS filled,
+  regexp_replace(lower(line), '[0-9]+', '#', 'g') AS key FROM g2),
+g4 AS (SELECT *, line <> '' AND (up <= 3 OR up > filled - 3) AS edge FROM g3),
+g5 AS (SELECT doc_id, key FROM g4 WHERE edge GROUP BY 1, 2 HAVING count(DISTINCT page) > 0.5 * (SELECT count(DISTINCT page) FROM g2 WHERE g2.doc_id = g4.doc_id) AND (SELECT count(DISTINCT page) FROM g2 WHERE g2.doc_id = g4.doc_id) >= 3),
+g6 AS (SELECT * FROM g4 WHERE NOT (edge AND ((doc_id, key) IN (SELECT doc_id, key FROM g5) OR regexp_matches(line, '^(?i)(page\s*)?[-–—]?\s*\d{{1,4}}\s*[-–—]?(\s*(of|/)\s*\d{{1,4}})?$')))),
+g7 AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY i) AS t FROM g6 GROUP BY 1, 2),
+g8 AS (SELECT doc_id, page, array_to_string(list_transform(string_split_regex(regexp_replace(t, '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '\n{{2,}}'), lambda x: replace(x, chr(10), ' ')), chr(10) || chr(10)) AS text FROM g7),
+g9 AS (SELECT doc_id, page, trim({_SPACING}, ' ' || chr(10)) AS t FROM g8),
+h0 AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY page) AS onward FROM g9 WHERE t <> ''),
+h1 AS (SELECT doc_id, page, CASE WHEN onward IS NULL THEN t WHEN regexp_matches(t, '[A-Za-z]-$') AND regexp_matches(onward, '^[a-z]') THEN left(t, length(t) - 1)
+  WHEN right(t, 1) IN ('.', '!', '?', ':', ';', '"', '”', '’', ')', ']') THEN t || chr(10) || chr(10) ELSE t || ' ' END AS part FROM h0),
+h2 AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM h1)"""
 QUERIES = {
     "flagship_verbatim_passages": flagship_verbatim_passages,
     "claims_intake": claims_intake,
@@ -233,6 +271,8 @@ QUERIES = {
     "chunk_selection": chunk_selection,
     "lexical_labels": lexical_labels,
     "answered_claims": answered_claims,
+    "paged_texts": paged_texts,
+    "page_sentences": page_sentences,
     "keyword_retrieval": keyword_retrieval,
     "tokenizer": tokenizer,
     "content_tokenizer": content_tokenizer,
@@ -274,6 +314,10 @@ pc AS (SELECT *, row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY CASE
 pb AS (SELECT *, CASE WHEN contra THEN 'pushback' ELSE 'support' END AS side FROM pc WHERE n = 1),
 pz AS (SELECT *, row_number() OVER (PARTITION BY claim_id, side ORDER BY score DESC, doc_id)::INT AS rank FROM pb)
 SELECT claim_id, doc_id, side, relation, score, md5(passage) AS passage, same - 1 AS n_more, rank FROM pz WHERE rank <= CASE WHEN side = 'support' THEN 7 ELSE 3 END""",
+    "paged_texts": f"""WITH {_PAGES} SELECT doc_id, page, start, md5(part) AS part FROM h2""",
+    "page_sentences": f"""WITH {_PAGES}, b AS (SELECT doc_id, string_agg(part, '' ORDER BY page) AS text FROM h2 GROUP BY 1), {_SENTENCES},
+k AS (SELECT s.doc_id, s.start, s.start + length(s.text) AS z, max(h2.page) AS page FROM s JOIN h2 ON h2.doc_id = s.doc_id AND h2.start <= s.start GROUP BY ALL)
+SELECT doc_id, page, count(*) AS sentences, min(start)::BIGINT AS first, max(z)::BIGINT AS last FROM k GROUP BY 1, 2""",
     "keyword_retrieval": f"""
 WITH q AS (SELECT DISTINCT claim_id, term FROM (SELECT item_id AS claim_id, unnest(list_distinct_ordered) AS term FROM (
   SELECT item_id, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 5) AS list_distinct_ordered FROM (SELECT item_id, {_toks("text")} AS t FROM benchmark)))),

@@ -19,9 +19,12 @@ SEEN = "key binary"
 FILTER = "bits binary"
 
 
-def _with_key(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def _keyed(rows: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+    """row (all columns), key (16 bytes), bucket, place: what one row of a key is chosen by."""
+    every = F.struct(*rows.columns)
     key = F.unhex(F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})))
-    return rows.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    packed = rows.select(every.alias("row"), key.alias("key"), F.struct(*order, every.alias("row")).alias("place"))
+    return packed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
 
 def _probes(keys: pd.Series) -> np.ndarray:
@@ -62,9 +65,7 @@ def unseen(batch: DataFrame, keys: list[str], root: str, number: int, order: lis
     A batch that is run again gives the same rows.  Null keys are keys.
     """
     spark = batch.sparkSession
-    every = F.struct(*(order or []), *batch.columns)
-    once = _with_key(batch, keys, buckets).groupBy("bucket", "key").agg(F.min_by(F.struct(*batch.columns), every).alias("row"))
-    once = cut(once)
+    once = cut(_keyed(batch, keys, order or [], buckets).groupBy("bucket", "key").agg(F.min_by("row", "place").alias("row")))
     touched = changes.numbers(once, "bucket")
     filters = cut(_filters(spark, root, number, touched))
     asked = once.select("key", "bucket")
@@ -96,10 +97,10 @@ def state_size(spark: SparkSession, root: str, before: int) -> DataFrame:
     return keys.join(newest, "bucket").select("bucket", "keys", filled("bits").alias("filled"))
 
 
-def process_once(stream: DataFrame, keys: list[str], root: str, sink: str, checkpoint: str, order: list[str] | None = None, trigger: dict | None = None):
+def process_once(stream: DataFrame, keys: list[str], root: str, sink: str, checkpoint: str, order: list[str] | None = None, buckets: int = BUCKETS, trigger: dict | None = None):
     """Starts a query that writes each key's first row, whenever it comes, to ``sink``, a folder a batch."""
 
     def run(batch: DataFrame, number: int) -> None:
-        unseen(batch, keys, root, number, order).write.mode("overwrite").parquet(f"{sink}/batch={number:09d}")
+        unseen(batch, keys, root, number, order, buckets).write.mode("overwrite").parquet(f"{sink}/batch={number:09d}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
