@@ -8,8 +8,8 @@ length where it is missing.  The nearest language wins, ties going to the smalle
 Fit.  Profiles come from at most ``DOCS_PER_LANG`` documents of each language outside the held-out part (those
 with the smallest hash of doc_id), counted whole by a Spark aggregation; only the profiles reach the driver.
 
-Defined cases: text that is null or has no letter gives ``und`` with score 0; rows with a null language or id teach nothing;
-repeated rows are answered each for itself; without anything to learn from, everything is ``und``.
+Defined cases: text that is null or has no letter (marks alone are none) gives ``und`` with score 0; rows with a null language or id teach nothing;
+repeated rows are answered each for itself; texts of any length are read whole; without anything to learn from, everything is ``und``.
 """
 
 from __future__ import annotations
@@ -35,17 +35,18 @@ _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """For every code point whether it is a letter (or a mark that is part of one)."""
+    """For every code point 2 if it is a letter, 1 if it is a mark, which may be part of one, else 0."""
     if not _LETTERS:
-        _LETTERS.append(np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000))
+        _LETTERS.append(np.fromiter(("ML".find(unicodedata.category(chr(i))[0]) + 1 for i in range(0x110000)), np.int8, 0x110000))
     return _LETTERS[0]
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The text's n-grams as integers (21 bits a letter, 0 a word boundary), and their counts."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where(_letters()[codes], codes, 0)
-    if not codes.any():
+    kind = _letters()[codes]
+    codes = np.where(kind > 0, codes, 0)
+    if not (kind == 2).any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.concatenate(([0], codes, [0]))
     codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]  # one boundary between words
