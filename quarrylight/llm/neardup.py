@@ -218,14 +218,17 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
-    """One document of each group, with all its columns; rows with a null id stay."""
+    """One document of each group, with all its columns; rows with a null id stay.
+
+    Of rows that repeat an id and its text one stays; different texts of one id are told apart and stay if the id does.
+    """
     found = near_duplicates(docs, words, similarity)
     gone = bounded(stash(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone"))
     left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     again = stash(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
     if not again.limit(1).count():
         return left
-    once = left.join(bounded(again), F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
+    once = left.join(bounded(again), F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(bounded(again), F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
 
 

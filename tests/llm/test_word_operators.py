@@ -266,3 +266,20 @@ def test_query_digests(spark, data):
     out = rows(decontaminate.op13_benchmark_decontamination(spark, data))
     assert len(out) == 200 and any(r["contaminated"] for r in out)
     assert all(r["items_sha256"] == hashlib.sha256(b"").hexdigest() for r in out if not r["contaminated"])
+
+
+def test_marks_alone_are_no_letters():
+    from quarrylight.llm import langid
+
+    profiles = langid.Profiles({"de": [1, 2], "en": [3]}, 2)
+    assert profiles.predict("́̈ ́") == ("und", 0.0)
+    assert profiles.predict("é")[0] in ("de", "en")
+
+
+def test_different_texts_of_one_id_stay(spark):
+    from quarrylight.llm import neardup
+
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words[:30]), " ".join(words[30:])
+    kept = rows(neardup.keep_one(frame(spark, [(1, a), (1, b), (1, b), (2, a), (3, None)])))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, a), (1, b), (3, "")]
