@@ -28,7 +28,9 @@ class Index:
 
     def term_frequencies(self, asked: DataFrame) -> DataFrame:
         """doc_id, chunk_idx, len, term, tf of the asked terms (term)."""
-        return self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        terms = tables.cut(asked.select("term").distinct(), "terms")
+        few = tables.bounded(terms)
+        return self.postings.join(terms if few is None else few, "term", "left_semi")
 
     def statistics(self) -> DataFrame:
         """n, avg_len as scoring takes them."""
@@ -60,7 +62,8 @@ def build(docs: DataFrame, root: str, buckets: int) -> Index:
     sents = segment.sentences(segment.build_docs(docs))
     kept = tables.write_buckets(sents.select("doc_id", "sent_idx", "text", "start", "end"), f"{root}/sentences", "doc_id", ["doc_id", "sent_idx"], buckets)
     posted = tables.write_buckets(chunk_postings(kept), f"{root}/postings", "term", ["term", "doc_id", "chunk_idx"], buckets)
-    lengths = retrieval.chunk_terms(kept).agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
+    chunks = segment.chunk_counts(kept.groupBy("doc_id").agg((F.max("sent_idx") + 1).alias("n"))).agg(F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("n"))
+    lengths = chunks.crossJoin(posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len")))  # one row each
     lengths.write.parquet(f"{root}/totals")
     return Index(kept, posted, docs.sparkSession.read.schema(TOTALS).parquet(f"{root}/totals"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.text import terms_of_tokens, token_set, tokens
 from quarrylight.operators.segment import gathered
+from quarrylight.operators.tables import bounded, cut
 
 K1, B = 1.5, 0.75
 #: Letters by which very short claims are looked up.
@@ -43,11 +44,18 @@ def query_texts(plans: DataFrame, counter: bool = False) -> DataFrame:
 
 
 def scored_terms(tf: DataFrame, df: DataFrame, totals: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """claim_id, doc_id, chunk_idx, score from term frequencies, document frequencies (term, df), totals (n, avg_len; one row) and queries."""
-    rows = tf.join(df, "term").join(queries, "term").crossJoin(F.broadcast(totals))
+    """claim_id, doc_id, chunk_idx, score from term frequencies, document frequencies (term, df), totals (n, avg_len; one row) and queries.
+
+    Claims of a bounded number of terms are sent to the postings, which were dealt out by document once: scores are summed where they lie,
+    and what follows by document needs no further shuffle.  Beyond the bound both sides meet by term.
+    """
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    asked = queries.join(df, "term").crossJoin(F.broadcast(totals)).select("term", "claim_id", "weight", idf.alias("idf"), "avg_len")
+    asked = cut(asked, "asked")
+    few = bounded(asked)
+    rows = tf.join(asked, "term") if few is None else tf.repartition("doc_id").join(few, "term")
     norm = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avg_len")))
-    return rows.groupBy("claim_id", "doc_id", "chunk_idx").agg(F.round(F.sum(F.col("weight") * idf * norm), 6).alias("score"))
+    return rows.groupBy("claim_id", "doc_id", "chunk_idx").agg(F.round(F.sum(F.col("weight") * F.col("idf") * norm), 6).alias("score"))
 
 
 def bm25(terms: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

@@ -9,7 +9,7 @@ from quarrylight.functions.text import normalize_doc_text
 
 # Abbreviations after which a full stop rarely ends a sentence.
 ABBREVIATIONS = (
-    "e\\.g i\\.e et\\s+al etc vs cf approx fig figs no nos vol pp ch sec eq dr mr mrs ms prof jr sr st inc ltd co corp "
+    "e\\.g i\\.e et\\s{1,9}al etc vs cf approx fig figs no nos vol pp ch sec eq dr mr mrs ms prof jr sr st inc ltd co corp "
     "jan feb mar apr jun jul aug sep sept oct nov dec est resp ibid op cit al"
 ).split()
 #: Stands between two sentences while they are told apart; a noncharacter, which texts don't hold (one that does gets U+FFFD instead).
@@ -17,7 +17,8 @@ MARK = "﷐"
 #: Where a sentence may end: stops, with what closes behind them, before white space; a line's end always.
 END = r"([.!?]+[\"')\]]*\s+|\n\s*)"
 #: No end after all: an abbreviation before a small letter, a digit or a bracket on the same line, or a number or letter of a list.
-ABBREVIATED = r"(\b(?i:" + "|".join(ABBREVIATIONS) + rf")\.[ \t]+){MARK}(?=[a-z0-9(])"
+#: Each looks back from a mark, of which there are few.
+ABBREVIATED = rf"{MARK}(?=[a-z0-9(])(?<=\b(?i:{'|'.join(ABBREVIATIONS)})\.[ \t]{{1,9}}{MARK})"
 STUB = rf"((?:^|\n|{MARK})[(\[]?[0-9A-Za-z]{{1,2}}[.)\]][ \t]+){MARK}"
 #: Characters from which a sentence is cut: after a semicolon or colon past 40 percent of that, else at a space.  The parts are as lossless as the whole.
 LONGEST = 600
@@ -35,7 +36,7 @@ def pieces(text: Column) -> Column:
     Ends are marked in the text and wrong marks taken out again, each by one simple pattern; every character lands in a piece.
     """
     marked = F.regexp_replace(F.translate(text, MARK, "\ufffd"), END, f"$1{MARK}")
-    marked = F.regexp_replace(F.regexp_replace(marked, ABBREVIATED, "$1"), STUB, "$1")
+    marked = F.regexp_replace(F.regexp_replace(marked, ABBREVIATED, ""), STUB, "$1")
     whole = F.filter(F.split(marked, MARK), lambda p: p != "")
     return F.flatten(F.transform(whole, lambda p: F.when(F.length(p) > LONGEST, F.regexp_extract_all(p, F.lit(CUT), F.lit(0))).otherwise(F.array(p))))
 
@@ -62,11 +63,15 @@ def sentence_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array(n)).alias("n")).where("n > 0")
 
 
+def chunk_counts(counts: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
+    """Adds chunks, how many a document of n sentences has: the last ends at the last sentence and holds more than the overlap."""
+    return counts.withColumn("chunks", F.greatest(F.lit(1), F.ceil((F.col("n") - overlap) / F.lit(size - overlap))).cast("int"))
+
+
 def chunk_spans(counts: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
-    """doc_id, chunk_idx, sent_start, sent_end for documents of n sentences: windows of sentences; the last ends at the last sentence and holds more than the overlap."""
+    """doc_id, chunk_idx, sent_start, sent_end for documents of n sentences: windows of sentences."""
     step = size - overlap
-    last = F.greatest(F.lit(1), F.ceil((F.col("n") - overlap) / F.lit(step))).cast("int") - 1
-    return counts.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx")).select(
+    return chunk_counts(counts, size, overlap).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_idx")).select(
         "doc_id", "chunk_idx", (F.col("chunk_idx") * step).alias("sent_start"), (F.least(F.col("chunk_idx") * step + size, F.col("n")).cast("int") - 1).alias("sent_end")
     )
 

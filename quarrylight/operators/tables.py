@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The table marked for broadcast, if a count shows that it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+
+
 def write_buckets(df: DataFrame, path: str, key: str, order: list[str], buckets: int) -> DataFrame:
     """Writes rows bucketed by a key, one file a bucket, so that joins and aggregations on the key read them without a shuffle."""
     name = f"bucketed_{uuid.uuid4().hex}"
