@@ -116,15 +116,21 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
     return ranges.join(F.broadcast(sizes.select("__range", before.alias("before"))), "__range").withColumn("n", own + F.col("before")).drop("__range", "before")
 
 
+def matching(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """pos (incoming), old: the existing record that an incoming one's most trusted key hits, the earliest on a tie.  Both have pos, doi, url, pdf_url and title."""
+    keys = keys_of(F.col("doi"), F.col("url"), F.col("pdf_url"), F.col("title"))
+    held = existing.select(F.col("pos").alias("old"), F.explode(keys).alias("key")).groupBy("key").agg(F.min("old").alias("old"))
+    asked = incoming.select("pos", F.posexplode(keys).alias("trust", "key"))
+    return asked.join(held, "key").groupBy("pos").agg(F.min_by("old", F.struct("trust", "old")).alias("old"))
+
+
 def merge_incremental(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """A new round's records into a table: no existing record is dropped, moved or renamed; a match fills its gaps, the rest is appended.
 
     An incoming record (deduplicated first) joins the existing one that its most trusted key hits, the earliest on a tie.
     """
     new = dedupe(incoming).withColumn("in_pos", F.col("pos"))
-    old_keys = existing.select(F.col("pos").alias("old"), F.explode(keys_of(F.col("doi"), F.col("url"), F.col("pdf_url"), F.col("title"))).alias("key")).groupBy("key").agg(F.min("old").alias("old"))
-    new_keys = new.select("in_pos", F.posexplode(keys_of(F.col("doi"), F.col("url"), F.col("pdf_url"), F.col("title"))).alias("trust", "key"))
-    target = new_keys.join(old_keys, "key").groupBy("in_pos").agg(F.min_by("old", F.struct("trust", "old")).alias("old"))
+    target = matching(existing, new.withColumn("pos", F.col("in_pos"))).withColumnRenamed("pos", "in_pos")
     last = existing.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))  # one row
     matched = new.join(target, "in_pos", "left").crossJoin(F.broadcast(last))
     # Newcomers get positions after the last.

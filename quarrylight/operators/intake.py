@@ -40,8 +40,10 @@ def eligible_sources(claims: DataFrame, sources: DataFrame, skipped: DataFrame)
     claims: claim_id, technical; sources: source, enabled, needs_key, has_key, technical_only (a small table of settings);
     skipped: claim_id, source.  A source must be enabled, have its key if it needs one, and suit the claim.
     """
-    usable = sources.where(F.col("enabled") & (~F.col("needs_key") | F.col("has_key"))).select("source", "technical_only")
-    suited = claims.select("claim_id", "technical").join(usable, F.col("technical") | ~F.col("technical_only"))
+    usable = sources.where(F.col("enabled") & (~F.col("needs_key") | F.col("has_key")))
+    # The kinds of claims that a source suits, so that claims meet sources by equality.
+    kinds = F.when(F.col("technical_only"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    suited = claims.select("claim_id", "technical").join(usable.select("source", F.explode(kinds).alias("technical")), "technical")
     return suited.select("claim_id", "source").join(skipped.select("claim_id", "source"), ["claim_id", "source"], "left_anti")
 
 

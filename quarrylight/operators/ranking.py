@@ -59,7 +59,7 @@ def pre_rank(candidates: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def select_to_read(ranked: DataFrame, most: int = 15, reserve: int = 3) -> DataFrame:
-    """The best ``most`` per claim, with up to ``reserve`` places kept for counter-query candidates; in rank order.
+    """The best ``most`` per claim, with up to ``reserve`` places kept for counter-query candidates; in rank order.  No two of a claim have one rank.
 
     Every task first keeps its own best of each claim, so a claim's final choice is made among the best ``most`` and the reserved ones alone.
     """

@@ -10,6 +10,8 @@ from quarrylight.operators.segment import gathered
 from quarrylight.operators.tables import bounded, cut
 
 K1, B = 1.5, 0.75
+#: Shingles of claims that are tested inside each document, without a join.
+ANCHORS = 2_000
 #: Letters by which very short claims are looked up.
 LETTERS = 4
 
@@ -127,11 +129,16 @@ def verbatim_pairs(claims: DataFrame, docs: DataFrame, words: int = 8) -> DataFr
     body = docs.select("doc_id", flat(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
     body = body.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     shingle = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(n))))
-    every = F.array_distinct(F.flatten(F.array(*(F.when(F.size("w") >= n, shingle(n)).otherwise(F.expr("cast(array() as array<bigint>)")) for n in sizes)))) if sizes else F.expr("cast(array() as array<bigint>)")
-    keys = body.select("doc_id", F.explode(every).alias("anchor"))
+    none = F.expr("cast(array() as array<bigint>)")
+    every = F.flatten(F.array(*(F.when(F.size("w") >= n, shingle(n)).otherwise(none) for n in sizes))) if sizes else none
     anchored = asked.where("anchor is not null").select("claim_id", "claim", "anchor")
-    near = keys.join(anchored, "anchor").select("doc_id", "claim_id", "claim")
-    found = near.join(body.select("doc_id", "body"), "doc_id").where(F.contains("body", "claim")).select("claim_id", "doc_id")
+    few = [r["anchor"] for r in anchored.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    if len(few) <= ANCHORS:  # a document's shingles are tested where they are made; nearly none are left to meet claims
+        held = body.select("doc_id", "body", F.explode(F.array_intersect(every, F.array(*map(F.lit, few)) if few else none)).alias("anchor"))
+        found = held.join(anchored, "anchor").where(F.contains("body", "claim")).select("claim_id", "doc_id")
+    else:
+        near = body.select("doc_id", F.explode(F.array_distinct(every)).alias("anchor")).join(anchored, "anchor").select("doc_id", "claim_id", "claim")
+        found = near.join(body.select("doc_id", "body"), "doc_id").where(F.contains("body", "claim")).select("claim_id", "doc_id")
     # One or two words may stand inside longer words: they meet documents by their first letters, then as texts.
     tiny = asked.where("anchor is null").select("claim_id", "claim").withColumn("q", F.least(F.length("claim"), F.lit(LETTERS))).withColumn("start", F.expr("left(claim, q)"))
     widths = [r["q"] for r in tiny.select("q").distinct().collect()]  # at most LETTERS numbers

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.text import excerpt
 from quarrylight.functions.urls import candidate_id, normalize_doi, to_https
+from quarrylight.operators.dedupe import SCHEMA, numbered
 
 LOCATION = "struct<landing_page_url:string,pdf_url:string,is_oa:boolean,source:struct<display_name:string,type:string,host_organization_name:string>>"
 WORKS_A = (
@@ -34,9 +35,10 @@ def _filled(c: Column) -> Column:
 def abstract_text(index: Column, longest: int = 50_000) -> Column:
     """Text of an inverted index {word: [positions]}; of words with the same position the later one wins."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(F.filter(e["value"], lambda p: (p >= 0) & (p < longest)), lambda p: F.struct(p.alias("at"), e["key"].alias("word")))))
-    ordered = F.array_sort(places)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.try_element_at(ordered, i + 2)["at"] != x["at"], F.lit(True)))
-    return _filled(F.array_join(F.transform(last, lambda x: x["word"]), " "))
+    # Sorted once: a word whose place the next one has too is overwritten by it.
+    last = lambda ordered: F.filter(ordered, lambda x, i: F.coalesce(F.try_element_at(ordered, i + 2)["at"] != x["at"], F.lit(True)))
+    text = F.transform(F.array(F.array_sort(places)), lambda ordered: F.array_join(F.transform(last(ordered), lambda x: x["word"]), " "))
+    return _filled(F.element_at(text, 1))
 
 
 def _candidate(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -98,7 +100,9 @@ def feed(spark: SparkSession, path: str, source: str = "feed") -> DataFrame:
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     pdf = F.try_element_at(F.transform(F.filter("link", lambda x: (x["_title"] == "pdf") | (x["_type"] == "application/pdf")), lambda x: x["_href"]), F.lit(1))
     kept = e.where(~F.coalesce(F.col("id").rlike("/api/errors"), F.lit(False)) & (F.coalesce(flat(F.col("title")), F.lit("")) != "") & (flat(F.col("title")) != "Error")).withColumn("paper", paper)
-    kept = kept.withColumn("pos", F.monotonically_increasing_id()).withColumn("search_rank", F.col("pos").cast("int")).withColumn("source_id", F.lit(source))
+    # Numbered over ranges in the order of files and entries: the ids that Spark gives out leave gaps too large for an int.
+    kept = numbered(kept.withColumn("__order", F.monotonically_increasing_id()), "__order").withColumn("pos", F.col("n").cast("long") - 1)
+    kept = kept.withColumn("search_rank", F.col("pos").cast("int")).withColumn("source_id", F.lit(source))
     doi = F.coalesce(normalize_doi(_filled(F.col("`arxiv:doi`"))), F.when(F.col("paper") != "", F.concat(F.lit("10.48550/arxiv."), F.lower("paper"))))
     return _candidate(
         kept, tier=F.lit("preprint"), title=flat(F.col("title")), url=F.concat(F.lit("https://arxiv.org/abs/"), F.col("paper")), pdf_url=to_https(F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), F.col("paper")))),
@@ -126,8 +130,6 @@ def web_results(spark: SparkSession, path: str, preset: str, source: str) -> Dat
 
 def conforming(rows: DataFrame) -> DataFrame:
     """The candidates of a source of one's own, in the schema's order; columns that lack or have another type are an error before anything runs."""
-    from quarrylight.operators.dedupe import SCHEMA
-
     want = dict(part.strip().split(" ") for part in ("pos long, candidate_id string, " + SCHEMA).replace("array<string>", "array_string").split(","))
     want = {name: {"long": "bigint", "array_string": "array<string>"}.get(kind, kind) for name, kind in want.items()}
     have = dict(rows.dtypes)
