@@ -13,7 +13,9 @@ Scale.  Pivots grow with the square root of the table up to ``MOST_PIVOTS``; onl
 few queries are bundled up to ``CELL_QUERIES``, so a candidate is sent once to a bundle, and crowded cells (one vector that a third of
 the rows share) are dealt over several bundles; candidates of a bundle are dealt over blocks of ``CELL_ROWS``, as many as it gets.
 
-Defined cases: see ``vectors.usable``; fewer than k candidates give shorter lists; ties go to the smaller vec_id.
+Defined cases: see ``vectors.usable``; every row whose id is asked for is a query, so rows that repeat an id each give a list under it, and find
+each other; fewer than k candidates give shorter lists; ties go to the smaller vec_id; vectors are never cut, whatever their length; a table
+without usable rows gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,34 +90,30 @@ def bundles(pivots: np.ndarray, asked: dict[int, int], most: int) -> tuple[dict[
     return out, now + (held > 0)
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-
-
-def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, pivots: int | None = None) -> DataFrame:
+def product_search(embeddings: DataFrame, k: int, every: int = 50, scale: int = 256, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k candidates with the largest integer product for each query (vec_id divisible by ``every``)."""
-    known = vectors.usable(rows, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    known = vectors.usable(embeddings, nonzero=False).select("row", "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     known = stash(known, "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     total, square = known.agg(F.count("*"), F.max(norm)).first()
     empty = "query_id long, rank int, vec_id long, score long"
     queries = known.where(F.pmod("vec_id", F.lit(every)) == 0)
     if total < 2 or not queries.limit(1).count():
-        return rows.sparkSession.createDataFrame([], empty)
+        return embeddings.sparkSession.createDataFrame([], empty)
     count = pivots or min(max(isqrt(total), LEAST_PIVOTS), MOST_PIVOTS)
-    centres = pick_pivots(lifted(vectors.sample(known, SAMPLE), square, False), count)
+    centres = pick_pivots(lifted(vectors.sample(known, SAMPLE)[1], square, False), count)
     cells, between = len(centres), distances(centres, centres)
     slack = 1e-6 * (1 + square**0.5)  # of floating-point distances; products are exact
 
     def exact(q: np.ndarray, s: np.ndarray) -> np.ndarray:
         return s.astype(np.int64) @ q.astype(np.int64)
 
-    def radii(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def radii(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         d = distances(lifted(x, square, True), centres)
         group = d.argmin(1)
         yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), pa.array(d[np.arange(len(d)), group])], ["g", "d"])
 
-    def closest(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closest(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         d = distances(lifted(x, square, False), centres)
         group, low = d.argmin(1), d.min(1)
         g, at, n = [], [], []
@@ -142,28 +140,29 @@ def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, p
     share = np.minimum(1.0, vectors.CELL_ROWS / sizes)  # of a cell's candidates that serve for the bound
     dealt_to, number = bundles(centres, asked, vectors.CELL_QUERIES)
 
-    def bundle_of(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
-        return np.array([dealt_to[g][i % len(dealt_to[g])] for g, i in zip(group.tolist(), (ids // every).tolist(), strict=True)], np.int64)
+    def bundle_of(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return np.array([dealt_to[g][i % len(dealt_to[g])] for g, i in zip(group.tolist(), vectors.mixed(rows).tolist(), strict=True)], np.int64)
 
     # Each query among its own cell's candidates.  Decks of a crowded cell's queries each get the same candidates.
     decks = {g: len(dealt_to[g]) for g in asked}
     widest = max(decks.values())
 
-    def own_queries(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def own_queries(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = distances(lifted(x, square, True), centres).argmin(1)
-        deck = np.array([i % decks[g] for g, i in zip(group.tolist(), (ids // every).tolist(), strict=True)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(group * widest + deck, pa.int64()), pa.array(ids), vectors.packed(x)], ["cell", "query_id", "x"])
+        deck = np.array([i % decks[g] for g, i in zip(group.tolist(), vectors.mixed(rows).tolist(), strict=True)], np.int64)
+        yield vectors.dealt(group * widest + deck, rows, ids, x)
 
-    def own_candidates(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def own_candidates(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = distances(lifted(x, square, False), centres).argmin(1)
-        chosen = np.flatnonzero((_mixed(ids) % 1_000_003 < share[group] * 1_000_003) & np.isin(group, groups))
+        chosen = np.flatnonzero((vectors.mixed(rows) % 1_000_003 < share[group] * 1_000_003) & np.isin(group, groups))
         for deck in range(widest):
             at = chosen[[decks[g] > deck for g in group[chosen].tolist()]]
-            yield pa.RecordBatch.from_arrays([pa.array(group[at] * widest + deck, pa.int64()), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "vec_id", "x"])
+            yield vectors.dealt(group[at] * widest + deck, rows[at], ids[at], x[at])
 
-    own = vectors.best_in_cells(queries.mapInArrow(vectors.batches_of(own_queries), "cell long, query_id long, x binary"), known.mapInArrow(vectors.batches_of(own_candidates), "cell long, vec_id long, x binary"), lambda q, s: q @ s.T, exact, k, "long")
-    kth = own.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
-    bounded = stash(queries.join(kth, "vec_id", "left").select("vec_id", "v", F.col("score").cast("double").alias("score")), "bounds")
+    near = (queries.mapInArrow(vectors.batches_of(own_queries), vectors.DEALT), known.mapInArrow(vectors.batches_of(own_candidates), vectors.DEALT))
+    own = vectors.best_in_cells(*near, lambda q, s: q @ s.T, exact, k, "long")
+    kth = own.where(F.col("rank") == k).select("row", "score")
+    bounded = stash(queries.join(kth, "row", "left").select("vec_id", "v", F.col("score").cast("double").alias("score")), "bounds")
 
     def pair_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each cell of queries: reach, and for every other cell least and largest distance to its pivot, widened, and how near its hyperplane comes."""
@@ -207,7 +206,7 @@ def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, p
         admitted = (d[:, groups] <= reach) & (low[:, cell].T <= e) & (e <= high[:, cell].T) & (wall[:, cell].T <= 0)
         return np.nonzero(admitted.astype(np.float32) @ member.astype(np.float32) > 0)
 
-    def counted(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def counted(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         to, n = np.unique(wanted(x)[1], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(n, pa.int64())], ["bundle", "n"])
 
@@ -216,19 +215,18 @@ def product_search(rows: DataFrame, k: int, every: int = 50, scale: int = 256, p
         blocks[r["bundle"]] = -(-r["n"] // vectors.CELL_ROWS)
     first = np.concatenate(([0], np.cumsum(blocks)))
 
-    def deal(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def deal(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         at, to = wanted(x)
-        yield pa.RecordBatch.from_arrays([pa.array(first[to] + _mixed(ids[at]) % blocks[to], pa.int64()), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "vec_id", "x"])
+        yield vectors.dealt(first[to] + vectors.mixed(rows[at]) % blocks[to], rows[at], ids[at], x[at])
 
-    def ask(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bundle = bundle_of(ids, distances(lifted(x, square, True), centres).argmin(1))
+    def ask(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bundle = bundle_of(rows, distances(lifted(x, square, True), centres).argmin(1))
         at = np.repeat(np.arange(len(ids)), blocks[bundle])
         cell = np.concatenate([np.arange(first[b], first[b + 1]) for b in bundle.tolist()])
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(ids[at]), vectors.packed(x[at])], ["cell", "query_id", "x"])
+        yield vectors.dealt(cell, rows[at], ids[at], x[at])
 
-    asking = queries.mapInArrow(vectors.batches_of(ask), "cell long, query_id long, x binary")
-    dealt = known.mapInArrow(vectors.batches_of(deal), "cell long, vec_id long, x binary")
-    return vectors.best_in_cells(asking, dealt, lambda q, s: q @ s.T, exact, k, "long")
+    asking, given = queries.mapInArrow(vectors.batches_of(ask), vectors.DEALT), known.mapInArrow(vectors.batches_of(deal), vectors.DEALT)
+    return vectors.best_in_cells(asking, given, lambda q, s: q @ s.T, exact, k, "long").drop("row")
 
 
 def op2_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,18 +236,14 @@ def op2_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op2_voronoi_topk": op2_voronoi_topk}
 SQL = {
     "op2_voronoi_topk": """
-WITH e AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS e
-  FROM (SELECT * FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
-), l AS (SELECT len(e) AS n FROM e GROUP BY 1 ORDER BY count(*) DESC, n LIMIT 1
-), v AS (
-  SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS v FROM e WHERE len(e) = (SELECT n FROM l)
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.n AS n, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylight.llm import ann, graph, neardup, substrings, topk, vectors
@@ -208,19 +209,49 @@ def test_bundles_hold_neighbours_and_split_crowds():
     assert sorted(set(np.concatenate(list(dealt.values())).tolist())) == list(range(number))
 
 
-def test_vector_searches_take_repeated_ids_and_other_columns(spark):
+def test_vector_searches_take_every_row_of_repeated_ids(spark, monkeypatch):
+    """Rows that repeat an id are queries and candidates of their own, also if all of the row repeats; other columns do not matter."""
+    monkeypatch.setattr(vectors, "CELL_QUERIES", 3)
     data = [(i, v, 0, "x", i) for i, v, _ in clustered(200, 6)]
-    data += [(0, [9.0] * 8, 1, "again", 7), (3, data[3][1], 0, "same", 3)]
+    data += [(0, [1.0] * 8, 1, "again", 7), (3, data[3][1], 0, "same", 3), (50, data[50][1], 0, "same", 3)] + [(100, data[7][1], 0, "hot", 1)] * 70
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, score string, rank int")
-    once = spark.createDataFrame([r[:3] for r in data[:200]], VECTORS)
-    for search in (topk.product_search, ann.cosine_search):
-        assert sorted(map(tuple, search(frame, 5).collect())) == sorted(map(tuple, search(once, 5).collect()))
-
-
-def test_few_parts_are_visited_on_clustered_vectors():
+    ids = [r[0] for r in data]
+    x = np.array([np.float32(r[1]) for r in data], float)
+    scaled, unit = np.floor(256 * x), ann.units(x)
+    # All parts are visited, so the second search is exact too.
+    for search, scores in ((lambda f: topk.product_search(f, 5), scaled @ scaled.T), (lambda f: ann.cosine_search(f, 5, probes=8), unit @ unit.T)):
+        want = []
+        for q in (i for i, own in enumerate(ids) if own % 50 == 0):
+            best = sorted((round(-scores[q, c], 9), ids[c]) for c in range(len(ids)) if c != q)[:5]
+            want += [(ids[q], rank, v, -s) for rank, (s, v) in enumerate(best, 1)]
+        got = [tuple(r) for r in search(frame).collect()]
+        assert sorted((q, n, v) for q, n, v, _ in got) == sorted((q, n, v) for q, n, v, _ in want)
+        assert np.allclose(sorted(r[3] for r in got), sorted(r[3] for r in want))
+
+
+def test_twin_of_products_sees_repeated_ids(spark):
+    import duckdb
+
+    data = vector_rows(120, 8)[:120] + [(50, [0.5] * len(vector_rows(1, 8)[0][1]), 0)] * 2
+    emb = pa.table({"vec_id": [r[0] for r in data], "embedding": pa.array([r[1] for r in data], pa.list_(pa.float32()))})
+    con = duckdb.connect()
+    con.register("embeddings", emb)
+    want = con.execute(topk.SQL["op2_voronoi_topk"]).fetchall()
+    got = topk.product_search(spark.createDataFrame(data, VECTORS), 5).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 25
+
+
+def test_few_parts_are_visited_on_clustered_vectors(spark):
     x = np.array([v for _, v, _ in clustered(2000, 7)])
     router = ann.learn(x[400:], 16)
-    assert ann.probes_for(router, x[400:], x[:400], 5, 0.94) <= 4
+    part = router(ann.units(x)).argmax(1)
+    index = spark.createDataFrame([(int(p), i, v.tobytes()) for i, (p, v) in enumerate(zip(part, x, strict=True))], "part int, row long, x binary")
+    found = ann.parts_of_nearest(index, np.arange(40), x[:40], 5)
+    sims = ann.units(x[:40]) @ ann.units(x).T
+    sims[np.arange(40), np.arange(40)] = -np.inf
+    near = np.argsort(-sims, 1)[:, :5]
+    assert sorted(found) == sorted((j, int(p)) for j in range(40) for p in part[near[j]])
+    assert ann.probes_for(router, x[:40], found, 0.94) <= 4
 
 
 def test_learned_partitions_recall(spark):
