@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,11 +44,19 @@ def _kind(line: Column) -> Column:
     return found.otherwise("prose")
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that it refers to several times, which is worked out once."""
+    return F.transform(F.array(c), use)[0]
+
+
 def _block(line: Column) -> Column:
     """kind and words of a line."""
     bare = F.rtrim(F.regexp_replace(line, r"^\s*(?:>\s?)*\s*", ""))
+    return _once(bare, lambda b: _once(_kind(b), lambda kind: _words(b, kind)))
+
+
+def _words(bare: Column, kind: Column) -> Column:
     cells = F.array_join(F.filter(F.transform(F.split(bare, r"\|"), lambda x: F.trim(x)), lambda x: x != ""), " ")
-    kind = _kind(bare)
     words = (
         F.when(kind.isin(_SILENT), "")
         .when(kind == "heading", F.regexp_replace(bare, r"^#+\s+|\s+#+$", ""))
@@ -67,8 +76,8 @@ def _body(blocks: Column) -> Column:
         ends = (s["end"] == 0) & (s["above"] > BODY_BEFORE_REFERENCES) & title(b)
         return F.struct((s["line"] + 1).alias("line"), (s["above"] + F.length(b["words"])).alias("above"), F.when(ends, s["line"] + 1).otherwise(s["end"]).alias("end"))
 
-    end = F.aggregate(blocks, start, step, lambda s: s["end"])
-    return F.when(end > 0, F.slice(blocks, F.lit(1), end - 1)).otherwise(blocks)
+    ends = F.aggregate(blocks, start, step, lambda s: s["end"])
+    return _once(ends, lambda end: F.when(end > 0, F.slice(blocks, F.lit(1), end - 1)).otherwise(blocks))
 
 
 def _plain(words: Column) -> Column:
@@ -90,5 +99,6 @@ def _plain(words: Column) -> Column:
 def strip_markdown(c: Column) -> Column:
     """Plain text, a line a line.  Fences, rules, link definitions and the grid lines of tables go; what follows a reference title goes once there is a body."""
     lines = F.split(F.regexp_replace(c, r"\r\n?|(?i:<br\s*/?>)", "\n"), "\n")
-    shown = F.filter(_body(F.transform(lines, _block)), lambda b: ~b["kind"].isin(_SILENT))
+    body = _once(F.transform(lines, _block), _body)
+    shown = F.filter(body, lambda b: ~b["kind"].isin(_SILENT))
     return decode_entities(_plain(F.array_join(F.transform(shown, lambda b: b["words"]), "\n")))
