@@ -53,10 +53,10 @@ def refused_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dressed up as Markdown (title, list, links, emphasis, code, picture, rule, fence) and taken back to plain text."""
+    """Documents dressed up as Markdown (title, list, links, emphasis, code, picture, rule, entity, fence) and taken back to plain text."""
     words = F.trim(F.regexp_replace("text", "[^A-Za-z0-9.,]+", " "))
     dressed = F.replace(F.replace(F.replace(words, F.lit(" of "), F.lit(" [of](https://e.com/a_(b)?c=d) ")), F.lit(" and "), F.lit(" **and** ")), F.lit(" to "), F.lit(" `to` "))
-    md = F.concat(F.lit("## Report "), F.col("doc_id").cast("string"), F.lit("\n\n---\n- Text "), dressed, F.lit("\n> ![chart](https://e.com/c.png)quoted\n```\ncode *as* is\n```\n"))
+    md = F.concat(F.lit("## Report "), F.col("doc_id").cast("string"), F.lit("\n\n---\n- Text "), dressed, F.lit("\n> ![chart](https://e.com/c.png)quoted &amp; seen\n```\ncode *as* is\n```\n"))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.trim(F.regexp_replace(markdown.strip_markdown(md), r"\s+", " "))).alias("plain"))
 
 
@@ -88,7 +88,7 @@ SQL = {
     "ingested_labels": f"""SELECT {_LABEL}, 0 AS chunk_idx, doc_id * 1000 + doc_id % 5 AS pos, 'direct' AS relation, {_GOOD} FROM documents WHERE doc_id % 5 IN (0, 1)
 UNION ALL SELECT {_LABEL}, 2, doc_id * 1000 + CASE doc_id % 5 WHEN 1 THEN 2 ELSE 1 END, 'contradicts', '', 0.5, md5('') FROM documents WHERE doc_id % 5 IN (1, 4)""",
     "refused_labels": """SELECT doc_id % 11 AS claim_id, doc_id AS batch, CASE doc_id % 5 WHEN 1 THEN 'bad_relation' WHEN 2 THEN 'no_json' ELSE 'no_chunk' END AS reason FROM documents WHERE doc_id % 5 IN (1, 2, 4)""",
-    "plain_markdown": """SELECT doc_id, md5(trim('Report ' || doc_id || ' Text ' || trim(regexp_replace(text, '[^A-Za-z0-9.,]+', ' ', 'g')) || ' quoted code as is')) AS plain FROM documents WHERE text IS NOT NULL""",
+    "plain_markdown": """SELECT doc_id, md5(trim('Report ' || doc_id || ' Text ' || trim(regexp_replace(text, '[^A-Za-z0-9.,]+', ' ', 'g')) || ' quoted & seen code as is')) AS plain FROM documents WHERE text IS NOT NULL""",
     "affordable_documents": f"""WITH r AS (SELECT source AS job, doc_id, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY source ORDER BY length(text), doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents WHERE source IS NOT NULL)
 SELECT job, doc_id FROM r WHERE running <= {BUDGET}""",
     "evidence_packs": f"""WITH {_FOUND}, r AS (SELECT claim_id, doc_id, claim, len(string_split(claim, ' ')) AS n FROM f JOIN c USING (claim_id)),

@@ -49,10 +49,11 @@ def _once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), use)[0]
 
 
-def _block(line: Column) -> Column:
-    """kind and words of a line."""
-    bare = F.rtrim(F.regexp_replace(line, r"^\s*(?:>\s?)*\s*", ""))
-    return _once(bare, lambda b: _once(_kind(b), lambda kind: _words(b, kind)))
+def _blocks(lines: Column) -> Column:
+    """kind and words of each line.  Each step is worked out once; no lambda refers to the variable of another, which extraction of Python functions would not survive."""
+    bare = F.transform(lines, lambda x: F.rtrim(F.regexp_replace(x, r"^\s*(?:>\s?)*\s*", "")))
+    known = F.transform(bare, lambda x: F.struct(x.alias("bare"), _kind(x).alias("kind")))
+    return F.transform(known, lambda x: _words(x["bare"], x["kind"]))
 
 
 def _words(bare: Column, kind: Column) -> Column:
@@ -77,7 +78,8 @@ def _body(blocks: Column) -> Column:
         return F.struct((s["line"] + 1).alias("line"), (s["above"] + F.length(b["words"])).alias("above"), F.when(ends, s["line"] + 1).otherwise(s["end"]).alias("end"))
 
     ends = F.aggregate(blocks, start, step, lambda s: s["end"])
-    return _once(ends, lambda end: F.when(end > 0, F.slice(blocks, F.lit(1), end - 1)).otherwise(blocks))
+    cut = F.struct(blocks.alias("blocks"), ends.alias("end"))
+    return _once(cut, lambda c: F.when(c["end"] > 0, F.slice(c["blocks"], F.lit(1), c["end"] - 1)).otherwise(c["blocks"]))
 
 
 def _plain(words: Column) -> Column:
@@ -99,6 +101,6 @@ def _plain(words: Column) -> Column:
 def strip_markdown(c: Column) -> Column:
     """Plain text, a line a line.  Fences, rules, link definitions and the grid lines of tables go; what follows a reference title goes once there is a body."""
     lines = F.split(F.regexp_replace(c, r"\r\n?|(?i:<br\s*/?>)", "\n"), "\n")
-    body = _once(F.transform(lines, _block), _body)
+    body = _once(_blocks(lines), _body)
     shown = F.filter(body, lambda b: ~b["kind"].isin(_SILENT))
     return decode_entities(_plain(F.array_join(F.transform(shown, lambda b: b["words"]), "\n")))
