@@ -16,9 +16,9 @@ ABBREVIATIONS = (
 MARK = "﷐"
 #: Where a sentence may end: stops, with what closes behind them, before white space; a line's end always.
 END = r"([.!?]+[\"')\]]*\s+|\n\s*)"
-#: No end after all: an abbreviation before a small letter, a digit or a bracket on the same line, or a number or letter of a list.
+#: No end after all: an abbreviation (behind no letter, mark or digit, in any script) before a small letter, a digit or a bracket on the same line, or a number or letter of a list.
 #: Each looks back from a mark, of which there are few.
-ABBREVIATED = rf"{MARK}(?=[a-z0-9(])(?<=\b(?i:{'|'.join(ABBREVIATIONS)})\.[ \t]{{1,9}}{MARK})"
+ABBREVIATED = rf"{MARK}(?=[a-z0-9(])(?<=(?<![\p{{L}}\p{{Mn}}\p{{Nd}}_])(?i:{'|'.join(ABBREVIATIONS)})\.[ \t]{{1,9}}{MARK})"
 STUB = rf"((?:^|\n|{MARK})[(\[]?[0-9A-Za-z]{{1,2}}[.)\]][ \t]+){MARK}"
 #: Characters from which a sentence is cut: after a semicolon or colon past 40 percent of that, else at a space.  The parts are as lossless as the whole.
 LONGEST = 600

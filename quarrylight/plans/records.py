@@ -11,7 +11,7 @@ from quarrylight.functions import queries as P
 from quarrylight.operators import dedupe, filters, ledger, ranking, segment, tiers, verification
 from quarrylight.operators.ranges import placed
 from quarrylight.plans.common import claims, index_of, table
-from quarrylight.plans.evidence import _S, _list, content
+from quarrylight.plans.evidence import _R, _list, content
 
 
 def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ f AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' AN
 g AS (SELECT page_id, ok, host, CASE WHEN NOT ok THEN url WHEN len(ps) = 0 THEN 'https://' || host || regexp_replace(path, '/+$', '')
   ELSE 'https://' || host || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END || '?' || array_to_string(ps, '&') END AS canonical FROM f)""".replace("{tracking}", str(U.TRACKING)).replace("{identity}", str(U.IDENTITY))
 
-_LAB = f"""{_S},
+_LAB = f"""{_R},
 n AS (SELECT doc_id, max(sent_idx) + 1 AS n FROM s GROUP BY doc_id),
 ch AS (SELECT doc_id, n, unnest(range(greatest(1, ceil((n - 1) / 3.0)::INT))) AS chunk_idx FROM n),
 l AS (SELECT doc_id, chunk_idx, n, chunk_idx * 3 AS a, least(chunk_idx * 3 + 4, n) - 1 AS z, (doc_id + chunk_idx) % 6 AS kind FROM ch)"""
