@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from html import _invalid_charrefs, _invalid_codepoints
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -387,25 +391,50 @@ SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' — '
 }
 
 
+def _wide(pattern: str) -> str:
+    """A pattern of sources/pages.py inside a SQL string; DuckDB's white space lacks the vertical tab."""
+    return re.sub(r"(\[[^\]]*)?\\s", lambda m: m[0] + r"\x0B" if m[1] else r"[\s\x0B]", pattern).replace("'", "''")
+
+
 def _page_text_sql(x: str) -> str:
     for pattern, to in pages_source._STEPS:
         to = "chr(10)" if to == "\n" else f"'{to}'"
-        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', {to}, 'g')"
+        x = f"regexp_replace({x}, '{_wide(pattern)}', {to}, 'g')"
     return x
 
 
-def _decoded(x: str) -> str:
-    """The character references that the test pages hold."""
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{sign}')"
-    return x
+def _sign(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
 
 
-SQL["page_texts"] = rf"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), t AS (SELECT page_id, html, string_split({_decoded(_page_text_sql("html"))}, chr(10)) AS l FROM p),
-c AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: list_contains({_list(pages_source.REFERENCE_TITLES)}, regexp_replace(lower(l[i]), '^[0-9.\s]+|[\s:]+$', '', 'g')) AND length(array_to_string(l[1:i - 1], '')) > {pages_source.BODY_BEFORE_REFERENCES})[1] AS e FROM t),
-x AS (SELECT page_id, html, array_to_string(CASE WHEN e IS NULL THEN l ELSE l[1:e - 1] END, chr(10)) AS text FROM c)
-SELECT page_id, md5(text) AS text, length(text) AS n, {_decoded("nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)), '')")} AS title,
-  nullif(trim(regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*(?:name|property)\s*=\s*["''](?:author|article:author|citation_author)["''][^>]*>', 0), '(?is)content\s*=\s*["'']([^"'']*)', 1)), '') AS byline FROM x"""
+def _meta_sql(names: str) -> str:
+    element = _wide(rf"(?is)<meta\s[^>]*(?:name|property)\s*=\s*[\"'](?:{names})[\"'][^>]*>")
+    content = _wide(r"(?is)content\s*=\s*[\"']([^\"']*)")
+    return f"nullif(trim(regexp_extract(regexp_extract(html, '{element}', 0), '{content}', 1)), '')"
+
+
+#: Character references as HTML 5 has them: all names, those that stand without a semicolon also before further letters, and numbers.
+_REFERENCES = f"""names AS MATERIALIZED (SELECT MAP {{{", ".join(f"'{name}': {_sign(text)}" for name, text in html5.items())}}} AS named,
+  MAP {{{", ".join(f"{n}: {_sign(text)}" for n, text in _invalid_charrefs.items())}}} AS numbered, {sorted(_invalid_codepoints)} AS void)"""
+
+
+def _decoded(x: str) -> str:
+    """The text with its character references decoded, each once, from the left; names has to be joined."""
+    number = "CASE WHEN starts_with(lower(r), '#x') THEN TRY_CAST('0x' || regexp_extract(r, '^#[xX]0*([0-9a-fA-F]+)', 1) AS HUGEINT) ELSE TRY_CAST(regexp_extract(r, '^#([0-9]+)', 1) AS HUGEINT) END"
+    of_number = f"""list_transform([coalesce({number}, 1114112)], lambda n: CASE WHEN map_contains(numbered, n::INT) THEN numbered[n::INT] WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533)
+  WHEN list_contains(void, n::INT) THEN '' ELSE chr(n::INT) END)[1]""".replace("n::INT", "least(n, 1114112)::INT")
+    of_name = "coalesce(named[r], list_filter(list_transform(range(length(r) - 1, 1, -1), lambda k: named[r[1:k]] || r[k + 1:]), lambda v: v IS NOT NULL)[1], '&' || r)"
+    parts = f"regexp_extract_all({x}, '&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{{1,32}};?)|[^&]+|&')"
+    one = f"list_transform([p[2:]], lambda r: CASE WHEN starts_with(r, '#') THEN {of_number} ELSE {of_name} END)[1]"
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform({parts}, lambda p: CASE WHEN starts_with(p, '&') AND length(p) > 1 THEN {one} ELSE p END), '') ELSE {x} END"
+
+
+SQL["page_texts"] = rf"""WITH {_REFERENCES}, p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), b AS (SELECT page_id, html, {_page_text_sql("html")} AS body FROM p),
+t AS (SELECT page_id, html, string_split({_decoded("body")}, chr(10)) AS l FROM b, names),
+c AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: list_contains({_list(pages_source.REFERENCE_TITLES)}, regexp_replace(lower(l[i]), '^[0-9.\s\x0B]+|[\s\x0B:]+$', '', 'g')) AND length(array_to_string(l[1:i - 1], '')) > {pages_source.BODY_BEFORE_REFERENCES})[1] AS e FROM t),
+x AS (SELECT page_id, html, array_to_string(CASE WHEN e IS NULL THEN l ELSE l[1:e - 1] END, chr(10)) AS text FROM c),
+m AS (SELECT page_id, text, coalesce({_meta_sql("og:title|twitter:title")}, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)), '')) AS title, {_meta_sql("author|article:author|citation_author")} AS byline FROM x)
+SELECT page_id, md5(text) AS text, length(text) AS n, {_decoded("title")} AS title, {_decoded("byline")} AS byline FROM m, names"""
 
 SQL["merged_pages"] = f"""WITH g0 AS ({RECORDS["page_groups"]}),
 p AS (SELECT page_id AS pos, url, regexp_extract(html, '(?is)<title>([^<]*)', 1) AS title, {_case(TIERS, "page_id")} AS tier FROM pages),
