@@ -45,15 +45,15 @@ def sum_of(terms: str | Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["idf"])
 
 
-def label(claims: DataFrame, chunks: DataFrame, index: Index) -> DataFrame:
+def label(claims: DataFrame, chunks: DataFrame, index: Index, sents: DataFrame | None = None) -> DataFrame:
     """claim_id, doc_id, chunk_idx, pos, relation, sentence_ids, confidence, reason, scope_mismatch for each pair of a claim and a chunk.
 
     claims: claim_id, text; chunks: claim_id, doc_id, chunk_idx, sent_start, sent_end.  A pair whose sentences share too little is
-    ``irrelevant`` and cites nothing.  A claim without words has no labels.
+    ``irrelevant`` and cites nothing.  A claim without words has no labels.  sents may hold the sentences of the chunks' documents alone.
     """
     profiles = claim_profiles(claims, index)
     shown = chunks.select("claim_id", "doc_id", "chunk_idx", F.explode(F.sequence("sent_start", "sent_end")).alias("sent_idx"))
-    rows = shown.join(index.sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"]).join(profiles, "claim_id")
+    rows = shown.join((index.sentences if sents is None else sents).select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"]).join(profiles, "claim_id")
     rows = rows.withColumn("toks", tokens(F.col("text"))).withColumn("own", F.array_distinct("toks"))
     rows = rows.withColumn("hits", F.filter("terms", lambda t: F.array_contains("own", t["term"])))
     rows = rows.withColumn("together", F.array_intersect("pairs", terms_of_tokens(F.col("toks"))))

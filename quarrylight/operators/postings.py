@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.operators import retrieval, segment, tables
+from quarrylight.operators import retrieval, scoring, segment, tables
 
 SENTENCES = "doc_id bigint, sent_idx int, text string, start bigint, end bigint"
 POSTINGS = "term string, doc_id bigint, chunk_idx int, len int, tf bigint"
@@ -45,6 +45,18 @@ class Index:
         tf = self.term_frequencies(queries)
         return retrieval.scored_terms(tf, document_frequencies(tf), self.statistics(), queries, k1, b)
 
+    def best_chunks(self, queries: DataFrame, most: int, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
+        """claim_id, doc_id, chunk_idx, score, rank (from 1) of every claim's best chunks; ties by doc_id and chunk_idx.  Rows of ``bm25``, of which no more are made than may be best."""
+        rows = scoring.best(self.postings, self.statistics(), queries, most, 0, 0, k1, b)
+        order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "doc_id", "chunk_idx")
+        scored = self.bm25(queries, k1, b) if rows is None else rows.drop("doc_rank")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+    def select_chunks(self, queries: DataFrame, per_doc: int = 3, total: int = 25, size: int = 4, overlap: int = 1) -> DataFrame:
+        """``retrieval.select_chunks`` of the scores of ``bm25``."""
+        rows = scoring.best(self.postings, self.statistics(), queries, total, per_doc, (size - 1) // (size - overlap), retrieval.K1, retrieval.B)
+        return retrieval.select_chunks(self.bm25(queries), per_doc, total, size, overlap) if rows is None else retrieval.best_picks(rows, total)
+
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
     """term, df: how many chunks hold each term, of rows that are one a term and chunk."""

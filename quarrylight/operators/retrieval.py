@@ -88,6 +88,11 @@ def select_chunks(scored: DataFrame, per_doc: int = 3, total: int = 25, size: in
     free = lambda taken, c: ~F.exists(taken, lambda t: F.abs(t["chunk_idx"] - c["chunk_idx"]) <= reach)
     picked = F.aggregate("all", nothing, lambda taken, c: F.when((F.size(taken) < per_doc) & free(taken, c), F.concat(taken, F.array(c))).otherwise(taken))
     rows = listed.select("claim_id", "doc_id", F.posexplode(picked).alias("doc_rank", "c")).select("claim_id", "doc_id", "doc_rank", F.col("c.chunk_idx").alias("chunk_idx"), (-F.col("c.neg")).alias("score"))
+    return best_picks(rows, total)
+
+
+def best_picks(rows: DataFrame, total: int) -> DataFrame:
+    """Adds pick (from 1): all documents' first chunks before their second ones, up to ``total`` a claim.  rows: claim_id, doc_id, chunk_idx, doc_rank, score."""
     order = Window.partitionBy("claim_id").orderBy("doc_rank", F.desc("score"), "doc_id", "chunk_idx")
     return rows.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= total)
 

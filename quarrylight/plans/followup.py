@@ -19,8 +19,7 @@ def counter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each claim's five best chunks by the words of its plan, the query against it included."""
     plans = P.fallback_plan(claims(spark, sf_dir))
     asked = retrieval.query_terms(retrieval.query_texts(plans, counter=True))
-    order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "doc_id", "chunk_idx")
-    best = index_of(spark, sf_dir).bm25(asked).withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    best = index_of(spark, sf_dir).best_chunks(asked, 5)
     return best.select("claim_id", "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.round("score", 4).alias("score"), "rank")
 
 

@@ -41,3 +41,24 @@ def test_character_references_of_pages(spark, tmp_path):
     rows = [(i, f"https://e.com/{i}", html) for i, html in enumerate(PAGES)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     same(spark, tmp_path, "page_texts")
+
+
+def test_best_chunks_are_those_of_all_pairs(spark, tmp_path):
+    """Claims with many, few and no documents, ties between copies, and more chunks than a block holds."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from quarrylight.operators import postings, retrieval, scoring
+
+    docs = [(i, " ".join(f"Alpha w{(i * j) % 7} beta{j % 5} gamma. Delta w{j}." for j in range(1, 4 + i % 6))) for i in range(500)] + [(900, "Rare stone. " * 90), (None, "Rare alpha. Stone fell."), (901, "Rare stone. " * 90)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    index = postings.build(frame, f"{tmp_path}/index", 2)
+    asked = retrieval.query_terms(spark.createDataFrame([(1, ["alpha w3 beta2 alpha"]), (2, ["rare stone"]), (3, ["absent words"]), (None, ["delta w5"])], "claim_id bigint, texts array<string>"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "doc_id", "chunk_idx")
+    cols = ["claim_id", "doc_id", "chunk_idx", "score"]
+    want = index.bm25(asked).withColumn("rank", F.row_number().over(order)).where("rank <= 7")
+    assert rows(index.best_chunks(asked, 7).select(*cols, "rank")) == rows(want.select(*cols, "rank"))
+    cols = [*cols, "doc_rank", "pick"]
+    assert rows(index.select_chunks(asked).select(cols)) == rows(retrieval.select_chunks(index.bm25(asked)).select(cols))
+    one = scoring.best(index.postings, index.statistics(), asked, 7, 0, 0, 1.5, 0.75)
+    assert one.count() <= 7 * 4 * max(one.rdd.getNumPartitions(), 4)
