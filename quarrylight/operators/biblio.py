@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,13 @@ def _initials(given: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(given, r"[\s.]+"), lambda w: w != ""), lambda w: F.array_join(F.transform(F.split(w, "-"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lit("."))), "-")), " ")
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that it refers to several times, which is worked out once."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _listed(names: Column, last: str, comma_before: bool = True) -> Column:
+    """names has to be bound by ``_once``."""
     n = F.size(names)
     head = F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(0))), ", ")
     return F.when(n == 0, "").when(n == 1, F.element_at(names, 1)).otherwise(F.concat(head, F.lit((", " if comma_before else " ") + last + " "), F.element_at(names, -1)))
@@ -58,19 +66,19 @@ def _listed(names: Column, last: str, comma_before: bool = True) -> Column:
 
 def apa_authors(a: Column) -> Column:
     one = F.transform(a, lambda x: F.when(x["org"] | (x["given"] == ""), x["family"]).otherwise(F.concat_ws(", ", x["family"], _initials(x["given"]), x["suffix"])))
-    many = F.concat(F.array_join(F.slice(one, 1, 19), ", "), F.lit(", … "), F.try_element_at(one, F.lit(-1)))
-    return F.when(F.size(one) > 20, many).otherwise(_listed(one, "&"))
+    many = lambda one: F.concat(F.array_join(F.slice(one, 1, 19), ", "), F.lit(", … "), F.try_element_at(one, F.lit(-1)))
+    return _once(one, lambda one: F.when(F.size(one) > 20, many(one)).otherwise(_listed(one, "&")))
 
 
 def chicago_authors(a: Column) -> Column:
     one = F.transform(a, lambda x, i: F.when(x["org"] | (x["given"] == ""), x["family"]).when(i == 0, F.concat_ws(", ", x["family"], x["given"], x["suffix"])).otherwise(F.concat_ws(" ", x["given"], x["family"], x["suffix"])))
-    many = F.concat(F.array_join(F.slice(one, 1, 7), ", "), F.lit(", et al."))
-    return F.when(F.size(one) > 10, many).otherwise(_listed(one, "and"))
+    many = lambda one: F.concat(F.array_join(F.slice(one, 1, 7), ", "), F.lit(", et al."))
+    return _once(one, lambda one: F.when(F.size(one) > 10, many(one)).otherwise(_listed(one, "and")))
 
 
 def mla_authors(a: Column) -> Column:
     one = F.transform(a, lambda x, i: F.when(x["org"] | (x["given"] == ""), x["family"]).when(i == 0, F.concat_ws(", ", x["family"], x["given"])).otherwise(F.concat_ws(" ", x["given"], x["family"])))
-    return F.when(F.size(one) > 2, F.concat(F.element_at(one, 1), F.lit(", et al."))).otherwise(_listed(one, "and"))
+    return _once(one, lambda one: F.when(F.size(one) > 2, F.concat(F.element_at(one, 1), F.lit(", et al."))).otherwise(_listed(one, "and")))
 
 
 def works(results: DataFrame) -> DataFrame:
@@ -90,25 +98,27 @@ def works(results: DataFrame) -> DataFrame:
 
 
 def _ended(c: Column) -> Column:
-    return F.when(c.rlike(r"[.?!…]$"), c).otherwise(F.concat(c, F.lit(".")))
+    return F.concat(c, F.when(F.right(c, F.lit(1)).isin(*".?!…"), "").otherwise("."))
 
 
 def references(w: DataFrame, accessed: str) -> DataFrame:
     """claim_id, rank, style, reference: plain text in APA 7, Chicago author-date and MLA 9; access dates only for undated pages."""
+    # The names are referred to several times below; as columns of their own they are worked out once a work.
+    w = w.withColumns({"__apa": apa_authors(F.col("people")), "__chicago": chicago_authors(F.col("people")), "__mla": mla_authors(F.col("people"))})
     d, title, box, link = F.col("date"), F.col("title"), F.col("container"), F.col("locator")
     undated = d["year"].isNull()
     some = F.size("people") > 0
-    join = lambda *parts: F.concat_ws(" ", *(F.when(p != "", p) for p in parts))
+    join = lambda *parts: F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
     apa_day = F.when(F.col("kind").isin("article", "preprint", "report"), F.coalesce(d["year"].cast("string"), F.lit("n.d."))).otherwise(apa_date(d))
-    apa = F.when(some, join(_ended(apa_authors(F.col("people"))), F.concat(F.lit("("), apa_day, F.lit(").")), _ended(title), F.coalesce(_ended(box), F.lit("")), F.when(undated, F.lit(f"Retrieved {accessed}, from")).otherwise(""), link)).otherwise(
+    apa = F.when(some, join(_ended(F.col("__apa")), F.concat(F.lit("("), apa_day, F.lit(").")), _ended(title), F.coalesce(_ended(box), F.lit("")), F.when(undated, F.lit(f"Retrieved {accessed}, from")).otherwise(""), link)).otherwise(
         join(_ended(title), F.concat(F.lit("("), apa_day, F.lit(").")), F.coalesce(_ended(box), F.lit("")), F.when(undated, F.lit(f"Retrieved {accessed}, from")).otherwise(""), link)
     )
     quoted = F.concat(F.lit("“"), _ended(title), F.lit("”"))
     year = F.concat(F.coalesce(d["year"].cast("string"), F.lit("n.d.")), F.lit("."))
     full = F.when(F.col("kind").isin("news", "web") & d["month"].isNotNull(), F.concat(F.coalesce(box, F.lit("")), F.lit(", "), long_date(d), F.lit("."))).otherwise(F.coalesce(_ended(box), F.lit("")))
-    chicago = join(F.when(some, _ended(chicago_authors(F.col("people")))).otherwise(""), year, quoted, full, F.when(undated, F.lit(f"Accessed {accessed}.")).otherwise(""), _ended(link))
+    chicago = join(F.when(some, _ended(F.col("__chicago"))).otherwise(""), year, quoted, full, F.when(undated, F.lit(f"Accessed {accessed}.")).otherwise(""), _ended(link))
     mla_tail = F.concat(F.concat_ws(", ", box, mla_date(d), F.regexp_replace(link, "^https?://", "")), F.lit("."))
-    mla = join(F.when(some, _ended(mla_authors(F.col("people")))).otherwise(""), quoted, mla_tail, F.when(undated, F.lit(f"Accessed {accessed}.")).otherwise(""))
+    mla = join(F.when(some, _ended(F.col("__mla"))).otherwise(""), quoted, mla_tail, F.when(undated, F.lit(f"Accessed {accessed}.")).otherwise(""))
     styles = F.array(*(F.struct(F.lit(n).alias("style"), c.alias("reference")) for n, c in (("apa", apa), ("chicago", chicago), ("mla", mla))))
     return w.select("claim_id", "rank", F.explode(styles).alias("s")).select("claim_id", "rank", "s.style", "s.reference")
 

@@ -62,3 +62,27 @@ def test_best_chunks_are_those_of_all_pairs(spark, tmp_path):
     assert rows(index.select_chunks(asked).select(cols)) == rows(retrieval.select_chunks(index.bm25(asked)).select(cols))
     one = scoring.best(index.postings, index.statistics(), asked, 7, 0, 0, 1.5, 0.75)
     assert one.count() <= 7 * 4 * max(one.rdd.getNumPartitions(), 4)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_abstracts_are_rebuilt_inside_their_rows(spark, data):
+    assert "hashpartitioning" not in plan(E.queries()["rebuilt_abstracts"](spark, data))[1]
+
+
+def test_pages_are_dealt_out_by_document_alone(spark, data):
+    assert "page_no#" not in "".join(line.split("hashpartitioning")[1] for line in plan(E.queries()["paged_texts"](spark, data))[1].splitlines() if "hashpartitioning" in line)
+
+
+def test_markdown_is_stripped_once(spark, data):
+    assert plan(E.queries()["plain_markdown"](spark, data))[0].count("aggregate(") == 1
+
+
+def test_candidates_are_tokenised_once(spark, data):
+    assert plan(E.queries()["pre_ranked"](spark, data))[0].count("concat_ws( , title") + plan(E.queries()["pre_ranked"](spark, data))[0].count("regexp_extract_all(lower(concat_ws") <= 2
+
+
+def test_names_are_put_into_each_style_once(spark, data):
+    assert plan(E.queries()["cited_works"](spark, data))[0].count("et al.") <= 3
