@@ -52,8 +52,8 @@ def cited_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rebuilt_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as inverted indexes, from words to places, put back into running text (as far as a service's index goes)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("at", "word"))
-    held = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")).where("size(words) > 0")
+    held = d.select("doc_id", scholarly.inverted_index(F.col("words")).alias("index"))
     return held.select("doc_id", F.md5(scholarly.abstract_text(F.col("index"))).alias("text"))
 
 

@@ -41,6 +41,19 @@ def abstract_text(index: Column, longest: int = 50_000) -> Column:
     return _filled(F.element_at(text, 1))
 
 
+def inverted_index(words: Column) -> Column:
+    """{word: [places]} of an array of words: sorted once inside its row, so an index needs no shuffle and no row a word."""
+
+    def grouped(pairs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (F.get(pairs, i)["word"] != F.get(pairs, F.greatest(i - 1, F.lit(0)))["word"]))
+        places = lambda s, end: F.transform(F.slice(pairs, s + 1, end - s), lambda p: p["at"])
+        entries = lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(pairs, s)["word"], places(s, F.coalesce(F.get(starts, k + 1), F.size(pairs)))))
+        return F.element_at(F.transform(F.array(starts), entries), 1)
+
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    return F.map_from_entries(F.element_at(F.transform(F.array(pairs), grouped), 1))
+
+
 def _candidate(rows: DataFrame, **columns: Column) -> DataFrame:
     base = {
         "source_ids": F.array("source_id"), "authors": F.expr("cast(array() as array<string>)"), "publisher": F.lit(None).cast("string"), "text": F.lit(None).cast("string"), "pdf_url": F.lit(None).cast("string"),
