@@ -98,9 +98,14 @@ def _plain(words: Column) -> Column:
     return reduce(lambda w, s: F.regexp_replace(w, s[0], s[1]), steps, words)
 
 
-def strip_markdown(c: Column) -> Column:
-    """Plain text, a line a line.  Fences, rules, link definitions and the grid lines of tables go; what follows a reference title goes once there is a body."""
+def unmarked(c: Column) -> Column:
+    """Plain text, a line a line, with its character references.  Fences, rules, link definitions and the grid lines of tables go; what follows a reference title goes once there is a body."""
     lines = F.split(F.regexp_replace(c, r"\r\n?|(?i:<br\s*/?>)", "\n"), "\n")
     body = _once(_blocks(lines), _body)
     shown = F.filter(body, lambda b: ~b["kind"].isin(_SILENT))
-    return decode_entities(_plain(F.array_join(F.transform(shown, lambda b: b["words"]), "\n")))
+    return _plain(F.array_join(F.transform(shown, lambda b: b["words"]), "\n"))
+
+
+def strip_markdown(c: Column) -> Column:
+    """``unmarked`` with character references decoded.  Decoding refers to its text several times: for large tables put ``unmarked`` into a column of its own first."""
+    return decode_entities(unmarked(c))
