@@ -25,13 +25,27 @@ def tier_weight(tier: Column) -> Column:
     return F.coalesce(_map(TIER_WEIGHT, tier), F.lit(TIER_WEIGHT["web"]))
 
 
+def plan_terms(key_terms: Column) -> Column:
+    """The tokens of each key term, those without any left out."""
+    return F.filter(F.transform(F.coalesce(key_terms, F.expr("cast(array() as array<string>)")), content_tokens), lambda t: F.size(t) > 0)
+
+
+def plan_words(paraphrase: Column) -> Column:
+    return F.array_distinct(content_tokens(F.coalesce(paraphrase, F.lit(""))))
+
+
 def keyword_overlap(text: Column, key_terms: Column, paraphrase: Column) -> Column:
     """0 to 1: how much of a plan's vocabulary (array of key terms, paraphrases as one text) title and snippet cover."""
-    doc = F.array_distinct(content_tokens(text))
-    terms = F.filter(F.transform(F.coalesce(key_terms, F.expr("cast(array() as array<string>)")), content_tokens), lambda t: F.size(t) > 0)
+    return token_overlap(F.array_distinct(content_tokens(text)), plan_terms(key_terms), plan_words(paraphrase))
+
+
+def token_overlap(doc: Column, terms: Column, para: Column) -> Column:
+    """``keyword_overlap`` of the distinct tokens of a text and of ``plan_terms`` and ``plan_words``.
+
+    All three are referred to several times, so they have to be columns that were worked out before.
+    """
     hits = F.size(F.filter(terms, lambda t: F.size(F.array_except(t, doc)) == 0))
     term_score = F.when(F.size(terms) > 0, F.least(F.lit(1.0), hits / F.least(F.size(terms), F.lit(5)))).otherwise(0.0)
-    para = F.array_distinct(content_tokens(F.coalesce(paraphrase, F.lit(""))))
     para_score = F.when(F.size(para) > 0, F.least(F.lit(1.0), F.size(F.array_intersect(para, doc)) / F.size(para) * 2)).otherwise(0.0)
     return F.when(F.size(doc) == 0, 0.0).when(F.size(terms) == 0, para_score).otherwise(0.6 * term_score + 0.4 * para_score)
 
@@ -42,9 +56,12 @@ def pre_rank(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     candidates: claim_id, pos, title, snippet, tier, search_score, search_rank, published, cited_by_count, low_quality, is_wikipedia, for_counter;
     plans: claim_id, key_terms, paraphrase, counter_query, year_from, year_to.
     """
-    rows = candidates.join(plans, "claim_id")
-    counter = F.when(F.coalesce("for_counter", F.lit(False)), F.concat(F.lit(" "), F.coalesce("counter_query", F.lit("")))).otherwise("")
-    rows = rows.withColumn("overlap", keyword_overlap(F.concat_ws(" ", "title", "snippet"), F.col("key_terms"), F.concat(F.coalesce("paraphrase", F.lit("")), counter)))
+    # A plan's words are found once a plan, a candidate's once a candidate.
+    said = F.coalesce("paraphrase", F.lit(""))
+    known = plans.withColumns({"__terms": plan_terms(F.col("key_terms")), "__words": plan_words(said), "__more": plan_words(F.concat(said, F.lit(" "), F.coalesce("counter_query", F.lit(""))))})
+    read = candidates.withColumn("__doc", F.array_distinct(content_tokens(F.concat_ws(" ", "title", "snippet"))))
+    rows = read.join(known, "claim_id").withColumn("__para", F.when(F.coalesce("for_counter", F.lit(False)), F.col("__more")).otherwise(F.col("__words")))
+    rows = rows.withColumn("overlap", token_overlap(F.col("__doc"), F.col("__terms"), F.col("__para"))).drop("__doc", "__terms", "__words", "__more", "__para")
     top = F.max(F.when(F.col("search_score") > 0, F.col("search_score"))).over(Window.partitionBy("claim_id"))
     found = F.when(F.col("search_score").isNotNull() & (F.coalesce(top, F.lit(0.0)) > 0), 0.3 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("search_score") / top))).when(
         F.col("search_rank").isNotNull(), 0.1 * F.greatest(F.lit(0.0), 1 - F.col("search_rank") / 10)
