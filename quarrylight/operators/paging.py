@@ -22,7 +22,9 @@ def page_parts(pages: DataFrame) -> DataFrame:
 
     pages: doc_id, page_no, text.  Pages without text are left out.  The separator belongs to the part of the page before.
     """
-    plain = pages.select("doc_id", "page_no", normalize_doc_text(join_lines(F.col("text"))).alias("text")).where(F.length("text") > 0)
+    joined = pages.select("doc_id", "page_no", join_lines(F.col("text")).alias("joined"))
+    # Normalising refers to its text several times, so that is a column of its own; exploding an array of one keeps the filter from being pushed below it.
+    plain = joined.select("doc_id", "page_no", F.explode(F.array(normalize_doc_text(F.col("joined")))).alias("text")).where(F.length("text") > 0)
     order = Window.partitionBy("doc_id").orderBy("page_no")
     onward = F.lead("text").over(order)
     broken = F.col("text").rlike("[A-Za-z]-$") & onward.rlike("^[a-z]")

@@ -116,20 +116,23 @@ def edge_lines(pages: DataFrame, edge: int = 3) -> DataFrame:
     """Drops running headers, footers and page numbers: doc_id, page_no, text.
 
     A line among a page's first or last ``edge`` non-empty ones goes if its key (digits as #) stands there on over half of the document's
-    pages (of three or more), or if it looks like a page number.
+    pages (of three or more), or if it looks like a page number.  Pages are dealt out by document once; lines stay in their page's row.
     """
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
-    page = Window.partitionBy("doc_id", "page_no")
-    filled = F.when(F.col("line") != "", 1).otherwise(0)
-    lines = lines.withColumn("up", F.sum(filled).over(page.orderBy("i"))).withColumn("all", F.sum(filled).over(page))
-    at_edge = (F.col("line") != "") & ((F.col("up") <= edge) | (F.col("up") > F.col("all") - edge))
-    lines = lines.withColumn("edge", at_edge).withColumn("key", F.regexp_replace(F.lower("line"), "[0-9]+", "#"))
-    counts = lines.where("edge").select("doc_id", "page_no", "key").distinct().groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    sizes = pages.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
-    running = counts.join(sizes, "doc_id").where((F.col("pages") >= 3) & (F.col("n") > F.col("pages") * 0.5)).select("doc_id", "key", F.lit(True).alias("running"))
-    number = F.col("line").rlike(r"^(?i)(page\s*)?[-–—]?\s*\d{1,4}\s*[-–—]?(\s*(of|/)\s*\d{1,4})?$")
-    kept = lines.join(running, ["doc_id", "key"], "left").where(~(F.col("edge") & (F.coalesce("running", F.lit(False)) | number)))
-    return kept.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    dealt = pages.select("doc_id", "page_no", "text").repartition("doc_id")
+    # Exploding an array of one keeps filters from being pushed down, which would clean every line twice.
+    lines = dealt.where("text is not null").select("doc_id", "page_no", F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))).alias("lines"))
+    filled = lines.withColumn("filled", F.filter(F.transform("lines", lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull()))
+    first, last = F.try_element_at("filled", F.lit(edge)), F.try_element_at("filled", F.lit(-edge))
+    ends = filled.select("doc_id", "page_no", "lines", F.coalesce(first, F.size("lines")).alias("first"), F.coalesce(last, F.lit(0)).alias("last"))
+    key = lambda x, i: F.when((x != "") & ((i <= F.col("first")) | (i >= F.col("last"))), F.regexp_replace(F.lower(x), "[0-9]+", "#"))
+    marked = ends.select("doc_id", "page_no", F.transform("lines", lambda x, i: F.struct(x.alias("line"), key(x, i).alias("key"))).alias("lines"))
+    counts = marked.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")).where("key is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    sizes = dealt.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages")).where("pages >= 3")
+    running = counts.join(sizes, "doc_id").where(F.col("n") > F.col("pages") * 0.5).groupBy("doc_id").agg(F.collect_list("key").alias("running"))
+    number = r"^(?i)(page\s*)?[-–—]?\s*\d{1,4}\s*[-–—]?(\s*(of|/)\s*\d{1,4})?$"
+    goes = lambda x: x["key"].isNotNull() & (F.coalesce(F.array_contains("running", x["key"]), F.lit(False)) | x["line"].rlike(number))
+    kept = marked.join(running, "doc_id", "left").select("doc_id", "page_no", F.explode(F.array(F.filter("lines", lambda x: ~goes(x)))).alias("lines"))
+    return kept.where("size(lines) > 0").select("doc_id", "page_no", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
 def keep_pages(pages: DataFrame, terms: Column, first: int = 60, scanned: int = 300) -> DataFrame:
