@@ -128,9 +128,18 @@ def stem(w: Column) -> Column:
     return F.when(s.endswith("e") & (F.length(s) > 4), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
 
 
+def word_parts(c: Column) -> Column:
+    """What stands between separators, in order: words, of which ``retrieved`` tells those that are looked up."""
+    return F.split(strip_accents(F.lower(c)), r"[^a-z0-9%$]+")
+
+
+def retrieved(w: Column) -> Column:
+    """Whether a word is long enough to be looked up, and no stop word."""
+    return (F.length(w) > 1) & ~w.isin(RETRIEVAL_STOPWORDS)
+
+
 def _retrieval_words(c: Column) -> Column:
-    words = F.split(strip_accents(F.lower(c)), r"[^a-z0-9%$]+")
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(RETRIEVAL_STOPWORDS))
+    return F.filter(word_parts(c), retrieved)
 
 
 def tokens(c: Column) -> Column:

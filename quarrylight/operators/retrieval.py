@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.text import terms_of_tokens, token_set, tokens
+from quarrylight.functions.text import retrieved, stem, terms_of_tokens, tokens, word_parts
 from quarrylight.operators.segment import gathered
-from quarrylight.operators.tables import bounded, cut
+from quarrylight.operators.tables import bounded, cut, fresh_path, write_buckets
 
 K1, B = 1.5, 0.75
 #: Shingles of claims that are tested inside each document, without a join.
@@ -100,21 +100,36 @@ def best_picks(rows: DataFrame, total: int) -> DataFrame:
 def keyword_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """claim_id, doc_id, matched, mode: documents with all of a claim's terms, or, where there are none and the claim has over two terms, with any.
 
-    queries: claim_id, term; docs: doc_id, text.  Terms meet documents by equality, never by scanning pairs.
+    queries: claim_id, term; docs: doc_id, text.  Terms meet documents by equality, never by scanning pairs.  A document's distinct words are stemmed
+    as rows, and only those with an asked stem are looked at further.
     """
-    asked = queries.select("claim_id", "term").distinct()
-    held = docs.select("doc_id", F.explode(token_set(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    return keyword_modes(asked, held)
+    asked = cut(queries.select("claim_id", "term").distinct(), "asked")
+    terms = cut(asked.select("term").distinct(), "terms")
+    few = bounded(terms)
+    # Exploding an array of one keeps what is asked of the words from being worked out on the texts once more.
+    listed = docs.select("doc_id", F.explode(F.array(F.array_distinct(word_parts(F.col("text"))))).alias("words"))
+    words = listed.select("doc_id", F.explode("words").alias("word")).where(retrieved(F.col("word"))).select("doc_id", stem(F.col("word")).alias("term"))
+    return keyword_modes(asked, words.join(terms if few is None else few, "term", "left_semi").distinct())
 
 
 def keyword_modes(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """claim_id, doc_id, matched, mode of asked terms (claim_id, term) and terms that documents hold (doc_id, term), each once."""
+    """claim_id, doc_id, matched, mode of asked terms (claim_id, term) and terms that documents hold (doc_id, term), each once.
+
+    What documents hold is dealt out by document once; pairs are counted where it lies, and those of any term only for claims that no document has whole.
+    """
+    spark = held.sparkSession
     sizes = asked.groupBy("claim_id").agg(F.count("*").alias("n"))
-    counts = held.join(asked, "term").groupBy("claim_id", "doc_id").agg(F.count("*").alias("matched")).join(sizes, "claim_id")
-    strict = counts.where("matched = n")
-    none = sizes.join(strict.select("claim_id").distinct(), "claim_id", "left_anti").where("n > 2").select("claim_id")
-    loose = counts.join(none, "claim_id", "left_semi")
-    return strict.select("claim_id", "doc_id", "matched", F.lit("all").alias("mode")).union(loose.select("claim_id", "doc_id", "matched", F.lit("any").alias("mode")))
+    asked = cut(asked.join(sizes, "claim_id"), "sized")
+    held = write_buckets(held.select("doc_id", "term"), fresh_path(spark, "held"), "doc_id", ["doc_id"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def counted(claims: DataFrame) -> DataFrame:
+        few = bounded(claims)
+        return held.join(claims if few is None else few, "term").groupBy("doc_id", "claim_id", "n").agg(F.count("*").alias("matched"))
+
+    strict = cut(counted(asked).where("matched = n").select("claim_id", "doc_id", "matched"), "strict")
+    none = cut(asked.where("n > 2").join(strict.select("claim_id").distinct(), "claim_id", "left_anti"), "loose")
+    loose = counted(none)
+    return strict.withColumn("mode", F.lit("all")).union(loose.select("claim_id", "doc_id", "matched", F.lit("any").alias("mode")))
 
 
 def verbatim_pairs(claims: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:

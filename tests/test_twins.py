@@ -3,6 +3,7 @@
 import __spark_entry__ as E
 import duckdb
 import pytest
+from quarrylight.plans import common
 
 WIDE = "Outre la éch. 208.98 De éch. Ab"
 DOCS = [(1, WIDE), (2, "a st. st. st. He x. 1. 2. Ab"), (3, "See ẞt. a and NO. 7 ét al. b vs. c"), (4, "1. a e.g. b\nA) B) c d. (e"), (5, ""), (6, None), (7, "Über fig. 3. Et al. (x) Dr. A")]
@@ -86,3 +87,13 @@ def test_candidates_are_tokenised_once(spark, data):
 
 def test_names_are_put_into_each_style_once(spark, data):
     assert plan(E.queries()["cited_works"](spark, data))[0].count("et al.") <= 3
+
+
+def test_keywords_come_from_whole_words_and_need_no_index(spark, tmp_path):
+    """A word of over 600 characters is one term; ids that repeat are one document; nothing is indexed."""
+    long = "x" * 700
+    docs = [(1, f"a {long} tale"), (2, "green tea"), (2, "leaves growing"), (3, "green leaves"), (4, None), (None, "green tea leaves grow")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"{long} tales"), (2, "Green tea leaves grow"), (3, "green parrot leaf"), (4, "the of"), (5, "parrot")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same(spark, tmp_path, "keyword_retrieval")
+    assert not any(folder == str(tmp_path) for _, folder in common._INDEXES)
