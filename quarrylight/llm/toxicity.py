@@ -26,6 +26,7 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ _SHAPES = [((b, c, d), DECAY ** (d + 1)) for b in range(1, SPAN) for c in range(
 _BITS = 5
 _SIZE = 1 << 4 * _BITS
 _EDGE = 27
+#: Bits of a subsequence's number within a token of LONGEST symbols; with its symbols they fit into 31.
+_PLACE = 9
 #: Letters written apart: three or more single characters in a row.
 _APART = re.compile(r"(?<!\S)(?:\S[^\S\n]+){3,}\S(?!\S)")
 
@@ -80,8 +83,15 @@ def _symbols() -> dict[int, str]:
 _FOLD = _symbols()
 
 
+#: Symbols of ASCII letters; other ASCII characters are none.
+_ASCII = bytes(ord(_FOLD[i]) - 96 if _FOLD[i] else 0 for i in range(128)) + bytes(128)
+_NO_LETTERS = bytes(i for i in range(256) if not _ASCII[i])
+
+
 def letters(word: str) -> bytes:
     """The word's letters as symbols 1 to 26, accents as symbols 28 to 31 behind them, as are letters of other scripts."""
+    if word.isascii():
+        return word.encode().translate(_ASCII, _NO_LETTERS)
     folded = word.translate(_FOLD)
     if not folded.isascii():
         folded = "".join(c if c <= "z" else chr(28 + ord(c) % 4) for c in folded if c <= "z" or c.isalpha())
@@ -125,6 +135,32 @@ def unit(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return weights / np.where(norm > 0, norm, 1.0)
 
 
+@cache
+def _starts(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens of n symbols between edges, the places of the four symbols of every subsequence, and the weights."""
+    places, weights = zip(*(((a, a + b, a + c, a + d), w) for (b, c, d), w in _SHAPES for a in range(n + 2 - d)), strict=True)
+    return np.array(places).T, np.array(weights)
+
+
+def weighed(tokens: list[bytes], table: np.ndarray) -> np.ndarray:
+    """For tokens of one length the sum of their subsequences' weights in the table, times those of ``features`` scaled as ``unit`` does.
+
+    Tokens of one length have their subsequences at the same places, so weights are one row, and numbers short enough for fast sorting say which are equal.
+    """
+    n = len(tokens[0])
+    (a, b, c, d), weights = _starts(n)
+    grid = np.full((len(tokens), n + 2), _EDGE, np.int32)
+    grid[:, 1:-1] = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, n)
+    keys = ((grid[:, a] << _BITS | grid[:, b]) << _BITS | grid[:, c]) << _BITS | grid[:, d]
+    order = np.sort(keys << _PLACE | np.arange(len(weights), dtype=np.int32), axis=1)
+    key, w = order >> _PLACE, weights[order & (1 << _PLACE) - 1]
+    first = np.concatenate((np.ones((len(key), 1), bool), key[:, 1:] != key[:, :-1]), 1)
+    starts = np.flatnonzero(first)
+    sums = np.add.reduceat(w.ravel(), starts)
+    norm = np.sqrt(np.bincount(starts // len(weights), sums * sums, len(tokens)))
+    return np.einsum("ij,j->i", table[keys], weights) / norm
+
+
 def kernel_column(keys: np.ndarray, weights: np.ndarray, i: int) -> np.ndarray:
     dense = np.zeros(_SIZE)
     np.add.at(dense, keys[i], weights[i])
@@ -173,21 +209,24 @@ class Model:
         self.name = uuid.uuid4().hex
 
     def decisions(self, words: list[str]) -> np.ndarray:
-        parts, owner = [], []
+        """Words of the same letters (in other cases, with other punctuation) are weighed once; a long word is as bad as its worst part."""
+        number: dict[bytes, int] = {}
+        owner, part = [], []
         for i, word in enumerate(words):
             t = letters(word)
             for at in range(0, max(1, len(t) - SPAN), LONGEST - SPAN) if len(t) > LONGEST else (0,):
-                parts.append(t[at : at + LONGEST])
                 owner.append(i)
-        out = np.full(len(words), self.bias)
-        sizes = np.array([len(p) for p in parts])
-        owner = np.array(owner)
+                part.append(number.setdefault(t[at : at + LONGEST], len(number)))
+        tokens = list(number)
+        values = np.full(len(tokens), self.bias)
+        sizes = np.array([len(t) for t in tokens])
         for n in np.unique(sizes[sizes >= 2]):
             at = np.flatnonzero(sizes == n)
             for k in range(0, len(at), 4096):
                 some = at[k : k + 4096]
-                keys, weights = features([parts[j] for j in some])
-                np.maximum.at(out, owner[some], (self.table[keys] * unit(keys, weights)).sum(1) + self.bias)
+                values[some] += np.maximum(weighed([tokens[j] for j in some], self.table), 0.0)
+        out = np.full(len(words), self.bias)
+        np.maximum.at(out, np.array(owner, int), values[np.array(part, int)])
         return out
 
     def measures(self, texts: list[str | None]) -> np.ndarray:

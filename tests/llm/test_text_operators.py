@@ -233,6 +233,26 @@ def test_string_kernel_is_the_plain_one():
         assert column == pytest.approx([plain(a, b) for b in words])
 
 
+def test_words_of_the_same_letters_are_weighed_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=toxicity._SIZE)
+    model = toxicity.Model(table, -1.0)
+    words = ["", "a", "ab", "anna", "aaaaaaa", "École", "日本語", "{|}~", "x" * 40, "ab" * 60, *("".join(rng.choice(list("abcé-"), n)) for n in range(2, 60))]
+    plain = []
+    for word in words:
+        t, best = toxicity.letters(word), -1.0
+        for at in range(0, max(1, len(t) - toxicity.SPAN), toxicity.LONGEST - toxicity.SPAN) if len(t) > toxicity.LONGEST else (0,):
+            if len(t[at : at + toxicity.LONGEST]) >= 2:
+                keys, weights = toxicity.features([t[at : at + toxicity.LONGEST]])
+                best = max(best, float((table[keys] * toxicity.unit(keys, weights)).sum()) - 1.0)
+        plain.append(best)
+    assert np.allclose(model.decisions(words), plain, atol=1e-9, rtol=0)
+    seen, weighed = [], toxicity.weighed
+    monkeypatch.setattr(toxicity, "weighed", lambda tokens, table: seen.extend(tokens) or weighed(tokens, table))
+    assert len(set(model.decisions(["idiot", "Idiot,", "(IDIOT!)"]))) == 1 and len(seen) == 1
+    assert model.decisions([]).shape == (0,)
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     rng = random.Random(8)
     plain = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(300)]
