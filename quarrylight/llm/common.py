@@ -28,11 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Whether shuffle files go as soon as their query ends, not when the driver's heap is next collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it back.  It goes when the application ends."""
+    """Cut the lineage: write a table into the shared folder and read it back.  It goes when the application ends; what was shuffled for it goes at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)

@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarrylight.llm import ann, graph, neardup, substrings, topk, vectors
+from quarrylight.llm import ann, common, graph, neardup, substrings, topk, vectors
 from tests.llm.test_text_operators import DOCS, ODD, rows
 
 
@@ -309,3 +312,17 @@ def test_pipeline_takes_odd_tables(spark, tmp_path, docs):
     spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (50, None, None)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = rows(corpus_pipeline.run(spark, str(tmp_path)))
     assert all(r["length"] > 0 for r in out) and (docs or out == [])
+
+
+def test_what_was_shuffled_for_a_stash_goes_at_once(spark):
+    """Files of shuffles that nothing reads any more would stand beside those of the next step."""
+    jvm = spark.sparkContext._jvm
+    files = lambda: {f.name for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    numbers = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    stashed = common.stash(numbers.groupBy("k").agg(F.sum("id").alias("n")), "sums")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert stashed.count() == 7 and spark.conf.get(common._CLEANUP) == "false"
