@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import numbers_in, terms_of_tokens, tokens
-from quarrylight.operators.postings import Index, document_frequencies
+from quarrylight.operators.counting import Counted
+from quarrylight.operators.postings import Index
 from quarrylight.sources.labels import MOST_SENTENCES
 
 #: Least strength of each relation; weight of the pairs in it; share of a cited sentence's words that the claim has.
@@ -23,15 +24,15 @@ ORDER_WEIGHT, FOCUS = 0.25, 0.5
 NEGATION = r"(?i)\b(not|no|never|none|nor|neither|nobody|nothing|cannot|without)\b|n['’]t\b"
 
 
-def term_weights(index: Index, terms: DataFrame) -> DataFrame:
+def term_weights(index: Index | Counted, terms: DataFrame) -> DataFrame:
     """term, idf of the terms (term), also of those that the corpus lacks."""
-    df = document_frequencies(index.term_frequencies(terms))
+    df = index.document_frequencies(terms)
     rows = terms.select("term").distinct().join(df, "term", "left").crossJoin(F.broadcast(index.statistics()))  # one row
     held = F.coalesce("df", F.lit(0))
     return rows.select("term", F.log(F.lit(1.0) + (F.col("n") - held + F.lit(0.5)) / (held + F.lit(0.5))).alias("idf"))
 
 
-def claim_profiles(claims: DataFrame, index: Index) -> DataFrame:
+def claim_profiles(claims: DataFrame, index: Index | Counted) -> DataFrame:
     """claim_id, terms (array of term and idf), weight (their sum), pairs, numbers, negated.  claims: claim_id, text."""
     words = claims.select("claim_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     weighed = words.join(term_weights(index, words), "term").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("terms"))
@@ -45,7 +46,7 @@ def sum_of(terms: str | Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["idf"])
 
 
-def label(claims: DataFrame, chunks: DataFrame, index: Index, sents: DataFrame | None = None) -> DataFrame:
+def label(claims: DataFrame, chunks: DataFrame, index: Index | Counted, sents: DataFrame | None = None) -> DataFrame:
     """claim_id, doc_id, chunk_idx, pos, relation, sentence_ids, confidence, reason, scope_mismatch for each pair of a claim and a chunk.
 
     claims: claim_id, text; chunks: claim_id, doc_id, chunk_idx, sent_start, sent_end.  A pair whose sentences share too little is

@@ -32,6 +32,10 @@ class Index:
         few = tables.bounded(terms)
         return self.postings.join(terms if few is None else few, "term", "left_semi")
 
+    def document_frequencies(self, terms: DataFrame) -> DataFrame:
+        """term, df of those of the terms (term) that some chunk has."""
+        return document_frequencies(self.term_frequencies(terms))
+
     def statistics(self) -> DataFrame:
         """n, avg_len as scoring takes them."""
         return self.totals.select(F.col("n").cast("double").alias("n"), (F.col("len") / F.col("n")).alias("avg_len"))

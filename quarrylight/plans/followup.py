@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import queries as P
 from quarrylight.operators import biblio, dedupe, ledger, ranking, retrieval, segment
-from quarrylight.plans.common import claims, index_of, table
-from quarrylight.plans.evidence import _BM25, _S, _pages
+from quarrylight.plans.common import claims, table
+from quarrylight.plans.evidence import _BM25, _S, _counter_asked, _pages, counted
 from quarrylight.plans.records import _CANON, SQL as RECORDS
 
 #: Words that a page of a later place must mention to be kept.
@@ -17,9 +17,7 @@ PAGE_TERMS = ["of", "the", "para", "und"]
 
 def counter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each claim's five best chunks by the words of its plan, the query against it included."""
-    plans = P.fallback_plan(claims(spark, sf_dir))
-    asked = retrieval.query_terms(retrieval.query_texts(plans, counter=True))
-    best = index_of(spark, sf_dir).best_chunks(asked, 5)
+    best = counted(spark, sf_dir).best_chunks(_counter_asked(spark, sf_dir), 5)
     return best.select("claim_id", "doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.round("score", 4).alias("score"), "rank")
 
 

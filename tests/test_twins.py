@@ -140,3 +140,39 @@ def test_terms_are_counted_without_an_index(spark, tmp_path):
     assert not any(folder == str(tmp_path) for _, folder in common._INDEXES)
     chunk, code = counting.np.array([0, 0, 0, 5]), counting.np.array([7, 7, 2**40, 7])
     assert [x.tolist() for x in counting._distinct(chunk, code, 2**61)] == [x.tolist() for x in counting._distinct(chunk, code, 2**41)] == [[0, 0, 5], [7, 2**40, 7]]
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_counted_terms_score_as_an_index_does(spark, tmp_path, monkeypatch, most):
+    """The best chunks of all pairs, from documents that are read once; beyond the bound of terms from the index."""
+    from quarrylight.operators import counting, postings, retrieval, scoring
+    from quarrylight.plans import evidence
+
+    docs = spark.createDataFrame(odd_texts() + [(i, " ".join(f"Alpha w{(i * j) % 7} beta{j % 5} gamma. Delta w{j}." for j in range(1, 4 + i % 6))) for i in range(400, 100, -1)], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    claims = [(1, "Alpha w3 beta2 alpha gamma"), (2, "green tea leaves"), (3, "absent parrots"), (None, "delta w5"), (5, "the of"), (6, "Naive Kelvin stopped; Über x1 word word")]
+    spark.createDataFrame(claims, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    index = postings.build(docs, f"{tmp_path}/index", 2)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    if most is not None:
+        monkeypatch.setattr(scoring, "ASKED_ROWS", most)
+        monkeypatch.setattr(evidence, "_COUNTED", {})
+        monkeypatch.setattr(evidence, "index_of", lambda *_: index)
+    counted, asked = evidence.counted(spark, str(tmp_path)), evidence._asked(spark, str(tmp_path))
+    assert isinstance(counted, counting.Counted if most is None else postings.Index)
+    assert rows(counted.statistics()) == rows(index.statistics())
+    terms = asked.select("term")
+    assert rows(counted.document_frequencies(terms)) == rows(index.document_frequencies(terms))
+    cols = ["claim_id", "doc_id", "chunk_idx", "score"]
+    assert rows(counted.best_chunks(asked, 7).select(*cols, "rank")) == rows(index.best_chunks(asked, 7).select(*cols, "rank"))
+    cols = [*cols, "doc_rank", "pick"]
+    assert rows(counted.select_chunks(asked).select(cols)) == rows(retrieval.select_chunks(index.bm25(asked)).select(cols))
+
+
+def test_claims_are_answered_without_an_index(spark, tmp_path):
+    """Nothing is written but what claims ask for; no claims give no rows."""
+    spark.createDataFrame(odd_texts(), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("bm25_scores", "chunk_selection", "counter_scores", "lexical_labels", "answered_claims"):
+        assert E.queries()[name](spark, str(tmp_path)).collect() == []
+    assert not any(folder == str(tmp_path) for _, folder in common._INDEXES)
