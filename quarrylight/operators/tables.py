@@ -45,10 +45,10 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
 
 
-def write_buckets(df: DataFrame, path: str, key: str, order: list[str], buckets: int) -> DataFrame:
-    """Writes rows bucketed by a key, one file a bucket, so that joins and aggregations on the key read them without a shuffle."""
+def write_buckets(df: DataFrame, path: str, key: str, order: list[str], buckets: int, dealt: bool = False) -> DataFrame:
+    """Writes rows bucketed by a key, one file a bucket, so that joins and aggregations on the key read them without a shuffle.  ``dealt``: whether they lie so already."""
     name = f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(name)
+    (df if dealt else df.repartition(buckets, key)).write.format("parquet").bucketBy(buckets, key).sortBy(*order).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators import postings, tables
+from quarrylight.operators import postings, segment, tables
 from quarrylight.operators.postings import Index
 
 
@@ -38,3 +38,17 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         _INDEXES[key] = postings.build(table(spark, sf_dir, "documents").select("doc_id", "text"), tables.fresh_path(spark, "index"), buckets)
     return _INDEXES[key]
+
+
+_STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def stored_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A folder's documents with normalised texts, and their sentences, both bucketed by document: written once an application, for queries that go through all of them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        docs = tables.write_buckets(segment.build_docs(table(spark, sf_dir, "documents")), tables.fresh_path(spark, "texts"), "doc_id", ["doc_id"], buckets)
+        sents = segment.sentences(docs).select("doc_id", "sent_idx", "text", "start", "end")
+        _STORED[key] = docs, tables.write_buckets(sents, tables.fresh_path(spark, "sentences"), "doc_id", ["doc_id", "sent_idx"], buckets, dealt=True)
+    return _STORED[key]

@@ -10,7 +10,7 @@ from quarrylight.functions import urls as U
 from quarrylight.functions import queries as P
 from quarrylight.operators import dedupe, filters, ledger, ranking, segment, tiers, verification
 from quarrylight.operators.ranges import placed
-from quarrylight.plans.common import claims, index_of, table
+from quarrylight.plans.common import claims, stored_texts, table
 from quarrylight.plans.evidence import _R, _list, content
 
 
@@ -62,8 +62,8 @@ def page_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str):
     """Chunks of all documents with a label each, made from the chunk's number: right ones, and every kind of wrong one."""
-    index = index_of(spark, sf_dir)
-    docs, sents, chunks = segment.build_docs(table(spark, sf_dir, "documents")), index.sentences, index.spans()
+    docs, sents = stored_texts(spark, sf_dir)
+    chunks = segment.chunks(sents)
     kind = F.pmod(F.col("doc_id") + F.col("chunk_idx"), F.lit(6))
     sid = lambda i: F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".s"), i.cast("string"))
     ids = F.when(kind == 1, F.expr("cast(array() as array<string>)")).when(kind == 2, F.array(sid(F.col("sent_end") + 1))).when(kind == 3, F.array(F.lit("x1"))).otherwise(F.array(sid(F.col("sent_start")), sid(F.col("sent_end"))))
